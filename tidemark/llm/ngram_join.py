@@ -8,9 +8,10 @@ summed per pair, which gives the exact intersection.
 
 Candidates share one of the first n - ceil(0.75 n) + 1 n-grams of their order, which every linked pair does. N-grams
 that many documents share come last in the order, so only documents made mostly of them share them in that part. In
-each posting list every node is compared with the list's least node; lists whose nodes are then still in several
-components are compared further, pairs within one component never. So no linked pair is lost as to components, and
-the copies of a group cost one pair each, not all pairs.
+each posting list every node is first compared with the smallest one that it could link with and with its neighbour in
+size; lists whose nodes are then still in several components are compared further, pairs within one component never.
+So no link between components is lost, and the copies of a group cost a few pairs each, not all pairs. Before segments
+are shipped, candidates whose n-gram parities differ in too many places to be linked are dropped (an exact bound).
 
 Edge cases: null and empty texts (and those of white space only) have an empty set, link with nothing and are their
 own component; texts of one to four words are one n-gram; repeated ids count as one node a text and share the least id;
@@ -35,18 +36,34 @@ SHINGLE = 5
 #: Links: NUM * union <= DEN * intersection.
 NUM, DEN = 75, 100
 #: Counters of the table of hashed counts (8 bytes each on the driver), and the chunks it is summed in.
-COUNTERS, CHUNKS = 1 << 20, 64
+COUNTERS, CHUNKS = 1 << 22, 64
 #: Fragments of the class of rare n-grams, and one more for all others.
-RARE_FRAGMENTS = 8
+RARE_FRAGMENTS = 4
 CLASS_SHIFT = 58
+#: Class (deviations above the mean as a power of 2) from which an n-gram counts as frequent.
+FREQUENT = 6 << CLASS_SHIFT
 #: Parts in which the posting list of a frequent n-gram is taken first.
 SALTS = 32
+#: Pairs of a node, those of the least bound of the difference, that are verified before its others.
+BEST = 4
 #: Bits of the filter that spares nodes without candidates the shipping of segments (fixed size, 2 MB).
 FILTER_BITS = 1 << 24
 
 _U = np.uint64
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A byte a count, then place and rest of those over 255."""
+    over = np.flatnonzero(counts > 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.stack([over, counts[over] - 255], axis=1).astype("<i8").tobytes()
+
+
+def _add_packed(total: np.ndarray, raw: bytes) -> None:
+    total += np.frombuffer(raw, np.uint8, len(total))
+    over = np.frombuffer(raw[len(total) :], "<i8").reshape(-1, 2)
+    total[over[:, 0]] += over[:, 1]
+
+
 def _count_table(docs: DataFrame) -> np.ndarray:
     """How many n-grams of the corpus fall on each of COUNTERS hash values; fixed size whatever the corpus."""
     chunk = COUNTERS // CHUNKS
@@ -69,17 +86,14 @@ def _count_table(docs: DataFrame) -> np.ndarray:
                 add()
         add()
         if total.any():
-            # small counts take few bytes: 16 bits where they fit
-            fit = total.max() < 1 << 16
-            data = [np.ascontiguousarray(p.astype("<u2" if fit else "<i8")).tobytes() for p in total.reshape(CHUNKS, chunk)]
+            data = [_packed(p) for p in total.reshape(CHUNKS, chunk)]
             yield pa.record_batch({"chunk": pa.array(range(CHUNKS), pa.int32()), "n": pa.array(data, pa.binary())})
 
     def add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(chunk, np.int64)
         for b in batches:
             for x in b.column(1):
-                raw = x.as_py()
-                total += np.frombuffer(raw, "<u2" if len(raw) == 2 * chunk else "<i8").astype(np.int64)
+                _add_packed(total, x.as_py())
         yield pa.record_batch({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "chunk int, n binary")
@@ -90,13 +104,13 @@ def _count_table(docs: DataFrame) -> np.ndarray:
 
 
 def _classes(table: np.ndarray) -> np.ndarray:
-    """The order's leading part by hash value: 0 for counts explained by rare n-grams falling together, else by size."""
+    """The order's leading part by hash value: the logarithm of what a count has above the mean, in deviations of counts
+    that rare n-grams make by falling together."""
     mean = table.mean() if len(table) else 0.0
     # the mean without the hot values
     mean = table[table <= 4 * mean + 16].mean()
-    excess = table - mean
-    limit = 5 * np.sqrt(mean) + 16
-    return np.where(excess > limit, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
+    above = np.maximum(table - mean, 0) / (np.sqrt(mean) + 1)
+    return np.floor(np.log2(1 + above)).astype(np.uint8)
 
 
 def _ordered(texts: pa.Array, classes: np.ndarray) -> Iterator[np.ndarray]:
@@ -119,24 +133,48 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def parity_bits(x: np.ndarray) -> bytes:
+    """Parities of the numbers of n-grams on each of about 1.5 n hash values (a power of two of them, little endian)."""
+    size = 64
+    while size * 2 < len(x) * 3 and size < 1 << 18:
+        size *= 2
+    odd = np.bincount((mix(x) & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of two sets' symmetric difference: differing parities, the longer string folded."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(b) * 8
+    while n > len(a) * 8:
+        n //= 2
+        y = (y >> n) ^ (y & ((1 << n) - 1))
+    return (x ^ y).bit_count()
+
+
 def _nodes(docs: DataFrame, classes) -> DataFrame:
-    """doc_id, n, set_id of every document; set_id is null for the empty set."""
+    """doc_id, n, set_id, parity of every document; set_id and parity are null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(_ordered(b.column(1), classes.value))
-            yield pa.record_batch({"doc_id": b.column(0), "n": pa.array([len(x) for x in sets], pa.int64()), "set_id": pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64())})
+            yield pa.record_batch({
+                "doc_id": b.column(0), "n": pa.array([len(x) for x in sets], pa.int64()),
+                "set_id": pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64()),
+                "parity": pa.array([parity_bits(x) if len(x) else None for x in sets], pa.binary()),
+            })
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_id long")
+    return docs.mapInArrow(run, "doc_id long, n long, set_id long, parity binary")
 
 
 def _postings(docs: DataFrame, classes) -> DataFrame:
-    """gram, set_id, n: the first n-grams of every node's order. Copies within a task are left out."""
+    """gram, set_id, n, place: the first n-grams of every node's order. Copies within a task are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            grams, ids, ns, reps = [], [], [], []
+            grams, places, ids, ns, reps = [], [], [], [], []
             for x in _ordered(b.column(1), classes.value):
                 if not len(x):
                     continue
@@ -147,13 +185,14 @@ def _postings(docs: DataFrame, classes) -> DataFrame:
                     seen.add(s)
                 p = prefix_length(len(x))
                 grams.append(x[:p])
+                places.append(np.arange(p, dtype=np.int32))
                 ids.append(s)
                 ns.append(len(x))
                 reps.append(p)
             if grams:
-                yield pa.record_batch({"gram": pa.array(np.concatenate(grams).view(np.int64)), "set_id": pa.array(np.repeat(np.array(ids, np.int64), reps)), "n": pa.array(np.repeat(np.array(ns, np.int32), reps))})
+                yield pa.record_batch({"gram": pa.array(np.concatenate(grams).view(np.int64)), "set_id": pa.array(np.repeat(np.array(ids, np.int64), reps)), "n": pa.array(np.repeat(np.array(ns, np.int32), reps)), "place": pa.array(np.concatenate(places))})
 
-    return docs.mapInArrow(run, "gram long, set_id long, n int")
+    return docs.mapInArrow(run, "gram long, set_id long, n int, place int")
 
 
 def _filter_bits(ids: DataFrame, col: str) -> np.ndarray:
@@ -217,22 +256,67 @@ def _segments(docs: DataFrame, classes, wanted) -> DataFrame:
     return docs.mapInArrow(run, "set_id long, n long, fragment int, grams array<long>")
 
 
-def _fits(a: str, b: str):
-    """The shorter set of a linked pair has at least 0.75 of the longer one's n-grams."""
-    return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (a, b, na, nb) without those whose parities differ in more places than a linked pair's sets can; with least,
+    the number of those places."""
+    sig = nodes.filter("set_id is not null").groupBy("set_id").agg(F.first("parity").alias("parity"))
+    both = pairs.join(sig.select(F.col("set_id").alias("a"), F.col("parity").alias("pa")), "a").join(sig.select(F.col("set_id").alias("b"), F.col("parity").alias("pb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            least = np.array([least_difference(x, y) for x, y in zip(b.column("pa").to_pylist(), b.column("pb").to_pylist(), strict=True)], np.int64)
+            # the difference is n - 2 i; a link has NUM (n - i) <= DEN i
+            keep = (n - least) // 2 * (NUM + DEN) >= NUM * n
+            out = b.select(["a", "b", "na", "nb"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(least)], names=[*out.schema.names, "least"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long, na long, nb long, least long")
 
 
-def verify(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, classes, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The linked ones among pairs (a, b, na, nb): partial overlaps by fragment, summed per pair.
 
-    A pair meets the segments of a first, then those of b; a node with many partners is split by Spark's skew join,
-    since both sides come straight from tables."""
+    Only nodes of pairs that pass the parity test ship segments. A pair meets the segments of a first, then those of b;
+    a node with many partners is split by Spark's skew join, since both sides come straight from tables."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    reps = nodes.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(reps.join(some, "set_id", "left_semi"), "doc_id"))
+    segments = materialize(_segments(docs, classes, bits))
     sa = segments.select(F.col("set_id").alias("a"), "fragment", F.col("grams").alias("ga"))
     sb = segments.select(F.col("set_id").alias("b"), "fragment", F.col("grams").alias("gb"))
-    part = pairs.join(sa, "a").join(sb, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    part = small(pairs).join(sa, "a").join(sb, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("part"))
     part = part.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("part").alias("part"))  # a node may have been shipped twice
     both = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("i"))
-    return both.filter(F.col("i") * DEN >= (F.col("na") + F.col("nb") - F.col("i")) * NUM).select("a", "b")
+    return materialize(both.filter(F.col("i") * DEN >= (F.col("na") + F.col("nb") - F.col("i")) * NUM).select("a", "b"))
+
+
+def _pair(x: str, y: str):
+    """Columns a < b, na, nb of two (set_id, n) structs."""
+    low, high = F.least(x, y), F.greatest(x, y)
+    return [low["set_id"].alias("a"), high["set_id"].alias("b"), low["n"].cast("long").alias("na"), high["n"].cast("long").alias("nb")]
+
+
+def _fits(x: str, y: str):
+    """Other sets, of which the smaller has at least NUM / DEN of the larger one's n-grams."""
+    low, high = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+    return (F.col(f"{x}.set_id") != F.col(f"{y}.set_id")) & (low * DEN >= high * NUM)
+
+
+def _lists(docs: DataFrame, classes) -> DataFrame:
+    """gram, node (set_id, n), place, and two partners to try first: the smallest node of the list that the node could
+    link with, and the one before it in size. Lists of one node are left out; a frequent n-gram's list is taken in
+    SALTS parts, whose smallest nodes (head) the caller compares."""
+    frequent = F.col("gram") >= FREQUENT
+    salt = F.when(frequent, F.pmod(F.xxhash64("set_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    p = _postings(docs, classes).withColumns({"salt": salt, "node": F.struct("set_id", "n"), "log": F.floor(F.log(F.col("n")) * 1_000_000).cast("long")})
+    w = Window.partitionBy("gram", "salt")
+    reach = int(np.log(DEN / NUM) * 1_000_000) + 2
+    p = p.withColumns({
+        "lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w), "head": F.first("node").over(w.orderBy("log")),
+        "smallest": F.first("node").over(w.orderBy("log").rangeBetween(-reach, 0)), "before": F.lag("node").over(w.orderBy("log")),
+    })
+    return p.filter((F.col("lo") < F.col("hi")) | frequent).select("gram", "node", "place", "head", "smallest", "before")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,46 +326,61 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     classes = spark.sparkContext.broadcast(_classes(_count_table(d)))
     nodes = materialize(_nodes(d, classes))
-    # posting lists with at least two nodes; a frequent n-gram's list is taken in parts
-    salt = F.when(F.col("gram") >= 1 << CLASS_SHIFT, F.pmod(F.xxhash64("set_id"), F.lit(SALTS))).otherwise(0).cast("int")
-    w = Window.partitionBy("gram", "salt")
-    p = _postings(d, classes).withColumn("salt", salt)
-    p = p.withColumns({"least": F.min(F.struct("set_id", "n")).over(w), "most": F.max("set_id").over(w)})
-    shared = materialize(p.filter((F.col("least.set_id") < F.col("most")) | (F.col("gram") >= 1 << CLASS_SHIFT)).select("gram", "salt", "set_id", "n", F.col("least.set_id").alias("head"), F.col("least.n").alias("head_n")))
-    reps = nodes.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(reps.join(shared.select("set_id").distinct(), "set_id", "left_semi"))
-    bits = spark.sparkContext.broadcast(_filter_bits(wanted, "doc_id"))
-    segments = materialize(_segments(d, classes, bits))
-    pair = lambda x, nx, y, ny: [F.when(F.col(x) < F.col(y), F.col(x)).otherwise(F.col(y)).alias("a"), F.when(F.col(x) < F.col(y), F.col(y)).otherwise(F.col(x)).alias("b"), F.when(F.col(x) < F.col(y), F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(F.col(x) < F.col(y), F.col(ny)).otherwise(F.col(nx)).alias("nb")]
-    first = shared.filter((F.col("set_id") != F.col("head")) & _fits("n", "head_n")).select(*pair("head", "head_n", "set_id", "n"))
-    # heads of a frequent n-gram's parts meet the least of them
-    heads = shared.filter("gram >= %d" % (1 << CLASS_SHIFT)).select("gram", "head", "head_n").distinct()
-    top = heads.groupBy("gram").agg(F.min(F.struct("head", "head_n")).alias("t")).select("gram", F.col("t.head").alias("top"), F.col("t.head_n").alias("top_n"))
-    second = heads.join(top, "gram").filter((F.col("head") != F.col("top")) & _fits("head_n", "top_n")).select(*pair("top", "top_n", "head", "head_n"))
-    tried = materialize(first.unionByName(second).distinct())
-    links = materialize(verify(tried, segments))
+    shared = materialize(_lists(d, classes))
+    tries = [shared.filter(_fits("node", other)).select(*_pair("node", other)) for other in ("smallest", "before")]
+    # the heads of a frequent n-gram's parts meet the smallest of them
+    heads = shared.filter(F.col("gram") >= FREQUENT).select("gram", "head").distinct()
+    top = heads.groupBy("gram").agg(F.min_by("head", F.struct("head.n", "head.set_id")).alias("top"))
+    tries.append(heads.join(top, "gram").filter(_fits("head", "top")).select(*_pair("head", "top")))
+    tried = materialize(tries[0].unionByName(tries[1]).unionByName(tries[2]).distinct())
+    links = _linked(d, classes, nodes, materialize(_possible(tried, nodes)))
     label = materialize(components(links))
-    # lists that are still in several components
-    lists = shared.join(label.select(F.col("node").alias("set_id"), F.col("component").alias("c")), "set_id", "left").select("gram", "set_id", "n", F.coalesce("c", "set_id").alias("c"))
-    lists = materialize(lists)
-    open_ = lists.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gram")
-    open_ = materialize(open_)
-    rest = materialize(lists.join(open_, "gram", "left_semi"))
-    x, y = rest.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("set_id", "n", "c")]), rest.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("set_id", "n", "c")])
-    more = x.join(y, "gram").filter((F.col("x_set_id") < F.col("y_set_id")) & (F.col("x_c") != F.col("y_c")) & _fits("x_n", "y_n"))
-    more = more.select(*pair("x_set_id", "x_n", "y_set_id", "y_n")).distinct().join(tried, ["a", "b"], "left_anti")
-    late = materialize(verify(materialize(more), segments))
+    # pairs between components in the lists that hold several: a node's most alike first, then those still apart
+    more = _across(_open(shared, label)).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(_possible(more, nodes))
+    rank = [F.row_number().over(Window.partitionBy(x).orderBy("least", y)) for x, y in ("ab", "ba")]
+    best = materialize(more.withColumns({"ra": rank[0], "rb": rank[1]}).filter((F.col("ra") <= BEST) | (F.col("rb") <= BEST)).select(*more.columns))
+    links = links.unionByName(_linked(d, classes, nodes, best))
+    label = materialize(components(links))
+    c = label.select("node", "component")
+    left = more.join(best.select("a", "b"), ["a", "b"], "left_anti")
+    for x in "ab":
+        left = left.join(c.select(F.col("node").alias(f"n{x}_"), F.col("component").alias(f"c{x}")), F.col(x) == F.col(f"n{x}_"), "left")
+    left = materialize(left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*more.columns))
+    late = _linked(d, classes, nodes, left)
     if late.limit(1).count():
         label = materialize(components(links.unionByName(late)))
     # the least id of a node, then of a component
-    node = reps.join(label, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("c"))
-    node = materialize(node)
+    reps = nodes.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    node = materialize(reps.join(label, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("c")))
     least = materialize(node.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
     of = materialize(node.join(small(least), "c", "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id")))
-    out = nodes.join(of, "set_id", "left")
+    out = nodes.select("doc_id", "n", "set_id").join(of, "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _open(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """gram, node, place, c (the node's component so far) of the lists that hold several components."""
+    of = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    lists = lists.join(of, F.col("node.set_id") == F.col("_n"), "left")
+    lists = materialize(lists.select("gram", "node", "place", F.coalesce("_c", "node.set_id").alias("c")))
+    several = materialize(lists.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gram"))
+    return materialize(lists.join(several, "gram", "left_semi"))
+
+
+def _worth():
+    """Pairs (x, y) of different components whose sets can have enough n-grams in common from this list's on.
+
+    A linked pair's first common n-gram meets this in its own list."""
+    most = F.least(F.col("x.n") - F.col("x_place"), F.col("y.n") - F.col("y_place"))
+    return (F.col("x_c") != F.col("y_c")) & _fits("x", "y") & (most * (NUM + DEN) >= (F.col("x.n") + F.col("y.n")) * NUM)
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    x, y = (rest.select("gram", F.col("node").alias(k), F.col("place").alias(f"{k}_place"), F.col("c").alias(f"{k}_c")) for k in "xy")
+    return x.join(y, "gram").filter((F.col("x.set_id") < F.col("y.set_id")) & _worth()).select(*_pair("x", "y"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the documents whose component has one of a lower id. Rows that share the kept id all stay."""
     c = jaccard_components(docs)
