@@ -263,7 +263,8 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
 
 def decode(coded: DataFrame, model_path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text of id sequences; bytes that aren't UTF-8 become U+FFFD."""
-    bound_batches(coded.sparkSession)
+    spark = coded.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(unigram(model_path or default_model()))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
