@@ -79,9 +79,9 @@ def bootstrap_auroc(scores: DataFrame, label: str, score: str, replicates: int =
         rng = np.random.default_rng(int(pdf["r"].iloc[0]) + seed * 100_003)
         pdf = pdf.sort_values(["s", "y"])
         pdf = pdf.assign(w=rng.poisson(1.0, len(pdf)))
-        g = pdf.groupby("s").agg(p=("w", lambda w: float((w * pdf.loc[w.index, "y"]).sum())), n=("w", "sum")).sort_index()
-        r = (np.concatenate([[0], np.cumsum(g["n"])[:-1]]) + (g["n"] + 1) / 2) * g["p"]
-        p, n = g["p"].sum(), g["n"].sum()
+        g = pdf.assign(p=pdf["w"] * pdf["y"]).groupby("s")[["p", "w"]].sum().sort_index().to_numpy(float)
+        p, n = g[:, 0].sum(), g[:, 1].sum()
+        r = (np.concatenate([[0.0], np.cumsum(g[:, 1])[:-1]]) + (g[:, 1] + 1) / 2) * g[:, 0]
         return pd.DataFrame({"a": [(r.sum() - p * (p + 1) / 2) / (p * (n - p)) if 0 < p < n else np.nan]})
 
     reps = scores.sparkSession.range(replicates).withColumnRenamed("id", "r")
