@@ -9,8 +9,9 @@ summed per pair, which gives the exact intersection.
 Candidates share one of the first n - ceil(0.75 n) + 1 n-grams of their order, which every linked pair does. N-grams
 that many documents share come last in the order, so only documents made mostly of them share them in that part. In
 each posting list every node is first compared with the smallest one that it could link with and with its neighbour in
-size; lists whose nodes are then still in several components are compared further, pairs within one component never.
-So no link between components is lost, and the copies of a group cost a few pairs each, not all pairs. Before segments
+size; in lists whose nodes are then still in several components every node is compared with a few pivots of its size
+class, members of the list's largest component. What is still apart then is compared in all pairs that can be links,
+pairs within one component never. So no link between components is lost, and the copies of a group cost a few pairs each, not all pairs. Before segments
 are shipped, candidates whose n-gram parities differ in too many places to be linked are dropped (an exact bound).
 
 Edge cases: null and empty texts (and those of white space only) have an empty set, link with nothing and are their
@@ -46,6 +47,8 @@ FREQUENT = 6 << CLASS_SHIFT
 SALTS = 32
 #: Pairs of a node, those of the least bound of the difference, that are verified before its others.
 BEST = 4
+#: Pivots of a list and size class that its other nodes are compared with, before the pairs still apart are.
+PIVOTS = 24
 #: Bits of the filter that spares nodes without candidates the shipping of segments (fixed size, 2 MB).
 FILTER_BITS = 1 << 24
 
@@ -335,11 +338,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tried = materialize(tries[0].unionByName(tries[1]).unionByName(tries[2]).distinct())
     links = _linked(d, classes, nodes, materialize(_possible(tried, nodes)))
     label = materialize(components(links))
+    rest = _open(shared, label)
+    # members of one large group meet its pivots, so that not all pairs of those still apart are needed
+    pivots = materialize(_pivot_pairs(rest, label).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    best = _likeliest(materialize(_possible(pivots, nodes)))
+    links = links.unionByName(_linked(d, classes, nodes, best))
+    label = materialize(components(links))
+    rest = _open(rest, label)
+    done = tried.select("a", "b").unionByName(best.select("a", "b"))
     # pairs between components in the lists that hold several: a node's most alike first, then those still apart
-    more = _across(_open(shared, label)).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(_across(rest).distinct().join(done, ["a", "b"], "left_anti"))
     more = materialize(_possible(more, nodes))
-    rank = [F.row_number().over(Window.partitionBy(x).orderBy("least", y)) for x, y in ("ab", "ba")]
-    best = materialize(more.withColumns({"ra": rank[0], "rb": rank[1]}).filter((F.col("ra") <= BEST) | (F.col("rb") <= BEST)).select(*more.columns))
+    best = _likeliest(more)
     links = links.unionByName(_linked(d, classes, nodes, best))
     label = materialize(components(links))
     c = label.select("node", "component")
@@ -368,6 +378,28 @@ def _open(lists: DataFrame, label: DataFrame) -> DataFrame:
     return materialize(lists.join(several, "gram", "left_semi"))
 
 
+def _pivot_pairs(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs of the lists' nodes and the PIVOTS pivots of their list, taken in classes of size and in classes shifted
+    by half a class: nodes of least hash of the largest component there. All lists use one hash, so lists of the same nodes
+    have the same pivots; these are extremes by class, of which tasks take those of their own rows first."""
+    weight = label.groupBy(F.col("component").alias("_w")).agg(F.count(F.lit(1)).alias("weight"))
+    of_size = F.log("node.n") / float(np.log(DEN / NUM))
+    classes = F.explode(F.array(*[(F.floor(of_size + i / 2) * 2 + i).cast("int") for i in (0, 1)]))
+    rows = lists.select("gram", "node", "c", classes.alias("size"))
+    best = [F.max(F.struct("weight", "c", F.xxhash64("node.set_id", F.lit(i)).alias("h"), "node")).alias(f"p{i}") for i in range(PIVOTS)]
+    top = rows.join(weight, F.col("c") == F.col("_w")).groupBy("gram", "size").agg(*best)
+    nodes = F.array_distinct(F.array(*[f"p{i}.node" for i in range(PIVOTS)]))
+    pivots = materialize(top.select("gram", "size", F.col("p0.c").alias("pc"), nodes.alias("pivots")))
+    both = rows.join(pivots, ["gram", "size"]).filter(F.col("c") != F.col("pc")).select("node", F.explode("pivots").alias("to"))
+    return both.filter(_fits("node", "to")).select(*_pair("node", "to")).distinct()
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Pairs that are among the BEST of one of their nodes by the least difference."""
+    rank = [F.row_number().over(Window.partitionBy(x).orderBy("least", y)) for x, y in ("ab", "ba")]
+    return materialize(pairs.withColumns({"ra": rank[0], "rb": rank[1]}).filter((F.col("ra") <= BEST) | (F.col("rb") <= BEST)).select(*pairs.columns))
+
+
 def _worth():
     """Pairs (x, y) of different components whose sets can have enough n-grams in common from this list's on.
 
