@@ -339,12 +339,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _linked(d, classes, nodes, materialize(_possible(tried, nodes)))
     label = materialize(components(links))
     rest = _open(shared, label)
-    # members of one large group meet its pivots, so that not all pairs of those still apart are needed
-    pivots = materialize(_pivot_pairs(rest, label).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    # members of one large group meet its pivots, so that not all pairs of those still apart are needed; a list that has
+    # no more nodes than pivots costs no more by pairs
+    long = rest.filter(F.col("k") > PIVOTS)
+    pivots = materialize(_pivot_pairs(long, label).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     best = _likeliest(materialize(_possible(pivots, nodes)))
     links = links.unionByName(_linked(d, classes, nodes, best))
     label = materialize(components(links))
-    rest = _open(rest, label)
+    rest = rest.filter(F.col("k") <= PIVOTS).unionByName(_open(long, label))
     done = tried.select("a", "b").unionByName(best.select("a", "b"))
     # pairs between components in the lists that hold several: a node's most alike first, then those still apart
     more = materialize(_across(rest).distinct().join(done, ["a", "b"], "left_anti"))
@@ -370,12 +372,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _open(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """gram, node, place, c (the node's component so far) of the lists that hold several components."""
+    """gram, node, place, c (the node's component so far), k (the list's nodes) of the lists that hold several components."""
     of = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     lists = lists.join(of, F.col("node.set_id") == F.col("_n"), "left")
     lists = materialize(lists.select("gram", "node", "place", F.coalesce("_c", "node.set_id").alias("c")))
-    several = materialize(lists.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gram"))
-    return materialize(lists.join(several, "gram", "left_semi"))
+    several = materialize(lists.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo < hi").select("gram", "k"))
+    return materialize(lists.join(several, "gram"))
 
 
 def _pivot_pairs(lists: DataFrame, label: DataFrame) -> DataFrame:
