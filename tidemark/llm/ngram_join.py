@@ -97,12 +97,12 @@ def _count_table(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for x in b.column(1):
                 _add_packed(total, x.as_py())
-        yield pa.record_batch({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+        yield pa.record_batch({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([_packed(total)], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "chunk int, n binary")
     out = np.zeros((CHUNKS, chunk), np.int64)
     for r in parts.groupBy("chunk").applyInArrow(add_up, "chunk int, n binary").collect():
-        out[r["chunk"]] = np.frombuffer(r["n"], np.int64)
+        _add_packed(out[r["chunk"]], r["n"])
     return out.ravel()
 
 
@@ -111,9 +111,14 @@ def _classes(table: np.ndarray) -> np.ndarray:
     that rare n-grams make by falling together."""
     mean = table.mean() if len(table) else 0.0
     # the mean without the hot values
-    mean = table[table <= 4 * mean + 16].mean()
-    above = np.maximum(table - mean, 0) / (np.sqrt(mean) + 1)
-    return np.floor(np.log2(1 + above)).astype(np.uint8)
+    usual = table <= 4 * mean + 16
+    mean = table.sum(where=usual) / usual.sum()
+    out = np.empty(len(table), np.uint8)
+    # by parts, as the driver holds them
+    step = COUNTERS // CHUNKS
+    for i in range(0, len(table), step):
+        out[i : i + step] = np.floor(np.log2(1 + np.maximum(table[i : i + step] - mean, 0) / (np.sqrt(mean) + 1)))
+    return out
 
 
 def _ordered(texts: pa.Array, classes: np.ndarray) -> Iterator[np.ndarray]:
