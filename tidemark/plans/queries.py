@@ -169,15 +169,21 @@ en AS (SELECT vec_id, tier, maha2, -(ln(1 + 1e-12) - 0.5 * (logdet + maha2)) AS
 """
 
 
-def _flat(spark, d):
-    e, _ = _vectors(spark, d)
-    e = e.withColumn("embedding", F.slice("embedding", 1, 2))
+def _fitted(e):
     ref = e.filter(F.col("tier") == ID_TIER)
     _, mass, sums, second = D._moments(ref, "embedding", None)
     det = D.Detector(*D._m_step(mass, sums, second, ref.count(), 0.60), n=ref.count())
     return e, ref, det
 
 
+def _flat(spark, d):
+    return _fitted(_vectors(spark, d)[0].withColumn("embedding", F.slice("embedding", 1, 2)))
+
+
+def _full(spark, d):
+    return _fitted(_vectors(spark, d)[0])
+
+
 @query(FLAT + "SELECT vec_id, round(energy, 6) AS energy FROM en")
 def energy_2d(spark, d) -> DataFrame:
     e, _, det = _flat(spark, d)
@@ -196,7 +202,11 @@ SELECT vec_id, round(p, 6) AS p,
  round(greatest(0.0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)), 6) AS low,
  round(least(1.0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)), 6) AS high FROM p""")
 def ecdf_wilson(spark, d) -> DataFrame:
-    e, ref, det = _flat(spark, d)
+    """Energy of the first two components; ecdf_wilson_full has all of them."""
+    return _ecdf(*_flat(spark, d))
+
+
+def _ecdf(e, ref, det) -> DataFrame:
     en = D.energies(det, e).withColumn("energy", F.round("energy", 6))
     r = D.energies(det, ref).withColumn("energy", F.round("energy", 6))
     n = ref.count()
@@ -211,9 +221,11 @@ t AS (SELECT (SELECT round(quantile_cont(energy, 0.95), 6) FROM en WHERE tier =
   (SELECT round(quantile_cont(distance, 0.95), 6) FROM k2) AS kh, (SELECT round(quantile_cont(distance, 0.80), 6) FROM k2) AS kl)
 SELECT vec_id, CASE WHEN round(energy, 6) >= eh AND round(knn, 6) >= kh THEN 'ood' WHEN round(energy, 6) >= el AND round(knn, 6) >= kl THEN 'near_ood' ELSE 'id' END AS band FROM en JOIN k USING (vec_id), t""")
 def band_classify(spark, d) -> DataFrame:
-    """Energy of two components, neighbours of all."""
-    e, ref, det = _flat(spark, d)
-    full, full_ref = _vectors(spark, d)
+    """Energy of the first two components, neighbours of all; band_classify_full has all of them in both."""
+    return _bands(*_flat(spark, d), *_vectors(spark, d))
+
+
+def _bands(e, ref, det, full, full_ref) -> DataFrame:
     en = D.energies(det, e)
     knn2 = nearest(_as_queries(full_ref), full_ref, 2).filter("rank = 1")
     t = D._quantiles(D.energies(det, ref), "energy", "energy") | D._quantiles(knn2, "distance", "knn")
@@ -222,6 +234,24 @@ def band_classify(spark, d) -> DataFrame:
     return en.join(knn, "id").select(F.col("id").alias("vec_id"), D.band(F.round("energy", 6), F.col("knn"), t).alias("band"))
 
 
+@query()
+def energy_full(spark, d) -> DataFrame:
+    """Energy and Mahalanobis distance over all components."""
+    e, _, det = _full(spark, d)
+    return D.energies(det, e).select(F.col("id").alias("vec_id"), F.round("energy", 6).alias("energy"), F.round("mahalanobis", 6).alias("mahalanobis"))
+
+
+@query()
+def ecdf_wilson_full(spark, d) -> DataFrame:
+    return _ecdf(*_full(spark, d))
+
+
+@query()
+def band_classify_full(spark, d) -> DataFrame:
+    """Energy and neighbours of all components."""
+    return _bands(*_full(spark, d), *_vectors(spark, d))
+
+
 @query()
 def detector_scores(spark, d) -> DataFrame:
     """All 64 components: fit on the trusted tier, calibrate on the others, score every chunk."""
