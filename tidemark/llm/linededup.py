@@ -6,7 +6,9 @@ At most (mean lines a page / ratio) lines a host can be above the ratio, so the
 the host's size; counts are summed in the map tasks before the shuffle, so a hot line or host costs a row a task.
 
 Edge cases: a null text stays null and has no lines; the empty line is never boilerplate; a null host is a host of its
-own; repeated rows count as pages; a page that loses all lines keeps an empty text; line breaks are "\\n".
+own; repeated rows count as pages, as SQL has it, or with distinct_texts (the pipeline) once a host, since otherwise
+every line of a large group of copies is boilerplate and no copy keeps its text; a page that loses all lines keeps an
+empty text; line breaks are "\\n".
 """
 
 from __future__ import annotations
@@ -25,20 +27,22 @@ def line_key(line):
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def boilerplate(docs: DataFrame, ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct_texts: bool = False) -> DataFrame:
     """One row per host with boilerplate: _host, _bad (array of line keys)."""
     d = docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_t"))
-    pages = d.groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    lines = d.select("_host", F.explode(F.array_distinct(F.split("_t", "\n"))).alias("line")).filter(F.col("line") != "")
-    counts = lines.select("_host", line_key(F.col("line")).alias("k")).groupBy("_host", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    page = [line_key(F.col("_t")).alias("page")] if distinct_texts else []
+    once = (lambda rows: rows.distinct()) if distinct_texts else (lambda rows: rows)
+    pages = once(d.select("_host", *page)).groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
+    lines = d.select("_host", *page, F.explode(F.array_distinct(F.split("_t", "\n"))).alias("line")).filter(F.col("line") != "")
+    counts = once(lines.select("_host", line_key(F.col("line")).alias("k"), *(["page"] if distinct_texts else []))).groupBy("_host", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     pages = small(materialize(pages.withColumnRenamed("_host", "_h")))
     bad = counts.join(pages, F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("n") > F.lit(float(ratio)) * F.col("pages"))
     return bad.groupBy("_host").agg(F.sort_array(F.collect_list("k")).alias("_bad"))
 
 
-def dedup_lines(docs: DataFrame, ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct_texts: bool = False) -> DataFrame:
     """docs with boilerplate lines taken out of the text, plus _lines and _kept (numbers of lines)."""
-    bad = small(materialize(boilerplate(docs, ratio, min_pages, host_col, text_col)), 5_000)
+    bad = small(materialize(boilerplate(docs, ratio, min_pages, host_col, text_col, distinct_texts)), 5_000)
     lines = F.split(F.col(text_col), "\n")
     kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), line_key(x))))
     out = docs.join(bad, F.col(host_col).eqNullSafe(F.col("_host")), "left").withColumn("_keep", kept)
@@ -51,8 +55,10 @@ def dedup_lines(docs: DataFrame, ratio: float = BOILERPLATE_RATIO, min_pages: in
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """docs with their own columns, boilerplate lines dropped; n_chars, where there is one, follows the text."""
-    out = dedup_lines(docs)
+    """docs with their own columns, boilerplate lines dropped; n_chars, where there is one, follows the text.
+
+    A text counts once a host, however many rows repeat it."""
+    out = dedup_lines(docs, distinct_texts=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_kept") < F.col("_lines"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
