@@ -2,9 +2,9 @@
 
 Terms are the text's words, lower case; a term votes with its hash's 64 signed bits and a weight that grows with its
 length (function words, which all documents of a language share, count little) times its frequency. Votes are summed
-by document in the map tasks that read the text. Fingerprints within RADIUS bits are found through permuted block
-tables: 64 bits are cut in BLOCKS blocks, and each table keys the fingerprints by BLOCKS - RADIUS of them, since at
-most RADIUS blocks can differ.
+by document in the map tasks that read the text. Fingerprints within RADIUS bits are found through block tables: 64
+bits are cut in BLOCKS, each table keys the fingerprints by one of them, and a query looks up all keys within the
+block's own number of bits of its own. More bits than these in every block would be more than RADIUS together.
 
 Edge cases: null and empty texts have no votes and the fingerprint of 16 zeros; equal texts have equal fingerprints
 whatever the row; repeated ids follow each other in the order of their texts; null ids come first; the next document
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize, small
 
 BITS = 64
-RADIUS = 3
-BLOCKS = 6
-#: (first bit, bits) of each block.
-BLOCK_BITS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Near copies lie within it more often than within 3 bits (recall in the README); unrelated texts start at about 14.
+RADIUS = 7
+#: (first bit, bits, bits that a key may differ in) of each block; 3 + 3 + 2 bits or more are over RADIUS.
+BLOCKS = ((0, 21, 2), (21, 21, 2), (42, 22, 1))
 #: Longest term length that adds weight, and the power of it that a term weighs.
 MAX_TERM, POWER = 12, 3
 #: Ranges of ids that the next document is looked for in, for each shuffle partition.
@@ -98,35 +98,39 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     return fingerprints(rows, ["_span", "_seq", "doc_id", "n_chars", "edited_sha256"], {"fp": F.col("text"), "edited_fp": F.col("edited"), "next_fp": F.col("next_text")}).drop("_span", "_seq")
 
 
-def block_tables(fps: DataFrame) -> DataFrame:
-    """fps with a row for each table: t (its blocks as a bit mask) and key (the fingerprint's bits in those blocks)."""
-    rows = []
-    for kept in combinations(range(BLOCKS), BLOCKS - RADIUS):
-        mask = sum(((1 << n) - 1) << at for at, n in (BLOCK_BITS[b] for b in kept))
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        rows.append(F.struct(F.lit(sum(1 << b for b in kept)).alias("t"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("key")))
+def _long(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def block_keys(fps: DataFrame) -> DataFrame:
+    """fps with a row for each block: t (its number) and key (the fingerprint's bits in it)."""
+    rows = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_long(((1 << n) - 1) << at)).cast("long")).alias("key")) for t, (at, n, _) in enumerate(BLOCKS)]
     return fps.withColumn("_e", F.explode(F.array(*rows))).select(*fps.columns, "_e.t", "_e.key")
 
 
+def probes(queries: DataFrame) -> DataFrame:
+    """queries (q) with a row for each key of a block that differs from theirs in at most the block's bits: t, key."""
+    flips = []
+    for t, (at, n, most) in enumerate(BLOCKS):
+        mask = _long(((1 << n) - 1) << at)
+        flips += [(t, mask, _long(sum(1 << at + b for b in bits))) for k in range(most + 1) for bits in combinations(range(n), k)]
+    # casts of strings, since the least long has no literal of its own
+    values = ", ".join(f"({t}, bigint('{mask}'), bigint('{flip}'))" for t, mask, flip in flips)
+    table = queries.sparkSession.sql(f"SELECT * FROM VALUES {values} AS p(t, mask, flip)")
+    key = F.col("q").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
+    return queries.crossJoin(F.broadcast(table)).select("q", "t", key.alias("key"))
+
+
 def near_pairs(queries: DataFrame, fps: DataFrame) -> DataFrame:
     """Pairs (q, fp, distance) of a query fingerprint and another one within RADIUS bits, each once.
 
-    queries: distinct q. fps: distinct fp. A pair that agrees on more blocks than a table needs is in several tables;
-    it counts in the one whose blocks are the first that agree."""
-    q = block_tables(queries.select(F.col("q").alias("fp"))).withColumnRenamed("fp", "q")
-    pairs = q.join(block_tables(fps), ["t", "key"]).filter(F.col("q") != F.col("fp"))
+    queries: distinct q. fps: distinct fp. A pair that is close enough in more blocks than one counts in the first."""
+    pairs = probes(queries).join(block_keys(fps), ["t", "key"]).filter(F.col("q") != F.col("fp"))
     diff = F.col("q").bitwiseXOR(F.col("fp"))
-    agree = None
-    for b, (at, n) in enumerate(BLOCK_BITS):
-        mask = ((1 << n) - 1) << at
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        bit = F.when(diff.bitwiseAND(F.lit(signed).cast("long")) == 0, F.lit(1 << b)).otherwise(F.lit(0))
-        agree = bit if agree is None else agree.bitwiseOR(bit)
-    # blocks up to the table's last one that agree must be exactly the table's
-    t = F.col("t")
-    upto = F.when(t >= 32, 63).when(t >= 16, 31).when(t >= 8, 15).otherwise(7)
-    first = agree.bitwiseAND(upto) == t
-    pairs = pairs.withColumn("distance", F.bit_count(diff)).filter((F.col("distance") <= RADIUS) & first)
+    first = F.lit(len(BLOCKS) - 1)
+    for t, (at, n, most) in reversed(list(enumerate(BLOCKS[:-1]))):
+        first = F.when(F.bit_count(diff.bitwiseAND(F.lit(_long(((1 << n) - 1) << at)).cast("long"))) <= most, t).otherwise(first)
+    pairs = pairs.withColumn("distance", F.bit_count(diff)).filter((F.col("distance") <= RADIUS) & (F.col("t") == first))
     return pairs.select("q", "fp", "distance", *[c for c in fps.columns if c != "fp"])
 
 
