@@ -10,7 +10,9 @@ trained. Both use at most TRAIN_ROWS labelled rows of each class (other, toxic),
 id; that bound is a parameter.
 
 Edge cases: null and empty texts have no sentence and score 0; ids that are null or have no label only get a score;
-repeated labels of an id count once each; without labels of both classes every score is 0.
+repeated labels of an id count once each; without labels of both classes, or where toxic documents have no word in
+common, every score is 0; other columns, of whatever name, are kept by without_toxic and not looked at otherwise; ids
+are cast to long, and one that isn't a number raises Spark's CAST_INVALID_INPUT.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from .text_kernel import _tables, buffers, span_hash, word_bounds
 SLOTS = 1 << 19
 #: Stems: so many leading bytes of a longer word.
 STEMS = (4, 5, 6)
-#: A feature is kept if its rate among toxic documents is LIFT times that among others and it occurs in MIN_TOXIC.
-MIN_TOXIC, LIFT = 6, 6.0
+#: A feature is kept if its rate among toxic documents is LIFT times that among others and it occurs in more than one
+#: toxic document, by SHARE of all of them at least.
+SHARE, LIFT = 0.02, 6.0
 TRAIN_ROWS = (30_000, 10_000)
 STEPS, RATE, L2 = 400, 0.5, 1e-4
 THRESHOLD = 0.7
@@ -127,7 +130,7 @@ def screen(counts: np.ndarray) -> np.ndarray:
     if not n.all():
         return np.zeros(0, np.int64)
     lift = ((k[1] + 0.5) / (n[1] + 1)) / ((k[0] + 0.5) / (n[0] + 1))
-    return np.flatnonzero((k[1] >= MIN_TOXIC) & (lift >= LIFT))
+    return np.flatnonzero((k[1] >= 1 + SHARE * n[1]) & (lift >= LIFT))
 
 
 def _bags(texts: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +207,7 @@ def fit(y: np.ndarray, n: np.ndarray, doc: np.ndarray, s: np.ndarray, f: np.ndar
         # dL/dhazard: 1 for y = 0, -exp(-h) / (1 - exp(-h)) for y = 1
         r = weight * np.where(y == 1, -1 / np.expm1(np.clip(hazard, 1e-9, 50)), 1.0)
         ds = r[sdoc] * sig(z)
-        dw = np.bincount(f, weights=ds[inverse], minlength=len(slots)) + L2 * w / max(1, len(slots))
+        dw = np.bincount(f, weights=ds[inverse], minlength=len(slots)) + L2 * w
         db = ds.sum() + (r * plain).sum() * sig(b)
         gw += dw * dw
         gb += db * db
