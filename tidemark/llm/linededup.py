@@ -8,49 +8,67 @@ the host's size; counts are summed in the map tasks before the shuffle, so a hot
 Edge cases: a null text stays null and has no lines; the empty line is never boilerplate; a null host is a host of its
 own; repeated rows count as pages, as SQL has it, or with distinct_texts (the pipeline) once a host, since otherwise
 every line of a large group of copies is boilerplate and no copy keeps its text; a page that loses all lines keeps an
-empty text; line breaks are "\\n".
+empty text; line breaks are "\\n"; an empty table gives an empty result; other columns, of whatever name, are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import BROADCAST_ROWS, free_names, materialize, small
 
 BOILERPLATE_RATIO = 0.03
 MIN_PAGES = 5
 
 
-def line_key(line):
-    """96 bits of a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
+def line_key(line: Column) -> Column:
+    """64 bits of a line; two lines of a host that fall together would have to be boilerplate and rare at once to matter."""
+    return F.xxhash64(line)
+
+
+def page_key(text: Column) -> Column:
+    """96 bits of a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
 
 
 def boilerplate(docs: DataFrame, ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct_texts: bool = False) -> DataFrame:
-    """One row per host with boilerplate: _host, _bad (array of line keys)."""
-    d = docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_t"))
-    page = [line_key(F.col("_t")).alias("page")] if distinct_texts else []
+    """host, line (its key) of all boilerplate."""
+    d = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("t"))
+    page = [page_key(F.col("t")).alias("page")] if distinct_texts else []
     once = (lambda rows: rows.distinct()) if distinct_texts else (lambda rows: rows)
-    pages = once(d.select("_host", *page)).groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    lines = d.select("_host", *page, F.explode(F.array_distinct(F.split("_t", "\n"))).alias("line")).filter(F.col("line") != "")
-    counts = once(lines.select("_host", line_key(F.col("line")).alias("k"), *(["page"] if distinct_texts else []))).groupBy("_host", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    pages = small(materialize(pages.withColumnRenamed("_host", "_h")))
-    bad = counts.join(pages, F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("n") > F.lit(float(ratio)) * F.col("pages"))
-    return bad.groupBy("_host").agg(F.sort_array(F.collect_list("k")).alias("_bad"))
+    pages = once(d.select("host", *page)).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    lines = d.select("host", *page, F.explode(F.array_distinct(F.split("t", "\n"))).alias("line")).filter(F.col("line") != "")
+    counts = once(lines.select("host", line_key(F.col("line")).alias("line"), *(["page"] if distinct_texts else []))).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    pages = small(materialize(pages.withColumnRenamed("host", "h")))
+    return counts.join(pages, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "line")
+
 
+def dedup_lines(docs: DataFrame, ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct_texts: bool = False, broadcast_lines: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with boilerplate lines taken out of the text, and two more columns, free_names(docs, "lines", "kept"): the
+    numbers of lines before and after.
 
-def dedup_lines(docs: DataFrame, ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct_texts: bool = False) -> DataFrame:
-    """docs with boilerplate lines taken out of the text, plus _lines and _kept (numbers of lines)."""
-    bad = small(materialize(boilerplate(docs, ratio, min_pages, host_col, text_col, distinct_texts)), 5_000)
+    Up to broadcast_lines boilerplate lines of all hosts are broadcast, as one array a host; beyond them each text's
+    own are found by joins of line keys and brought back by the text's key, so texts are never dealt out by host."""
+    lines_, kept_, bad_, host_, page_, left_ = free_names(docs, "lines", "kept", "bad", "host", "page", "left")
+    bad = materialize(boilerplate(docs, ratio, min_pages, host_col, text_col, distinct_texts))
     lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), line_key(x))))
-    out = docs.join(bad, F.col(host_col).eqNullSafe(F.col("_host")), "left").withColumn("_keep", kept)
+    if bad.limit(broadcast_lines + 1).count() <= broadcast_lines:
+        of = bad.groupBy("host").agg(F.collect_list("line").alias(bad_)).withColumnRenamed("host", host_)
+        out = docs.join(F.broadcast(of), F.col(host_col).eqNullSafe(F.col(host_)), "left")
+        # those of the text, found by hash, are few
+        out = out.withColumn(bad_, F.array_intersect(F.transform(lines, line_key), F.col(bad_)))
+    else:
+        own = docs.select(F.col(host_col).alias("h"), page_key(F.col(text_col)).alias("p"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("l"))
+        of = own.join(bad, F.col("h").eqNullSafe(F.col("host")) & (F.col("l") == F.col("line"))).groupBy("h", "p").agg(F.collect_set("l").alias(bad_))
+        of = of.withColumnsRenamed({"h": host_, "p": page_})
+        out = docs.join(of, F.col(host_col).eqNullSafe(F.col(host_)) & (page_key(F.col(text_col)) == F.col(page_)), "left")
+    out = out.withColumn(left_, F.when(F.coalesce(F.size(bad_), F.lit(0)) <= 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(bad_), line_key(x)))))
     return out.select(
-        *[c for c in docs.columns if c != text_col],
-        F.when(F.col(text_col).isNotNull(), F.array_join("_keep", "\n")).alias(text_col),
-        F.coalesce(F.size(lines), F.lit(0)).alias("_lines"),
-        F.coalesce(F.size("_keep"), F.lit(0)).alias("_kept"),
+        *[F.col(c) for c in docs.columns if c != text_col],
+        F.when(F.col(text_col).isNotNull(), F.array_join(left_, "\n")).alias(text_col),
+        F.coalesce(F.size(lines), F.lit(0)).alias(lines_),
+        F.coalesce(F.size(left_), F.lit(0)).alias(kept_),
     )
 
 
@@ -58,9 +76,10 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     """docs with their own columns, boilerplate lines dropped; n_chars, where there is one, follows the text.
 
     A text counts once a host, however many rows repeat it."""
+    lines_, kept_ = free_names(docs, "lines", "kept")
     out = dedup_lines(docs, distinct_texts=True)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept") < F.col("_lines"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(kept_) < F.col(lines_), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

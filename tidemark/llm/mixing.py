@@ -6,7 +6,8 @@ single hash value. A document is taken once more than its source's whole repeats
 threshold, so thresholds are nested (a larger budget takes a superset) and nothing is sorted.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; rows with the same id share a
-hash and are taken alike; an empty table gives an empty result; a source without words has target 0.
+hash and are taken alike; an empty table gives an empty result; a source without words has target 0; other columns, of
+whatever name, are kept by mixed_documents and not looked at otherwise.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, word_count
+from .common import free_names, materialize, small, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -91,9 +92,10 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     """The mixture itself: every document as often as the mix takes it, with its columns as they were."""
     sized = materialize(with_size(docs))
     plan = source_thresholds(sized, materialize(source_targets(sized, weights, max_repeat)))
-    p = small(plan.select(F.col("source").alias("_mix_s"), F.col("repeats").alias("_mix_r"), F.col("threshold").alias("_mix_t")))
-    copies = F.col("_mix_r") + F.when(id_hash(docs["doc_id"]) < F.col("_mix_t"), 1).otherwise(0)
-    out = docs.join(p, docs["source"].eqNullSafe(F.col("_mix_s"))).withColumn("_mix_c", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    source_, repeats_, threshold_, copy_ = free_names(docs, "source_of", "repeats", "threshold", "copy")
+    p = small(plan.select(F.col("source").alias(source_), F.col("repeats").alias(repeats_), F.col("threshold").alias(threshold_)))
+    copies = F.col(repeats_) + F.when(id_hash(docs["doc_id"]) < F.col(threshold_), 1).otherwise(0)
+    out = docs.join(p, docs["source"].eqNullSafe(F.col(source_))).withColumn(copy_, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return out.select(*docs.columns)
 
 

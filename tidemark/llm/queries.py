@@ -37,7 +37,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    got = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return got.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_kept").cast("long").alias("n_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
