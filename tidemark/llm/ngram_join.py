@@ -7,16 +7,20 @@ fragment holds its n-grams there; for each candidate pair the segments' partial
 summed per pair, which gives the exact intersection.
 
 Candidates share one of the first n - ceil(0.75 n) + 1 n-grams of their order, which every linked pair does. N-grams
-that many documents share come last in the order, so only documents made mostly of them share them in that part. In
-each posting list every node is first compared with the smallest one that it could link with and with its neighbour in
-size; in lists whose nodes are then still in several components every node is compared with a few pivots of its size
-class, members of the list's largest component. What is still apart then is compared in all pairs that can be links,
-pairs within one component never. So no link between components is lost, and the copies of a group cost a few pairs each, not all pairs. Before segments
-are shipped, candidates whose n-gram parities differ in too many places to be linked are dropped (an exact bound).
+that many documents share come last in the order, so only documents made mostly of them share them in that part. A
+posting stays in its list only if some other one there leaves both enough n-grams behind it for a link; of a linked
+pair the first common n-gram does. In each list every node is first compared with the smallest one that it could link
+with and with its neighbour in size, in an order of nodes that all lists share, so that lists of the same nodes give
+the same pairs; in lists whose nodes are then still in several components every node is compared with a few pivots of
+its size class, members of the list's largest component. What is still apart then is compared in all pairs that can be
+links, pairs within one component never. So no link between components is lost, and the copies of a group cost a few
+pairs each, not all pairs. Before segments are shipped, candidates whose n-gram parities differ in too many places to
+be linked are dropped (an exact bound).
 
 Edge cases: null and empty texts (and those of white space only) have an empty set, link with nothing and are their
 own component; texts of one to four words are one n-gram; repeated ids count as one node a text and share the least id;
-an empty table gives an empty result. Texts are read whole.
+an empty table gives an empty result; other columns, of whatever name, are not looked at; ids are cast to long, and one
+that isn't a number raises Spark's CAST_INVALID_INPUT. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import bound_batches, materialize, small
+from .common import bound_batches, free_names, materialize, small
 from .graph import components
 from .text_kernel import mix, shingles
 
@@ -42,13 +46,19 @@ COUNTERS, CHUNKS = 1 << 22, 64
 RARE_FRAGMENTS = 4
 CLASS_SHIFT = 58
 #: Class (deviations above the mean as a power of 2) from which an n-gram counts as frequent.
-FREQUENT = 6 << CLASS_SHIFT
-#: Parts in which the posting list of a frequent n-gram is taken first.
-SALTS = 32
+FREQUENT_CLASS = 6
+FREQUENT = FREQUENT_CLASS << CLASS_SHIFT
+#: The posting list of a frequent n-gram is first taken in 2 ** (its class - FREQUENT_CLASS + PART_BITS) parts, as many
+#: as its length asks for.
+PART_BITS = 2
+#: Bits of a node's size (as a logarithm, so fine that no two sizes fall together) and of its hash in the nodes' order.
+SIZE_BITS, HASH_BITS = 31, 27
 #: Pairs of a node, those of the least bound of the difference, that are verified before its others.
 BEST = 4
 #: Pivots of a list and size class that its other nodes are compared with, before the pairs still apart are.
 PIVOTS = 24
+#: Parts in which the pairs of one node are ranked first.
+RANK_PARTS = 16
 #: Bits of the filter that spares nodes without candidates the shipping of segments (fixed size, 2 MB).
 FILTER_BITS = 1 << 24
 
@@ -311,20 +321,46 @@ def _fits(x: str, y: str):
     return (F.col(f"{x}.set_id") != F.col(f"{y}.set_id")) & (low * DEN >= high * NUM)
 
 
+def _behind(x: str, y: str):
+    """x has enough n-grams from this place of its order on for a link with y. In the list of a linked pair's first
+    common n-gram that holds of both."""
+    return (F.col(f"{x}.n") - F.col(f"{x}.place")) * (NUM + DEN) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * NUM
+
+
+def _worth(x: str, y: str):
+    return _fits(x, y) & _behind(x, y) & _behind(y, x)
+
+
 def _lists(docs: DataFrame, classes) -> DataFrame:
-    """gram, node (set_id, n), place, and two partners to try first: the smallest node of the list that the node could
-    link with, and the one before it in size. Lists of one node are left out; a frequent n-gram's list is taken in
-    SALTS parts, whose smallest nodes (head) the caller compares."""
+    """gram, node (set_id, n, place), and two partners to try first: the smallest node of the list that the node could
+    link with, and the one before it in size. Nodes that can't link with any other of the list are left out. A frequent
+    n-gram's list is taken in parts, whole, whose smallest nodes (head) the caller compares."""
     frequent = F.col("gram") >= FREQUENT
-    salt = F.when(frequent, F.pmod(F.xxhash64("set_id"), F.lit(SALTS))).otherwise(0).cast("int")
-    p = _postings(docs, classes).withColumns({"salt": salt, "node": F.struct("set_id", "n"), "log": F.floor(F.log(F.col("n")) * 1_000_000).cast("long")})
-    w = Window.partitionBy("gram", "salt")
-    reach = int(np.log(DEN / NUM) * 1_000_000) + 2
+    parts = F.shiftright("gram", CLASS_SHIFT) - (FREQUENT_CLASS - PART_BITS)
+    salt = F.when(frequent, F.pmod(F.xxhash64("set_id"), F.pow(F.lit(2.0), parts).cast("long"))).otherwise(0).cast("int")
+    # dealt out before the columns below are made, which the shuffle need not carry
+    p = _postings(docs, classes).withColumn("salt", salt).repartition("gram", "salt")
+    size = F.floor(F.log("n") * float(1 << SIZE_BITS)).cast("long")
+    order = F.shiftleft(size, HASH_BITS) + F.shiftrightunsigned(F.xxhash64("set_id"), 64 - HASH_BITS)
+    p = p.select("gram", "salt", F.struct("set_id", "n", "place").alias("node"), order.alias("at"))
+    w = Window.partitionBy("gram", "salt").orderBy("at")
+    reach = (int(np.log(DEN / NUM) * (1 << SIZE_BITS)) + 2) << HASH_BITS
+    # the smaller one of a linked pair has a place that leaves it enough for one of its own size
+    first = F.when(_behind("node", "node"), F.col("node"))
     p = p.withColumns({
-        "lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w), "head": F.first("node").over(w.orderBy("log")),
-        "smallest": F.first("node").over(w.orderBy("log").rangeBetween(-reach, 0)), "before": F.lag("node").over(w.orderBy("log")),
+        "head": F.first("node").over(w.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag("node").over(w), "after": F.lead("node").over(w),
+        "smallest": F.first(first, ignorenulls=True).over(w.rangeBetween(-reach, 0)),
     })
-    return p.filter((F.col("lo") < F.col("hi")) | frequent).select("gram", "node", "place", "head", "smallest", "before")
+    larger = _fits("node", "smallest") & _behind("node", "smallest")
+    smaller = _fits("node", "after") & _behind("node", "after")
+    return p.filter(frequent | F.coalesce(larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).select("gram", "node", "head", "smallest", "before")
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, component) after more links."""
+    if not links.limit(1).count():
+        return label
+    return materialize(components(label.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,38 +371,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = spark.sparkContext.broadcast(_classes(_count_table(d)))
     nodes = materialize(_nodes(d, classes))
     shared = materialize(_lists(d, classes))
-    tries = [shared.filter(_fits("node", other)).select(*_pair("node", other)) for other in ("smallest", "before")]
+    tries = [shared.filter(_worth("node", other)).select(*_pair("node", other)) for other in ("smallest", "before")]
     # the heads of a frequent n-gram's parts meet the smallest of them
     heads = shared.filter(F.col("gram") >= FREQUENT).select("gram", "head").distinct()
     top = heads.groupBy("gram").agg(F.min_by("head", F.struct("head.n", "head.set_id")).alias("top"))
     tries.append(heads.join(top, "gram").filter(_fits("head", "top")).select(*_pair("head", "top")))
     tried = materialize(tries[0].unionByName(tries[1]).unionByName(tries[2]).distinct())
-    links = _linked(d, classes, nodes, materialize(_possible(tried, nodes)))
-    label = materialize(components(links))
+    label = materialize(components(_linked(d, classes, nodes, materialize(_possible(tried, nodes)))))
     rest = _open(shared, label)
     # members of one large group meet its pivots, so that not all pairs of those still apart are needed; a list that has
     # no more nodes than pivots costs no more by pairs
     long = rest.filter(F.col("k") > PIVOTS)
     pivots = materialize(_pivot_pairs(long, label).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     best = _likeliest(materialize(_possible(pivots, nodes)))
-    links = links.unionByName(_linked(d, classes, nodes, best))
-    label = materialize(components(links))
+    label = _joined(label, _linked(d, classes, nodes, best))
     rest = rest.filter(F.col("k") <= PIVOTS).unionByName(_open(long, label))
     done = tried.select("a", "b").unionByName(best.select("a", "b"))
     # pairs between components in the lists that hold several: a node's most alike first, then those still apart
     more = materialize(_across(rest).distinct().join(done, ["a", "b"], "left_anti"))
     more = materialize(_possible(more, nodes))
     best = _likeliest(more)
-    links = links.unionByName(_linked(d, classes, nodes, best))
-    label = materialize(components(links))
+    label = _joined(label, _linked(d, classes, nodes, best))
     c = label.select("node", "component")
     left = more.join(best.select("a", "b"), ["a", "b"], "left_anti")
     for x in "ab":
         left = left.join(c.select(F.col("node").alias(f"n{x}_"), F.col("component").alias(f"c{x}")), F.col(x) == F.col(f"n{x}_"), "left")
     left = materialize(left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*more.columns))
-    late = _linked(d, classes, nodes, left)
-    if late.limit(1).count():
-        label = materialize(components(links.unionByName(late)))
+    label = _joined(label, _linked(d, classes, nodes, left))
     # the least id of a node, then of a component
     reps = nodes.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     node = materialize(reps.join(label, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("c")))
@@ -377,10 +408,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _open(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """gram, node, place, c (the node's component so far), k (the list's nodes) of the lists that hold several components."""
+    """gram, node, c (the node's component so far), k (the list's nodes) of the lists that hold several components."""
     of = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     lists = lists.join(of, F.col("node.set_id") == F.col("_n"), "left")
-    lists = materialize(lists.select("gram", "node", "place", F.coalesce("_c", "node.set_id").alias("c")))
+    lists = materialize(lists.select("gram", "node", F.coalesce("_c", "node.set_id").alias("c")))
     several = materialize(lists.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo < hi").select("gram", "k"))
     return materialize(lists.join(several, "gram"))
 
@@ -395,37 +426,55 @@ def _pivot_pairs(lists: DataFrame, label: DataFrame) -> DataFrame:
     rows = lists.select("gram", "node", "c", classes.alias("size"))
     best = [F.max(F.struct("weight", "c", F.xxhash64("node.set_id", F.lit(i)).alias("h"), "node")).alias(f"p{i}") for i in range(PIVOTS)]
     top = rows.join(weight, F.col("c") == F.col("_w")).groupBy("gram", "size").agg(*best)
-    nodes = F.array_distinct(F.array(*[f"p{i}.node" for i in range(PIVOTS)]))
+    nodes = F.array_distinct(F.array(*[F.struct(f"p{i}.node.set_id", f"p{i}.node.n") for i in range(PIVOTS)]))
     pivots = materialize(top.select("gram", "size", F.col("p0.c").alias("pc"), nodes.alias("pivots")))
-    both = rows.join(pivots, ["gram", "size"]).filter(F.col("c") != F.col("pc")).select("node", F.explode("pivots").alias("to"))
+    # lists of the same nodes have the same pivots, which are taken once
+    both = rows.join(pivots, ["gram", "size"]).filter(F.col("c") != F.col("pc"))
+    both = both.select(F.struct("node.set_id", "node.n").alias("node"), "pivots").distinct().select("node", F.explode("pivots").alias("to"))
     return both.filter(_fits("node", "to")).select(*_pair("node", "to")).distinct()
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:
-    """Pairs that are among the BEST of one of their nodes by the least difference."""
-    rank = [F.row_number().over(Window.partitionBy(x).orderBy("least", y)) for x, y in ("ab", "ba")]
-    return materialize(pairs.withColumns({"ra": rank[0], "rb": rank[1]}).filter((F.col("ra") <= BEST) | (F.col("rb") <= BEST)).select(*pairs.columns))
+    """Pairs that are among the BEST of one of their nodes by the least difference.
 
+    A node's pairs are ranked in RANK_PARTS parts first, then the best of these."""
+    found = None
+    for x, y in ("ab", "ba"):
+        part = Window.partitionBy(x, F.pmod(F.xxhash64(y), F.lit(RANK_PARTS))).orderBy("least", y)
+        some = pairs.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= BEST)
+        some = some.withColumn("_r", F.row_number().over(Window.partitionBy(x).orderBy("least", y))).filter(F.col("_r") <= BEST).select(*pairs.columns)
+        found = some if found is None else found.unionByName(some)
+    return materialize(found.distinct())
 
-def _worth():
-    """Pairs (x, y) of different components whose sets can have enough n-grams in common from this list's on.
 
-    A linked pair's first common n-gram meets this in its own list."""
-    most = F.least(F.col("x.n") - F.col("x_place"), F.col("y.n") - F.col("y_place"))
-    return (F.col("x_c") != F.col("y_c")) & _fits("x", "y") & (most * (NUM + DEN) >= (F.col("x.n") + F.col("y.n")) * NUM)
+def _across(rest: DataFrame) -> DataFrame:
+    """Pairs of different components in one list that can be links by their sizes and places."""
+    x, y = (rest.select("gram", F.col("node").alias(k), F.col("c").alias(f"{k}_c")) for k in "xy")
+    both = x.join(y, "gram").filter((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x_c") != F.col("y_c")))
+    return both.filter(_worth("x", "y")).select(*_pair("x", "y"))
 
 
-def _across(rest: DataFrame) -> DataFrame:
-    x, y = (rest.select("gram", F.col("node").alias(k), F.col("place").alias(f"{k}_place"), F.col("c").alias(f"{k}_c")) for k in "xy")
-    return x.join(y, "gram").filter((F.col("x.set_id") < F.col("y.set_id")) & _worth()).select(*_pair("x", "y"))
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in ids (one column, distinct), null ids alike.
+
+    A bitmap of FILTER_BITS hashed ids, which is broadcast in at most FILTER_BITS / 64 words, tells the rows that aren't
+    among them; only the texts of the others, few more than those to drop, are shuffled to be told exactly."""
+    word_, mask_, gone_ = free_names(docs, "word", "mask", "gone")
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS.bit_length() + 1)
+    place = lambda c: slot(c).bitwiseAND(F.lit(63)).cast("int")
+    gone = ids.select(F.col(ids.columns[0]).alias(gone_))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col(gone_)))
+    bits = materialize(gone.groupBy(F.shiftright(slot(F.col(gone_)), 6).alias(word_)).agg(F.bit_or(bit).alias(mask_)))
+    marked = docs.join(F.broadcast(bits), F.shiftright(slot(F.col(id_col)), 6) == F.col(word_), "left")
+    seen = F.coalesce(F.col(mask_).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col(id_col)))), F.lit(0)) != 0
+    unsure = marked.filter(seen).select(*docs.columns)
+    return marked.filter(~seen).select(*docs.columns).unionByName(unsure.join(gone, unsure[id_col].eqNullSafe(F.col(gone_)), "left_anti"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the documents whose component has one of a lower id. Rows that share the kept id all stay."""
-    c = jaccard_components(docs)
-    keep = materialize(c.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct())
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    return out
+    c = jaccard_components(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    return without(docs, materialize(c.filter("not kept").select("doc_id")))
 
 
 SQL = r"""
