@@ -8,7 +8,8 @@ block's own number of bits of its own. More bits than these in every block would
 
 Edge cases: null and empty texts have no votes and the fingerprint of 16 zeros; equal texts have equal fingerprints
 whatever the row; repeated ids follow each other in the order of their texts; null ids come first; the next document
-after the last is the first, and a single document is its own next one.
+after the last is the first, and a single document is its own next one; an empty table gives an empty result; other
+columns, of whatever name, are not looked at.
 """
 
 from __future__ import annotations
@@ -63,7 +64,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with next_text and the row key (_span, _seq).
+    """docs (doc_id, text) with next_text and the row key (_span, _seq); of the rows with _copy = 1 only the fingerprint
+    of the text counts, as the next one of the row before.
 
     Ids are cut at approximate quantiles into ranges, RANGES a shuffle partition; one task orders one range. The first
     rows of a range are also put behind the range before it (one id a range), those of the first behind the last."""
@@ -82,20 +84,22 @@ def with_next(docs: DataFrame) -> DataFrame:
     copies = d.drop("_wrap").join(small(heads), F.col("_k") == F.col("_head")).select("doc_id", "text", "_k", F.col("_to").alias("_span"), F.lit(1).alias("_copy"), "_wrap")
     w = Window.partitionBy("_span").orderBy("_wrap", "_k", "_copy", F.xxhash64("text"))
     rows = d.unionByName(copies).withColumns({"next_text": F.lead("text").over(w), "_seq": F.row_number().over(w)})
-    return rows.filter(F.col("_copy") == 0).select("doc_id", "text", "next_text", "_span", "_seq")
+    return rows.select("doc_id", "text", "next_text", "_span", "_seq", "_copy")
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp (longs) of every document.
 
-    Ordering, tokens and votes share one shuffle: all grouping keys start with the range."""
+    Ordering, tokens, votes and the next row's fingerprint share one shuffle: all grouping keys start with the range."""
     rows = with_next(docs)
     text, nxt = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("next_text"), F.lit(""))
-    rows = rows.select("doc_id", "_span", "_seq", text.alias("text"), nxt.alias("next_text"), F.length(text).cast("long").alias("n_chars"))
+    rows = rows.select("doc_id", "_span", "_seq", "_copy", text.alias("text"), nxt.alias("next_text"), F.length(text).cast("long").alias("n_chars"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.left(F.col("next_text"), half))
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256))
-    return fingerprints(rows, ["_span", "_seq", "doc_id", "n_chars", "edited_sha256"], {"fp": F.col("text"), "edited_fp": F.col("edited"), "next_fp": F.col("next_text")}).drop("_span", "_seq")
+    fps = fingerprints(rows, ["_span", "_seq", "_copy", "doc_id", "n_chars", "edited_sha256"], {"fp": F.col("text"), "edited_fp": F.col("edited")})
+    fps = fps.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("_span").orderBy("_seq")))
+    return fps.filter(F.col("_copy") == 0).select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
 
 
 def _long(mask: int) -> int:

@@ -1,16 +1,20 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products within cells, one kept per group.
 
 Vectors are compared only when label and dimension are equal. Equal vectors are one class. The classes of a label are
-assigned to the cell of their nearest centroid; spherical k-means is fitted on a bounded sample (SAMPLE vectors a
-label, chosen by hash), the assignment covers every vector. A class is also a guest in each earlier cell from which a
-vector within the angle of the threshold could come: if x has home h and a linked y has home c, then x lies at most
-sin(angle) beyond the hyperplane between the centroids, x.(h - c) <= sin(angle) |h - c|. So the cells lose no link,
-whatever the centroids. A cell's classes are dealt into blocks, each pair of blocks is one cosine product, and a task
-gives back link counts and a spanning forest, never the pairs.
+assigned to the cell of their nearest centroid, of about as many cells as the square root of their number, so that
+assignment and products grow alike; spherical k-means is fitted on a bounded sample (by hash), the assignment covers
+every vector. A class is also a guest in each earlier cell from which a linked vector is likely to come: if x has home
+h and a linked y has home c, then y lies beyond the hyperplane between the centroids, which x is
+x.(h - c) / |h - c| away from. No link reaches farther than sin(angle of the threshold); that margin makes the cells
+exact, whatever the centroids, but in many dimensions nearly every vector is a guest nearly everywhere. The difference
+of a linked pair has the length sqrt(2 - 2 threshold) at most, and a part of it along any one direction of about that
+over sqrt(dimension); GUEST times this is the margin used, and the recall it has is measured (README, tests). A cell's
+classes are dealt into blocks, each pair of blocks is one cosine product, and a task gives back link counts and a
+spanning forest, never the pairs. Two guests of a cell are not compared there.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label,
 link with nothing; a null vec_id links with nothing; rows that repeat a vector link with each other; an empty table
-gives an empty result.
+gives an empty result; other columns, of whatever name, are not looked at; ids and labels are cast to long.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from .common import materialize, small
 from .graph import components
 
 THRESHOLD = 0.93
-SAMPLE = 65_536
-CELL, MAX_CELLS = 2_048, 4_096
+#: Margin of guests, in standard deviations of a linked pair's difference along a direction; None: the exact one.
+GUEST = 1.25
+#: Vectors of a label that k-means is fitted on, and their bytes at most; bytes of all centroids, which are broadcast.
+SAMPLE, SAMPLE_BYTES, CENTROID_BYTES = 65_536, 1 << 26, 1 << 25
 ROUNDS = 12
 #: Classes of a block, at least and at most, and of a product within it.
 BLOCK, BLOCK_MOST, INNER = 1_024, 8_192, 512
@@ -53,27 +59,49 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _fit(classes: DataFrame, sizes: DataFrame, max_cell: int) -> list:
-    """Centroids of the labels that need more than one cell."""
-    big = sizes.filter(F.col("n") > max_cell)
+def _with_cells(classes: DataFrame) -> DataFrame:
+    """label, dim, n, k: classes and cells of every label; sqrt(n) cells, less where all centroids would pass
+    CENTROID_BYTES."""
+    sizes = materialize(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")))
+    asked = sizes.agg(F.sum(F.sqrt("n") * F.col("dim") * 8)).first()[0] or 0.0
+    share = min(1.0, CENTROID_BYTES / asked) if asked else 1.0
+    return sizes.withColumn("k", F.greatest(F.lit(1), F.round(F.sqrt("n") * share)).cast("long"))
+
+
+def _fit(classes: DataFrame, sizes: DataFrame) -> list:
+    """Centroids of the labels that have more than one cell."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         x = _matrix(pa.Table.from_batches(held).column("vec"))
-        n = held[0].column("n")[0].as_py()
-        k = int(min(-(-n // max_cell), MAX_CELLS, len(x)))
+        k = min(held[0].column("k")[0].as_py(), len(x))
         c = spherical_kmeans(x, k)
         yield pa.record_batch({"label": pa.array([key[0].as_py()] * k, pa.int64()), "dim": pa.array([key[1].as_py()] * k, pa.int32()), "centroid": pa.array(list(c), pa.list_(pa.float64()))})
 
-    share = F.lit(float(SAMPLE)) / F.col("n")
-    sample = classes.join(F.broadcast(big.withColumnsRenamed({"label": "l", "dim": "d"})), (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")))
-    sample = sample.filter((F.pmod(F.xxhash64("class_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < share)
-    return sample.select("label", "dim", "vec", "n").groupBy("label", "dim").applyInArrow(run, "label long, dim int, centroid array<double>").collect()
+    most = F.least(F.lit(SAMPLE), F.floor(F.lit(SAMPLE_BYTES) / (8 * F.col("d"))))
+    big = sizes.filter("k > 1").select(F.col("label").alias("l"), F.col("dim").alias("d"), "k", "n")
+    sample = classes.join(small(big), (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")))
+    sample = sample.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 30)) * F.col("n") < most * (1 << 30))
+    return sample.select("label", "dim", "vec", "k").groupBy("label", "dim").applyInArrow(run, "label long, dim int, centroid array<double>").collect()
+
+
+def reach(threshold: float, dim: int, guest: float | None) -> float:
+    """How far beyond a hyperplane a class may lie to be a guest there."""
+    exact = float(np.sqrt(1 - threshold * threshold))
+    return exact if guest is None else min(exact, guest * float(np.sqrt((2 - 2 * threshold) / dim)))
 
 
-def _assign(classes: DataFrame, centroids, threshold: float) -> DataFrame:
-    """label, dim, cell, home, class_id, copies, vec: a row for the home cell and one for each cell a class is guest in."""
-    reach = float(np.sqrt(1 - threshold * threshold)) + 1e-9
+def places(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home cells of unit rows, and rows and cells of guests."""
+    dot = x @ c.T
+    h = np.argmax(dot, axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c[h] @ c.T)))
+    guest = (dot[np.arange(len(x)), h][:, None] - dot <= margin * apart + 1e-7) & (np.arange(len(c))[None, :] < h[:, None])
+    return h, *np.nonzero(guest)
+
+
+def _assign(classes: DataFrame, centroids, threshold: float, guest: float | None) -> DataFrame:
+    """label, dim, class_id, copies, vec, cell, home: a row for the home cell and one for each cell a class is guest in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,16 +111,9 @@ def _assign(classes: DataFrame, centroids, threshold: float) -> DataFrame:
                 of = np.flatnonzero((label == key[0]) & (dim == key[1]))
                 c = centroids.value.get(key)
                 if c is None:
-                    row.append(of)
-                    cell.append(np.zeros(len(of), np.int64))
-                    home.append(np.ones(len(of), bool))
-                    continue
-                x = _matrix(b.column("vec").take(pa.array(of)))
-                dot = x @ c.T
-                h = np.argmax(dot, axis=1)
-                apart = np.linalg.norm(c[h][:, None, :] - c[None, :, :], axis=2) if len(c) * len(of) * c.shape[1] < 1 << 22 else np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[h]
-                guest = (dot[np.arange(len(of)), h][:, None] - dot <= reach * apart) & (np.arange(len(c))[None, :] < h[:, None])
-                g_row, g_cell = np.nonzero(guest)
+                    h, g_row, g_cell = np.zeros(len(of), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                else:
+                    h, g_row, g_cell = places(_matrix(b.column("vec").take(pa.array(of))), c, reach(threshold, key[1], guest))
                 row += [of, of[g_row]]
                 cell += [h, g_cell]
                 home += [np.ones(len(of), bool), np.zeros(len(g_row), bool)]
@@ -104,17 +125,14 @@ def _assign(classes: DataFrame, centroids, threshold: float) -> DataFrame:
 
 
 def _dealt(placed: DataFrame) -> DataFrame:
-    """placed with a row for each pair of blocks (i, j) that a class takes part in; side 1 is j's. Guests' blocks
-    follow those of the cell's own classes, and meet only these."""
-    n = materialize(placed.groupBy("label", "dim", "cell").agg(F.sum(F.col("home").cast("long")).alias("own"), F.sum((~F.col("home")).cast("long")).alias("guests")))
-    n = n.withColumn("size", F.greatest(F.lit(BLOCK), F.least(F.lit(BLOCK_MOST), F.sqrt(F.col("own") + F.col("guests")) * 16)))
-    n = n.select(*[F.col(c).alias(f"_{c}") for c in ("label", "dim", "cell")], F.ceil(F.col("own") / F.col("size")).cast("int").alias("bo"), F.ceil(F.col("guests") / F.col("size")).cast("int").alias("bg"))
-    d = placed.join(small(n), (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell"))).filter("bo > 0")
-    mine = F.when(F.col("home"), F.pmod(F.xxhash64("class_id"), F.col("bo"))).otherwise(F.col("bo") + F.pmod(F.xxhash64("class_id"), F.col("bg"))).cast("int")
-    d = d.withColumn("mine", mine)
-    others = F.when(F.col("home"), F.sequence(F.lit(0), F.col("bo") + F.col("bg") - 1)).otherwise(F.sequence(F.lit(0), F.col("bo") - 1))
-    d = d.withColumn("other", F.explode(others))
-    return d.select("label", "dim", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "class_id", "copies", "vec")
+    """placed with a row for each pair of blocks (i, j) that a class takes part in; side 1 is j's."""
+    n = placed.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("n"))
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(BLOCK_MOST), F.sqrt("n") * 16))
+    n = materialize(n.select(*[F.col(c).alias(f"_{c}") for c in ("label", "dim", "cell")], F.ceil(F.col("n") / size).cast("int").alias("blocks")).filter("blocks > 1"))
+    d = placed.join(small(n), (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell")), "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    d = d.withColumn("mine", F.pmod(F.xxhash64("class_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return d.select("label", "dim", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "home", "class_id", "copies", "vec")
 
 
 def _products(dealt: DataFrame, threshold: float) -> DataFrame:
@@ -123,7 +141,7 @@ def _products(dealt: DataFrame, threshold: float) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches([b for b in batches if len(b)])
         t = t.take(pa.array(np.argsort(t.column("class_id").to_numpy(), kind="stable")))
-        ids, copies, side = (t.column(c).to_numpy() for c in ("class_id", "copies", "side"))
+        ids, copies, side, home = (t.column(c).to_numpy() for c in ("class_id", "copies", "side", "home"))
         x = _matrix(t.column("vec"))
         one_block = key[3].as_py() == key[4].as_py()
         a = np.arange(len(ids)) if one_block else np.flatnonzero(side == 0)
@@ -132,7 +150,7 @@ def _products(dealt: DataFrame, threshold: float) -> DataFrame:
         for p in range(0, len(a), INNER):
             for q in range(p if one_block else 0, len(b), INNER):
                 ra, rb = a[p : p + INNER], b[q : q + INNER]
-                hit = x[ra] @ x[rb].T >= threshold
+                hit = (x[ra] @ x[rb].T >= threshold) & (home[ra][:, None] | home[rb][None, :])
                 if one_block and p == q:
                     hit = np.triu(hit, 1)
                 if not hit.any():
@@ -156,8 +174,9 @@ def _products(dealt: DataFrame, threshold: float) -> DataFrame:
     return dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(run, "class_id long, links long, root long")
 
 
-def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, max_cell: int = CELL) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label)."""
+def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, guest: float | None = GUEST) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label). guest None finds every
+    link whatever the vectors, at the cost of more copies of them."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", number) & F.exists("vec", lambda x: x != 0)
@@ -166,12 +185,11 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, max_cell:
     v = v.withColumns({"k1": F.when(F.col("good"), k1), "k2": F.when(F.col("good"), k2)})
     classes = v.filter("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     classes = materialize(classes.withColumn("dim", F.size("vec")))
-    sizes = materialize(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")))
     found: dict[tuple[int, int], list] = {}
-    for r in _fit(classes, sizes, max_cell):
+    for r in _fit(classes, _with_cells(classes)):
         found.setdefault((r["label"], r["dim"]), []).append(r["centroid"])
     centroids = vectors.sparkSession.sparkContext.broadcast({k: np.array(c) for k, c in found.items()})
-    placed = materialize(_assign(classes, centroids, threshold))
+    placed = materialize(_assign(classes, centroids, threshold, guest))
     got = materialize(_products(_dealt(placed), threshold))
     label = components(got.filter("class_id <> root").select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     links = got.groupBy("class_id").agg(F.sum("links").alias("links"))
