@@ -1,5 +1,8 @@
 """Operators of the engine against hand-written cases, numpy and SQL."""
 
+import hashlib
+import json
+
 import duckdb
 import numpy as np
 import pytest
@@ -11,7 +14,6 @@ from tidemark.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"guarded_answers", "plain_answers"}
 
 
 def rows(columns, found):
@@ -117,7 +119,7 @@ def test_mixture_of_two(spark):
 
 
 EVENTS = [
-    '{"timestamp":"2026-01-01T00:00:00Z","cache_hit":false,"action":"generate","route":"domain","latency_ms":14,"retrieval":{"stage_latency_ms":{"dense":2,"bm25":3,"fusion":1,"rerank":8},"agreement":{"jaccard":0.5,"shared":1,"top1":true}},"query_ood":{"ood_probability":0.1,"energy":2,"mahalanobis":1,"knn_distance":0.2},"chunk_ood":[{"ood_probability":0.2,"energy":3,"mahalanobis":2,"knn_distance":0.3}]}',
+    '{"timestamp":"2026-01-01T00:00:00Z","cache_hit":false,"action":"generate","route":"domain","latency_ms":14,"retrieval":{"stage_latency_ms":{"dense":2,"bm25":3,"fusion":1,"rerank":8},"agreement":{"top_k_jaccard":0.5,"shared_top_k":1,"top_1_agrees":true,"mean_shared_rank_delta":null}},"query_ood":{"ood_probability":0.1,"energy":2,"mahalanobis":1,"knn_distance":0.2},"chunk_ood":[{"ood_probability":0.2,"energy":3,"mahalanobis":2,"knn_distance":0.3}]}',
     '{"timestamp":"2026-01-01T00:00:01Z","cache_hit":true,"action":"abstain","query_ood":{"ood_probability":0.9,"energy":9,"mahalanobis":8,"knn_distance":0.9},"chunk_ood":[]}',
     "not json", "[1]",
 ]
@@ -132,7 +134,7 @@ def test_telemetry_and_stream(spark, tmp_path):
     assert (s["requests"], s["abstain_rate"], s["cache_hit_rate"]) == (2, 0.5, 0.5)
     assert {r["stage"]: r["p99"] for r in telemetry.stage_latency(e).collect()} == {"dense": 2.0, "bm25": 3.0, "fusion": 1.0, "rerank": 8.0}
     a = telemetry.agreement_summary(e).first()
-    assert (a["samples"], a["mean_jaccard"], a["top1_rate"]) == (1, 0.5, 1.0)
+    assert (a["samples"], a["mean_top_k_jaccard"], a["top_1_agreement_rate"]) == (1, 0.5, 1.0)
     h = telemetry.signal_histograms(e).filter("signal = 'energy'").collect()
     assert sum(r["scope"] == "query" for r in h) == 10 and [r["n"] for r in h if r["scope"] == "chunk"] == [1]
     tables.append_events(e, str(tmp_path / "in"))
@@ -148,6 +150,36 @@ def test_sources(spark, tmp_path):
     assert images.count() == 1
     got = tables.chunk_ids(tables.read_texts(spark, texts, str(tmp_path))).first()
     assert (got["id"], got["text"]) == ("id_core_text__a__0", "hello")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.txt").write_text("other")
+    (tmp_path / "b.png").write_bytes(bytes.fromhex("89504e470d0a1a0a00"))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    (tmp_path / "zero.txt").write_bytes(b"")
+    (tmp_path / "bin.txt").write_bytes(b"\xff\xfe")
+    record = lambda path, kind: {"tier": "t", "modality": kind, "path": path, "doc_id": path, "title": "T", "source": "s"}
+    found = [record(p, "text") for p in ("a.txt", "bin.txt", "deep/a.txt", f"{tmp_path}/a.txt", "none.txt", "zero.txt")] + [record(p, "image") for p in ("b.png", "bad.png", "none.png")]
+    (tmp_path / "all.json").write_text(json.dumps(found))
+    texts, images = tables.read_manifest(spark, str(tmp_path / "all.json"))
+    got = {r["id"]: r["text"] for r in tables.chunk_ids(tables.read_texts(spark, texts, str(tmp_path))).collect()}
+    assert got == {"t__a.txt__0": "hello", "t__deep/a.txt__1": "other", f"t__{tmp_path}/a.txt__2": "hello", "t__zero.txt__3": ""}
+    many = spark.createDataFrame([("t", str(i), i) for i in range(200) if i not in (3, 70)], "tier string, doc_id string, pos int")
+    assert {r["doc_id"]: r["id"] for r in tables.chunk_ids(many).collect()}["71"] == "t__71__70"
+    index = tables.build_index(tables.read_images(spark, images, str(tmp_path)), lambda x: np.ones((len(x), 2)), str(tmp_path / "index"), "content", 32)
+    assert [(r["id"], r["document"], r["embedding"]) for r in index.collect()] == [("t__b.png__0", "b.png", [1.0, 1.0])]
+    health = {r["modality"]: (r["n"], r["missing"], r["zero_byte"], r["unreadable"]) for r in tables.manifest_health(spark, texts.unionByName(images), str(tmp_path)).collect()}
+    assert health == {"text": (6, 1, 1, 1), "image": (3, 1, 0, 1)}
+    assert tables.manifest_hash(spark, str(tmp_path / "all.json")) == hashlib.sha256((tmp_path / "all.json").read_bytes()).hexdigest()[:12]
+    assert tables.manifest_hash(spark, str(tmp_path / "nothing.json")) == "unavailable"
+    (tmp_path / "p.json").write_text('{"m":{"input_per_1m_tokens_usd":0.1,"output_per_1m_tokens_usd":0.4}}')
+    assert tables.read_pricing(spark, str(tmp_path / "p.json")).collect() == [("m", 0.1, 0.4)]
+    (tmp_path / "q.json").write_text('[{"query":"a"},{"query":"b","x":1}]')
+    assert [r[0] for r in tables.read_query_references(spark, str(tmp_path / "q.json")).collect()] == ["a", "b"]
+    (tmp_path / "t.jsonl").write_text("\n".join([EVENTS[0], EVENTS[1], "junk", EVENTS[1], "[1]"]) + "\n")
+    assert [r["action"] for r in tables.read_recent(spark, str(tmp_path / "t.jsonl"), 4).collect()] == ["abstain", "abstain"]
+    assert tables.append_answers(spark.createDataFrame([(1, "x")], "id int, answer string"), str(tmp_path / "log"))
+    assert "logged_at" in spark.read.json(str(tmp_path / "log")).columns and not tables.append_answers(spark.range(1), "nosuch://x/y")
+    tables.write_csv(spark.range(2), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     with pytest.raises(ValueError):
         tables.lookup(spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(2,)], "id long"))
 
@@ -164,3 +196,149 @@ def test_entry_without_corpus_operators():
     import __spark_entry__ as e
 
     assert set(engine.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_prompt_keeps_marks_of_documents(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("generate", "secret?", "text with {query} and {history}")], "a string, q string, d string")
+    out = df.select(guardrails.prompt(F.col("a"), F.col("q"), F.col("d"), F.lit(""))).first()[0]
+    assert "text with {query} and {history}" in out and out.count("secret?") == 1
+
+
+def test_citations_over_the_range_of_numbers(spark):
+    df = spark.createDataFrame([("a [3000000000] b [99999999999999999999] [2][2]",)], "t string")
+    assert df.select(text.citation_ids(df.t)).first()[0] == [2, 3000000000]
+
+
+def test_quantiles_and_cumulative(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=3000), 2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    shares = [0.0, 0.05, 0.5, 0.8, 0.95, 1.0]
+    assert np.allclose(stats.quantiles(df, "v", shares), np.quantile(x, shares))
+    assert stats.quantiles(df.filter("false"), "v", [0.5]) == [None] and stats.quantiles(df.limit(1), "v", [0.3]) == [x[0]] * 1
+    y = (x + rng.normal(size=3000) > 0).astype(int)
+    rows = spark.createDataFrame(list(zip(y.tolist(), x.tolist(), strict=True)), "y int, s double")
+    pos, neg = x[y == 1], x[y == 0]
+    want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert stats.auroc(rows, "y", "s").first()[0] == round(want, 6)
+    assert stats.auroc(rows.filter("false"), "y", "s").first()[0] is None
+
+
+def test_nearest_equals_numpy_at_both_plans(spark, monkeypatch):
+    from tidemark.operators import vectors
+
+    rng = np.random.default_rng(2)
+    x, y = np.round(rng.normal(size=(70, 5)), 1), np.round(rng.normal(size=(90, 5)), 1)
+    y[50:60] = y[:10]  # ties
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [1.0, None, 0.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)] + [(900, None), (902, [1.0, None, 0.0, 0.0, 0.0])], "id long, embedding array<double>")
+    u, w = (z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9) for z in (x, y))
+    d = np.round(1 - u @ w.T, 9)
+    want = sorted((i, int(j), r) for i in range(70) for r, j in enumerate(sorted(range(90), key=lambda j: (d[i, j], j))[:7]))
+    for block, most in ((1024, 16), (16, 1)):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "BROADCAST_BLOCKS", most)
+        assert sorted((r["query_id"], r["id"], r["rank"]) for r in vectors.nearest(q, c, 7).collect()) == want
+
+
+def test_bm25_and_agreement_edges(spark):
+    q = spark.createDataFrame([(1, "common"), (2, "absent")], "query_id long, query string")
+    c = spark.createDataFrame([(i, "common word" + (" rare" if i == 0 else "")) for i in range(4)], "id long, text string")
+    got = retrieval.bm25(q, c).collect()
+    assert {r["query_id"] for r in got} == {1} and len(got) == 4  # listed whatever the sign of the score
+    none = spark.createDataFrame([], "query_id long, id long, rank int")
+    r = {x["query_id"]: x for x in retrieval.agreement(none, none, q).collect()}
+    assert r[2]["jaccard"] == 1.0 and r[2]["shared"] == 0 and r[2]["top1"] is False and r[2]["mean_rank_delta"] is None
+
+
+def test_holdout_equals_sorted_digests(spark):
+    rows = [(i, "abc"[i % 3] if i % 10 else "rare") for i in range(500)] + [(1000, None)]
+    got = {r["id"]: r["is_eval"] for r in detector.holdout(spark.createDataFrame(rows, "id long, grp string"), 0.2, 7).collect()}
+    for g in {r[1] for r in rows}:
+        ids = sorted((i for i, x in rows if x == g), key=lambda i: (hashlib.md5(f"7-{i}".encode()).hexdigest(), i))
+        take = max(0, min(len(ids) - 1, round(len(ids) * 0.2)))
+        assert [got[i] for i in ids] == [k < take for k in range(len(ids))]
+
+
+def test_detector_edges(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    tier = ["id_core_text"] * 40 + ["near_ood_text"] * 10 + ["far_ood_text"] * 10
+    x[40:50] += 2
+    x[50:] += 8
+    rows = [(i, v.tolist(), t) for i, (v, t) in enumerate(zip(x, tier, strict=True))]
+    df = spark.createDataFrame([*rows, (100, None, "id_core_text"), (101, [], "far_ood_text"), (102, [1.0, None, 0.0, 0.0], "id_core_text")], "id long, embedding array<double>, tier string")
+    det = detector.fit(df.filter("tier = 'id_core_text'"))
+    assert det.n == 40
+    s = {r["id"]: r for r in detector.score(det, df, df.filter("tier = 'id_core_text'")).collect()}
+    assert len(s) == 63 and all(s[i]["energy"] is None and s[i]["knn_distance"] is None for i in (100, 101, 102)) and s[55]["ood_percentile"] == 1.0
+    with pytest.raises(ValueError):
+        detector.fit(df.filter("false"))
+    det, report = detector.fit_split(df, None, fraction=0.3)
+    assert det.calibration and report["n"] > 0 and report["auroc_energy"] > 0.9
+    r = detector.score(det, df.filter("id = 55"), df.filter("tier = 'id_core_text'")).first()
+    assert r["probability_source"] == "label_calibrated" and r["ood_percentile"] == 1.0
+    got = spark.createDataFrame([(1, 3, 0), (1, 55, 1)], "query_id long, id long, rank int")
+    q = spark.createDataFrame([(1, x[55].tolist())], "query_id long, embedding array<double>")
+    detector.fit_query_reference(det, df.filter("id < 40").select(df.id.alias("query_id"), "embedding"), df.filter("id < 40"))
+    out = {r["id"]: r for r in detector.score_retrieval(det, got, q, df, df.filter("id < 40")).collect()}
+    assert out[3]["request_is_ood"] and out[55]["request_is_ood"] and not out[3]["ood"]["is_ood"] and out[3]["query_ood"]["energy"] == out[55]["ood"]["energy"]
+
+
+def test_detector_of_older_arrays():
+    old = {"mean": np.zeros(3), "precision": np.eye(3), "log_det": 0.5, "reference_energy": np.zeros(9), "energy_threshold": 4.0, "calibration_weight": np.nan}
+    d = detector.from_arrays(old)
+    assert d.means.shape == (1, 3) and d.precisions.shape == (1, 3, 3) and d.weights.tolist() == [1.0] and d.n == 9 and d.calibration is None
+    assert d.thresholds["energy_near"] == 4.0 and d.thresholds["knn_high"] == d.thresholds["knn_near"] == 1.0 and d.thresholds["query_energy_high"] is None
+    new = {"means": np.zeros((2, 3)), "precisions": np.stack([np.eye(3)] * 2), "log_dets": np.zeros(2), "weights": [0.3, 0.7], "reference_energy": [1.0], "energy_threshold": 4.0, "near_energy_threshold": 3.0, "reference_embeddings": np.zeros((1, 3)), "knn_threshold": 0.4, "query_near_knn_threshold": 0.2} | {f"calibration_{k}": 1.0 for k in ("mean", "scale", "weight", "bias")}
+    d = detector.from_arrays(new)
+    assert d.thresholds["energy_near"] == 3.0 and d.thresholds["knn_near"] == 0.4 and d.thresholds["query_knn_near"] == 0.2 and d.calibration["bias"] == 1.0
+
+
+def test_generation_falls_back_with_its_cause(spark):
+    from tidemark.operators import generation
+
+    class Shouting:
+        name = "shouting"
+
+        def generate(self, prompt):
+            if "bad" in prompt:
+                raise ValueError("no")
+            return prompt.upper()
+
+    rows = [(1, "generate", "good", "x [1]"), (2, "hedge", "bad", "y [1]"), (3, "abstain", "bad", None), (4, "generate", "bad", None)]
+    got = {r["query_id"]: tuple(r)[1:] for r in generation.generate(spark.createDataFrame(rows, "query_id long, action string, prompt string, extractive string"), Shouting()).collect()}
+    assert got[1] == ("GOOD", "shouting", None) and got[2] == ("y [1]", "extractive (fallback after ValueError: no)", "ValueError: no")
+    assert got[3] == (generation.ABSTAIN, "shouting", None) and got[4][0] == ""
+
+
+def test_cache_settings():
+    assert cache.Settings.from_env({}) == cache.Settings() and cache.Settings.from_env({"TIDEMARK_CAPACITY": "3", "TIDEMARK_NAMESPACE": "n"}) == cache.Settings(3, 900, "n")
+    for bad in ("x", "0", "-2", "1.5", ""):
+        with pytest.raises(ValueError):
+            cache.Settings.from_env({"TIDEMARK_CAPACITY": bad})
+
+
+def test_guarded_agent_with_small_talk(spark):
+    """Small talk, foreign and ordinary questions through the whole plan; plain loops tell what each gets."""
+    from tidemark.plans import agent
+
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=8) * 3
+    x = base + rng.normal(size=(60, 8)) * 0.5
+    corpus = spark.createDataFrame([(i, f"alpha beta topic{i} text.", f"T{i}", "id_core_text", v.tolist()) for i, v in enumerate(x)], "id long, text string, title string, tier string, embedding array<double>")
+    small = spark.createDataFrame([(1, (-base + rng.normal(size=8) * 0.1).tolist()) for _ in range(5)], "id long, embedding array<double>")
+    qs = spark.createDataFrame([(1, "topic3 alpha", x[3].tolist()), (2, "hi there", (-base).tolist()), (3, "unheard of", (rng.normal(size=8) * 40).tolist())], "query_id long, query string, embedding array<double>")
+    det = detector.fit(corpus)
+    detector.fit_query_reference(det, corpus.select(corpus.id.alias("query_id"), "embedding"), corpus)
+    got = {r["query_id"]: r for r in agent.guarded(qs, corpus, det, corpus, small).collect()}
+    assert (got[2]["route"], got[2]["action"], got[2]["answer"]) == ("chitchat", "chitchat", guardrails.SMALL_TALK)
+    assert (got[3]["query_band"], got[3]["action"], got[3]["answer"]) == ("ood", "abstain", guardrails.FALLBACK)
+    assert got[1]["action"] in ("generate", "hedge") and "topic3" in got[1]["answer"] and got[1]["is_fully_grounded"]
+    ranked = agent.hybrid(qs.filter("query_id = 1"), corpus).final.orderBy("rank").collect()
+    bands = {r["id"]: r["ood_band"] for r in detector.score(det, corpus, corpus).collect()}
+    kept = [r["id"] for r in ranked if bands[r["id"]] != "ood"]
+    assert [c["id"] for c in got[1]["citations"]] == kept[:3]
+    assert got[1]["answer"].split()[:4] == ["alpha", "beta", f"topic{kept[0]}", "text."]

@@ -34,12 +34,46 @@ def histogram(values: DataFrame, col: str, bins: int = 10) -> DataFrame:
     return every.join(counted, "bin", "left").select("bin", low.alias("low"), high.alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def cumulative(counts: DataFrame, by: str, values: list[str], cuts: int = 200) -> DataFrame:
+    """counts (distinct, non-null values of by) with upto_<v>: the sum of each v over the rows that are not greater.
+
+    Values are cut at approximate quantiles into ranges; a task orders one range, and sums of whole ranges, at most
+    cuts + 1 rows, are added to it. So no task sees all rows."""
+    edges = counts.agg(F.percentile_approx(by, [i / cuts for i in range(1, cuts)], 10_000)).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < F.col(by))) if edges else F.lit(0)
+    c = counts.withColumn("_range", at)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
+    base = c.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    base = base.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_base_{v}") for v in values])
+    within = Window.partitionBy("_range").orderBy(by)
+    c = c.join(F.broadcast(base), F.col("_range") == F.col("_r"))
+    return c.select(*counts.columns, *[(F.col(f"_base_{v}") + F.sum(v).over(within)).alias(f"upto_{v}") for v in values])
+
+
+def quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation between neighbours; None without values."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = cumulative(counts, "v", ["n"])
+    n = counts.agg(F.sum("n")).first()[0]
+    if not n:
+        return [None] * len(shares)
+    places = [p * (n - 1) for p in shares]
+    at = sorted({i for x in places for i in (int(x), min(int(x) + 1, n - 1))})
+    found = dict(zip(at, upto.agg(*[F.min(F.when(F.col("upto_n") > i, F.col("v"))) for i in at]).first(), strict=True))
+    out = []
+    for x in places:
+        low, high = int(x), min(int(x) + (x > int(x)), n - 1)
+        out.append(found[low] if low == high or found[low] == found[high] else (high - x) * found[low] + (x - low) * found[high])
+    return out
+
+
 def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
     """auroc of one row: the rank formula with mean ranks of ties; null if a class is empty.
 
-    Ranks come from counts by distinct score, so the ordered window runs over distinct scores."""
-    g = df.groupBy(score).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    Ranks come from counts by distinct score, summed by ranges; rows without a score are left out."""
+    g = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
+    g = cumulative(g, "v", ["n"])
+    before = F.col("upto_n") - F.col("n")
     r = g.select("p", "n", ((before + (F.col("n") + 1) / F.lit(2.0)) * F.col("p")).alias("r"))
     a = r.agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return a.select(F.round(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / F.lit(2.0), (F.col("p") * (F.col("n") - F.col("p"))).cast("double")), 6).alias("auroc"))
@@ -47,5 +81,5 @@ def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def fpr_at_tpr(df: DataFrame, label: str, score: str, tpr: float = 0.95) -> DataFrame:
     """Share of class 0 above the (1 - tpr) quantile of class 1's scores."""
-    cut = df.filter(F.col(label) == 1).agg(F.percentile(score, 1 - tpr).alias("cut"))
-    return df.filter(F.col(label) == 0).crossJoin(F.broadcast(cut)).agg(F.round(F.avg((F.col(score) > F.col("cut")).cast("double")), 6).alias("fpr"))
+    cut = quantiles(df.filter(F.col(label) == 1), score, [1 - tpr])[0]
+    return df.filter(F.col(label) == 0).agg(F.round(F.avg((F.col(score) > F.lit(cut)).cast("double")), 6).alias("fpr"))

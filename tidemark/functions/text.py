@@ -30,8 +30,9 @@ def has_injection(text: Column) -> Column:
 
 
 def citation_ids(text: Column) -> Column:
-    """Distinct numbers in [n] marks, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
+    """Distinct numbers in [n] marks, ascending; numbers over the range of long are no marks."""
+    n = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.try_cast("long"))
+    return F.array_sort(F.array_distinct(F.filter(n, lambda x: x.isNotNull())))
 
 
 def without_citations(text: Column) -> Column:

@@ -10,13 +10,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import Z, wilson
+from tidemark.functions.stats import Z, cumulative, quantiles, wilson
 from tidemark.sources.tables import ID_TIER
 
-from .vectors import nearest
+from .vectors import _good, nearest
 
 HIGH, NEAR = 0.95, 0.80
 CLI_SHRINKAGE = 0.10
@@ -70,7 +70,9 @@ def _moments(df: DataFrame, vec: str, params) -> tuple[float, np.ndarray, np.nda
         if total is not None:
             yield pa.record_batch({"m": pa.array([total], pa.list_(pa.float64()))})
 
-    parts = [np.array(r[0]) for r in df.select(vec).mapInArrow(run, "m array<double>").collect()]  # a row a partition
+    parts = [np.array(r[0]) for r in df.filter(_good(vec)).select(vec).mapInArrow(run, "m array<double>").collect()]  # a row a partition
+    if not parts:
+        raise ValueError("no vectors to fit on")
     d, k = int(parts[0][1]), int(parts[0][2])
     total = np.sum([p[3:] for p in parts], axis=0)
     return float(sum(p[0] for p in parts)), total[:k], total[k : k + k * d].reshape(k, d), total[k + k * d :].reshape(k, d, d)
@@ -89,12 +91,14 @@ def fit(reference: DataFrame, shrinkage: float = 0.60, clusters: int = 1, max_it
     """Fit on all rows of reference, and the chunk thresholds on it (neighbours without the row itself, by value)."""
     if not 0 <= shrinkage <= 1:
         raise ValueError("shrinkage must lie in [0, 1]")
-    n = reference.count()
+    n = reference.filter(_good(vec)).count()
+    if not n:
+        raise ValueError("no vectors to fit on")
     if clusters == 1:
         _, mass, sums, second = _moments(reference, vec, None)
         params = _m_step(mass, sums, second, n, shrinkage)
     else:
-        start = [np.array(r[0], float) for r in reference.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(clusters).select(vec).collect()]
+        start = [np.array(r[0], float) for r in reference.filter(_good(vec)).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(clusters).select(vec).collect()]
         d = len(start[0])
         params = (np.array(start), np.stack([np.eye(d)] * clusters), np.full(clusters, 1 / clusters), np.zeros(clusters))
         last = -np.inf
@@ -118,12 +122,12 @@ def _m_step(mass, sums, second, n, shrinkage):
 
 
 def _quantiles(df: DataFrame, col: str, name: str) -> dict[str, float]:
-    high, near = df.agg(F.percentile(col, F.array(F.lit(HIGH), F.lit(NEAR)))).first()[0]
+    high, near = quantiles(df, col, [HIGH, NEAR])
     return {f"{name}_high": high, f"{name}_near": near}
 
 
 def energies(det: Detector, df: DataFrame, key: str = "id", vec: str = "embedding") -> DataFrame:
-    """key, energy, mahalanobis (of the nearest component)."""
+    """key, energy, mahalanobis (of the nearest component); both null for vectors that are null, empty or hold nulls."""
     params = df.sparkSession.sparkContext.broadcast((det.means, det.precisions, det.weights, det.log_dets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +136,10 @@ def energies(det: Detector, df: DataFrame, key: str = "id", vec: str = "embeddin
                 lp, maha = _log_density(x, *params.value)
                 yield pa.record_batch({key: b.column(0), "energy": pa.array(-_logsumexp(lp)), "mahalanobis": pa.array(np.sqrt(np.maximum(maha.min(axis=1), 0)))})
 
-    return df.select(F.col(key).cast("long").alias(key), vec).mapInArrow(run, f"{key} long, energy double, mahalanobis double")
+    rows = df.select(F.col(key).cast("long").alias(key), vec)
+    got = rows.filter(_good(vec)).mapInArrow(run, f"{key} long, energy double, mahalanobis double")
+    none = F.lit(None).cast("double")
+    return got.unionByName(rows.filter(~F.coalesce(_good(vec), F.lit(False))).select(key, none.alias("energy"), none.alias("mahalanobis")))
 
 
 def fit_query_reference(det: Detector, queries: DataFrame | None, reference: DataFrame) -> Detector:
@@ -144,14 +151,22 @@ def fit_query_reference(det: Detector, queries: DataFrame | None, reference: Dat
 
 
 def calibrate(det: Detector, id_energy: DataFrame, ood_energy: DataFrame, steps: int = 2000, rate: float = 0.05) -> Detector:
-    """Logistic calibration of energies (one number a row on the driver), full-batch steps from one residual."""
-    parts = [np.array([r[0] for r in e.select("energy").orderBy("energy").collect()]) for e in (id_energy, ood_energy)]
-    e, y = np.concatenate(parts), np.repeat([0.0, 1.0], [len(p) for p in parts])
-    mean, scale = e.mean(), e.std() + 1e-9
-    x, w, b = (e - mean) / scale, 0.0, float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
+    """Logistic calibration of energies, full-batch steps from one residual.
+
+    The driver gets counts of standardised energies rounded to 0.001 and cut at 50 deviations, 100,001 values at most."""
+    rows = id_energy.select("energy", F.lit(0).alias("y")).unionByName(ood_energy.select("energy", F.lit(1).alias("y"))).filter("energy is not null")
+    total, ood, mean, scale = rows.agg(F.count(F.lit(1)), F.sum("y"), F.avg("energy"), F.stddev_pop("energy")).first()
+    if not total or ood in (0, total):
+        raise ValueError("calibration needs energies of both classes")
+    scale += 1e-9
+    z = F.round(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), (F.col("energy") - mean) / scale)), 3)
+    found = np.array([(r[0], r[1], r[2]) for r in rows.groupBy(z.alias("z"), "y").agg(F.count(F.lit(1))).orderBy("z", "y").collect()], float)
+    x, y, share = found[:, 0], found[:, 1], found[:, 2] / total
+    at = float(ood) / total
+    w, b = 0.0, float(np.log((at + 1e-9) / (1 - at + 1e-9)))
     for _ in range(steps):
-        r = 1 / (1 + np.exp(-np.clip(w * x + b, -60, 60))) - y
-        w, b = w - rate * (np.mean(r * x) + 1e-4 * w), b - rate * np.mean(r)
+        r = (1 / (1 + np.exp(-np.clip(w * x + b, -60, 60))) - y) * share
+        w, b = w - rate * (np.sum(r * x) + 1e-4 * w), b - rate * np.sum(r)
     det.calibration = {"mean": float(mean), "scale": float(scale), "weight": float(w), "bias": float(b)}
     return det
 
@@ -173,7 +188,8 @@ def score(det: Detector, df: DataFrame, reference: DataFrame, query: bool = Fals
     """id and the OOD columns of rows (id, embedding). knn_ref_mean is explicit; unset, the mean over these rows."""
     e = energies(det, df)
     knn = nearest(df.select(F.col("id").alias("query_id"), "embedding"), reference.select("id", "embedding"), 1).select(F.col("query_id").alias("id"), F.col("distance").alias("knn_distance"))
-    s = e.join(knn, "id")
+    # share of reference energies at or below: counts by distinct energy, summed in order
+    s = e.join(knn, "id", "left").join(percentiles(e, energies(det, reference)), "energy", "left")
     if det.calibration:
         c = det.calibration
         mean = F.lit(det.knn_ref_mean) if det.knn_ref_mean is not None else F.lit(knn.agg(F.avg("knn_distance")).first()[0] + 1e-8)
@@ -181,35 +197,70 @@ def score(det: Detector, df: DataFrame, reference: DataFrame, query: bool = Fals
         logit = c["weight"] * z + c["bias"]
         se = abs(c["weight"]) / float(np.sqrt(det.n)) * (1 + z * z) * F.greatest(F.lit(1.0), F.col("knn_distance") / (mean + 1e-8))
         p, low, high, source = sigmoid(logit), sigmoid(logit - Z * se), sigmoid(logit + Z * se), "label_calibrated"
-        s = s.withColumn("ood_percentile", F.lit(None).cast("double"))
     else:
-        # share of reference energies at or below: counts by distinct energy, summed in order
-        s = s.join(percentiles(e, energies(det, reference)), "energy", "left")
         p, source = F.col("ood_percentile"), "reference_tail"
         low, high = wilson(p * det.n, F.lit(det.n))
     b = band(F.col("energy"), F.col("knn_distance"), det.thresholds, "query_" if query else "")
     return s.select("id", "mahalanobis", "energy", "knn_distance", "ood_percentile", p.alias("ood_probability"), F.struct(low.alias("low"), high.alias("high")).alias("ood_confidence_interval"), F.lit(source).alias("probability_source"), b.alias("ood_band"), (b == "near_ood").alias("is_near_ood"), (b == "ood").alias("is_ood"))
 
 
+def score_retrieval(det: Detector, got: DataFrame, queries: DataFrame, corpus: DataFrame, reference: DataFrame) -> DataFrame:
+    """got (query_id, id, ...) with ood, the score of the chunk, query_ood, that of the question, and request_is_ood and
+    request_is_near_ood, which follow the question. Each chunk and question is scored once."""
+    record = lambda s, name: s.select("id", F.struct(*[c for c in s.columns if c != "id"]).alias(name))
+    chunk = record(score(det, corpus.join(got.select("id").distinct(), "id", "left_semi"), reference), "ood")
+    asked = queries.join(got.select("query_id").distinct(), "query_id", "left_semi").select(F.col("query_id").alias("id"), "embedding")
+    query = record(score(det, asked, reference, query=True), "query_ood").withColumnRenamed("id", "query_id")
+    out = got.join(chunk, "id", "left").join(query, "query_id", "left")
+    return out.withColumns({"request_is_ood": F.col("query_ood.is_ood"), "request_is_near_ood": F.col("query_ood.is_near_ood")})
+
+
 def percentiles(scored: DataFrame, reference: DataFrame) -> DataFrame:
     """energy, ood_percentile of each distinct scored energy: share of reference energies that are not greater."""
-    from pyspark.sql import Window
-
-    both = scored.select("energy", F.lit(0).alias("r")).unionByName(reference.select("energy", F.lit(1).alias("r"))).groupBy("energy").agg(F.sum("r").alias("r"))
-    w = Window.orderBy("energy")
-    total = F.sum("r").over(Window.partitionBy())
-    return both.select("energy", (F.sum("r").over(w) / total).alias("ood_percentile"))
+    both = scored.select("energy", F.lit(0).alias("r")).unionByName(reference.select("energy", F.lit(1).alias("r"))).filter("energy is not null")
+    both = both.groupBy("energy").agg(F.sum("r").alias("r"))
+    total = both.agg(F.sum("r").alias("total"))
+    return cumulative(both, "energy", ["r"]).crossJoin(F.broadcast(total)).select("energy", (F.col("upto_r") / F.col("total")).alias("ood_percentile"))
 
 
 def holdout(rows: DataFrame, fraction: float = 0.1, seed: int = 0, key: str = "id", group: str = "grp") -> DataFrame:
-    """rows with is_eval: by group, the first bround(n f) (at most n - 1) in the order of md5(seed, key)."""
-    from pyspark.sql import Window
+    """rows with is_eval: by group, the first bround(n f) (at most n - 1) in the order of md5(seed, key).
 
+    A histogram of digests finds for each group the bucket with its last row; only that bucket's rows are ordered."""
     if not 0 <= fraction < 1:
         raise ValueError("fraction must lie in [0, 1)")
-    w = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(str(seed)), F.lit("-"), F.col(key).cast("string"))), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    return rows.withColumn("is_eval", F.row_number().over(w) <= F.greatest(F.lit(0), F.least(n - 1, F.bround(n * F.lit(float(fraction))).cast("long"))))
+    digest = F.md5(F.concat(F.lit(str(seed)), F.lit("-"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    d = rows.withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, 4))
+    hist = d.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))  # 65,536 rows a group at most
+    n = hist.groupBy("_g").agg(F.sum("_n").alias("_all"))
+    n = n.select(F.col("_g").alias("_of"), F.greatest(F.lit(0), F.least(F.col("_all") - 1, F.bround(F.col("_all") * F.lit(float(fraction))).cast("long"))).alias("_take"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = hist.withColumn("_before", before).join(n, F.col("_g").eqNullSafe(F.col("_of")))
+    edge = edge.filter((F.col("_before") <= F.col("_take")) & (F.col("_before") + F.col("_n") > F.col("_take")))
+    d = d.join(F.broadcast(edge.select("_of", "_at", "_before", "_take")), F.col(group).eqNullSafe(F.col("_of")))
+    own = d.filter(F.col("_b") == F.col("_at"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(group, "_b").orderBy("_d", key))
+    own = own.select(*rows.columns, (place <= F.col("_take")).alias("is_eval"))
+    return d.filter(F.col("_b") != F.col("_at")).select(*rows.columns, (F.col("_b") < F.col("_at")).alias("is_eval")).unionByName(own)
+
+
+def fit_split(chunks: DataFrame, queries: DataFrame | None = None, fraction: float = 0.1, seed: int = 0, **options) -> tuple[Detector, dict]:
+    """Fit on the trusted rows of a train split of chunks (id, embedding, tier), calibrate if it has others, report on the
+    held-out rows, and take question thresholds from queries."""
+    from .evaluation import detector_report
+
+    rows = holdout(labelled(chunks), fraction, seed)
+    train, rest = rows.filter("not is_eval"), rows.filter("is_eval")
+    trusted, others = train.filter("is_ood = 0"), train.filter("is_ood = 1")
+    det = fit(trusted, **options)
+    if others.limit(1).count():
+        calibrate(det, energies(det, trusted), energies(det, others))
+    report: dict = {}
+    if rest.limit(1).count():
+        scored = score(det, rest, trusted).select("id", "energy", "knn_distance").join(rest.select("id", "grp", "is_ood"), "id")
+        report = detector_report(scored)
+    fit_query_reference(det, queries, trusted)
+    return det, report
 
 
 def labelled(chunks: DataFrame) -> DataFrame:
@@ -227,3 +278,22 @@ def save(spark: SparkSession, det: Detector, path: str) -> None:
 def load(spark: SparkSession, path: str) -> Detector:
     r = spark.read.option("mergeSchema", True).parquet(path).first().asDict()
     return Detector(np.array(r["means"]), np.array(r["precisions"]), np.array(r["weights"]), np.array(r["log_dets"]), r["n"], r.get("thresholds") or {}, r.get("calibration"), r.get("knn_ref_mean"))
+
+
+def from_arrays(data) -> Detector:
+    """A detector of named arrays (numpy's load, or a dict), older names and missing ones included: mean, precision and
+    log_det for one component, equal weights, near thresholds as the high ones, neighbour thresholds 1 without
+    reference vectors."""
+    has = lambda k: k in data and np.all(np.isfinite(np.asarray(data[k], float)))
+    first = lambda *names: next(np.asarray(data[k], float) for k in names if k in data)
+    means, precisions, log_dets = np.atleast_2d(first("means", "mean")), first("precisions", "precision"), np.atleast_1d(first("log_dets", "log_det"))
+    precisions = precisions[None] if precisions.ndim == 2 else precisions
+    weights = first("weights") if "weights" in data else np.full(len(means), 1 / len(means))
+    value = lambda name, other=None: float(data[name]) if has(name) else other
+    known = "reference_embeddings" in data
+    t = {"energy_high": value("energy_threshold"), "knn_high": value("knn_threshold", 1.0) if known else 1.0}
+    t |= {"energy_near": value("near_energy_threshold", t["energy_high"]), "knn_near": value("near_knn_threshold", t["knn_high"]) if known else 1.0}
+    t |= {f"query_{m}_{level}": value(f"query_{near}{m}_threshold") for m in ("energy", "knn") for level, near in (("high", ""), ("near", "near_"))}
+    calibration = {k: float(data[f"calibration_{k}"]) for k in ("mean", "scale", "weight", "bias")} if has("calibration_weight") else None
+    n = len(data["reference_energy"]) if "reference_energy" in data else 1
+    return Detector(means, precisions, weights, log_dets, n, t, calibration)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import auroc, fpr_at_tpr
@@ -70,8 +70,8 @@ def corpus_health(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap_auroc(scores: DataFrame, label: str, score: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """low, high: 2.5 and 97.5 percentiles of AUROC over resamples; a row's Poisson weight in each replicate comes from
-    a hash of its key, so replicates run side by side and are repeatable."""
+    """low, high: 2.5 and 97.5 percentiles of AUROC over resamples. A replicate is one group: its rows get Poisson weights
+    from a generator seeded by the replicate, in the order of score and label, so that runs agree."""
     import numpy as np
     import pandas as pd
 
@@ -87,3 +87,74 @@ def bootstrap_auroc(scores: DataFrame, label: str, score: str, replicates: int =
     reps = scores.sparkSession.range(replicates).withColumnRenamed("id", "r")
     a = scores.select(F.col(label).alias("y"), F.col(score).alias("s")).crossJoin(F.broadcast(reps)).groupBy("r").applyInPandas(run, "a double").filter(~F.isnan("a"))
     return a.agg(F.percentile("a", 0.025).alias("low"), F.percentile("a", 0.975).alias("high"))
+
+
+def scoreable(answers: DataFrame, with_contexts: bool = True) -> DataFrame:
+    """Answers that can be judged: generated or hedged from some context, or (with_contexts False) all but small talk."""
+    if with_contexts:
+        return answers.filter(F.col("action").isin("generate", "hedge") & (F.coalesce(F.size("contexts"), F.lit(0)) > 0))
+    return answers.filter(F.col("action").isin("generate", "hedge", "clarify", "abstain"))
+
+
+def with_references(answers: DataFrame, references: DataFrame) -> DataFrame:
+    """answers with the reference answer of their question's text, null where there is none."""
+    r = references.groupBy(F.col("query").alias("_q")).agg(F.first("reference").alias("reference"))
+    return answers.join(r, F.col("query") == F.col("_q"), "left").drop("_q")
+
+
+def with_latency(quality: DataFrame, latency: DataFrame, row: str = "row_id") -> DataFrame:
+    """Quality and latency of the same answers, by an explicit row id."""
+    return quality.join(latency, row)
+
+
+def latency_parts(answers: DataFrame) -> DataFrame:
+    """answers (total_ms, stage_latency_ms) with a column for each stage, 0 where it didn't run, and generation_ms, what
+    the stages leave of the total."""
+    from .telemetry import STAGES
+
+    stages = F.coalesce(F.aggregate(F.map_values("stage_latency_ms"), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), F.lit(0.0))
+    cols = {f"{s}_ms": F.coalesce(F.try_element_at("stage_latency_ms", F.lit(s)), F.lit(0.0)) for s in STAGES}
+    return answers.withColumns(cols | {"generation_ms": F.greatest(F.lit(0.0), F.round(F.col("total_ms") - stages, 3))})
+
+
+def refusal_rate(answers: DataFrame) -> DataFrame:
+    """n, refused, rate of answers whose action is abstain."""
+    no = F.coalesce(F.lower("action").contains("abstain"), F.lit(False)).cast("int")
+    return answers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(no), F.lit(0)).alias("refused"), F.round(F.coalesce(F.avg(no), F.lit(0.0)), 6).alias("rate"))
+
+
+def eval_sample(corpus: DataFrame, n: int = 30, seed: int = 0, key: str = "id") -> DataFrame:
+    """n rows of the trusted tier (a sampling operator), those with the least digest of seed and key."""
+    d = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
+    return corpus.filter(F.col("tier") == ID_TIER).orderBy(d, key).limit(n)
+
+
+def query_set(sets: list[DataFrame], value: str = "query") -> DataFrame:
+    """Questions of several sets, each text once, in the order of the sets and of their pos."""
+    both = None
+    for i, s in enumerate(sets):
+        s = s.select(F.lit(i).alias("set"), "pos", value)
+        both = s if both is None else both.unionByName(s)
+    return both.groupBy(value).agg(F.min(F.struct("set", "pos")).alias("first")).select(value, "first.set", "first.pos")
+
+
+def risk_colour(p: Column) -> Column:
+    """red over 0.5, amber over 0.2, else green."""
+    return F.when(p > 0.5, "red").when(p > 0.2, "amber").otherwise("green")
+
+
+def metric_projection(score: str) -> Column:
+    """A score struct's fields under the names that responses use: the probability twice, its interval as an array."""
+    s = F.col(score)
+    ci = s["ood_confidence_interval"]
+    return F.struct(
+        s["ood_probability"].alias("p_ood"), s["ood_probability"].alias("ood_probability"), F.when(ci.isNotNull(), F.array(ci["low"], ci["high"])).alias("p_ood_ci_95"),
+        *[s[c].alias(c) for c in ("probability_source", "ood_band", "energy", "mahalanobis", "knn_distance")],
+    )
+
+
+def usage_totals(usage: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Sums of input, output, total and cached tokens; a missing total is input plus output, other missing counts are 0."""
+    c = lambda x: F.coalesce(x, F.lit(0))
+    total = F.coalesce("total_tokens", c("input_tokens") + c("output_tokens"))
+    return usage.groupBy(*(by or [])).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in (("input_tokens", c("input_tokens")), ("output_tokens", c("output_tokens")), ("total_tokens", total), ("cached_tokens", c("cached_tokens")))])

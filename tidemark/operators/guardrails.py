@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.functions.text import citation_ids, has_injection, sentences, snip
 
 MAX_TITLE = 120
 FALLBACK = "I could not find an answer in the documents."
+SMALL_TALK = "Hello! Ask me a question about the documents and I will answer from them."
 #: Own prompt wording by action; clarify has no producer.
 TEMPLATES = {
     "generate": "Answer from the documents and cite them as [n].\n\n{documents}\n\n{history}Question: {query}",
@@ -49,9 +52,9 @@ def prompt(action: Column, query: Column, documents: Column, history: Column, te
     """Prompt text; an unknown action is an error."""
     out = None
     for name, t in (templates or TEMPLATES).items():
-        text = F.lit(t)
-        for mark, value in (("{documents}", F.coalesce(documents, F.lit("(no documents)"))), ("{history}", F.coalesce(history, F.lit(""))), ("{query}", query)):
-            text = F.replace(text, F.lit(mark), value)
+        # the template is cut at its marks, so that marks within a document or a question stay text
+        value = {"{documents}": F.coalesce(documents, F.lit("(no documents)")), "{history}": F.coalesce(history, F.lit("")), "{query}": query}
+        text = F.concat(*[value[x] if x in value else F.lit(x) for x in re.split(r"(\{documents\}|\{history\}|\{query\})", t)])
         out = F.when(action == name, text) if out is None else out.when(action == name, text)
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown action: "), F.coalesce(action, F.lit("null")))))
 
@@ -82,7 +85,7 @@ def check_citations(answers: DataFrame, evidence: DataFrame, supports=None, stri
     if supports and strict:
         bare = c.filter(F.size("cites") == 0).select("query_id", "pos", "claim").join(evidence.select("query_id", "text"), "query_id", "left")
         bad = bare.groupBy("query_id", "pos", "claim").agg(F.max(F.coalesce(supports(F.col("claim"), F.col("text")), F.lit(False))).alias("any")).filter(~F.col("any"))
-        log = log.unionByName(bad.select("query_id", "pos", "claim", F.lit(None).cast("int").alias("cite_id"), F.lit("REJECTED_UNGROUNDED_CLAIM").alias("status")))
+        log = log.unionByName(bad.select("query_id", "pos", "claim", F.lit(None).cast("long").alias("cite_id"), F.lit("REJECTED_UNGROUNDED_CLAIM").alias("status")))
         c = c.join(bad.select("query_id", "pos"), ["query_id", "pos"], "left_anti")
     if strict:
         c = c.filter((F.size("cites") == 0) | F.col("valid").isNotNull())
@@ -112,7 +115,7 @@ def citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 def cost(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """usage (model, input_tokens, output_tokens, ...) with costs in USD, 8 digits; an unknown model costs nothing."""
     price = lambda t, p: F.round(F.col(t) / 1e6 * F.coalesce(p, F.lit(0.0)), 8)
-    u = usage.join(F.broadcast(pricing), "model", "left")
+    u = usage.join(pricing, "model", "left")
     u = u.withColumns({"input_usd": price("input_tokens", "input_per_1m_tokens_usd"), "output_usd": price("output_tokens", "output_per_1m_tokens_usd")})
     return u.withColumn("total_usd", F.round(F.col("input_usd") + F.col("output_usd"), 8))
 

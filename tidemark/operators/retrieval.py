@@ -14,7 +14,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
     """query_id, id, score, rank: Okapi BM25 with negative idf replaced by EPSILON times the mean idf.
 
     Only terms of the questions are joined to postings, so hot terms no question has are never shuffled twice.
-    Documents without any term of a question (score 0) aren't listed."""
+    Documents without any term of a question aren't listed; those with one are, whatever the score's sign."""
     words = corpus.select("id", tokens(F.col("text")).alias("w"))
     size = words.select("id", F.size("w").alias("dl"))
     n_avg = size.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
@@ -27,7 +27,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
     used = idf.join(q.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = tf.join(used, "term").select("id", "term", part.alias("part")).join(q, "term")
-    s = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * F.col("part")), 6).alias("score")).filter("score > 0")
+    s = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * F.col("part")), 6).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1).filter(F.col("rank") < k)
 
 
@@ -37,7 +37,7 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = 10) -> DataFrame:
     ranked = [d.select("query_id", "id", "rank", F.lit(i).alias("src")) for i, d in enumerate((dense, sparse))]
     both = ranked[0].unionByName(ranked[1])
     only = lambda i: F.max(F.when(F.col("src") == i, F.col("rank")))
-    f = both.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + 1 + F.col("rank"))).alias("s"), F.min(F.col("src") * 1000 + F.col("rank")).alias("first"), only(0).alias("dense_rank"), only(1).alias("bm25_rank"))
+    f = both.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + 1 + F.col("rank"))).alias("s"), F.min(F.struct("src", "rank")).alias("first"), only(0).alias("dense_rank"), only(1).alias("bm25_rank"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "first")
     f = f.withColumn("fused_rank", F.row_number().over(w) - 1).filter(F.col("fused_rank") < k)
     return f.select("query_id", "id", F.round("s", 6).alias("fused_score"), "fused_rank", "dense_rank", "bm25_rank")
@@ -48,13 +48,18 @@ def rerank(fused: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 5,
     text. Ties keep the fused order."""
     q, t = F.array_distinct(tokens(F.col("query"))), F.array_distinct(tokens(F.col("text")))
     overlap = score or F.round(F.try_divide(F.size(F.array_intersect(q, t)).cast("double"), F.size(q).cast("double")), 6)
-    j = fused.join(F.broadcast(queries.select("query_id", "query")), "query_id").join(corpus.select("id", "text", "tier"), "id").withColumn("rerank_score", overlap)
+    j = fused.join(queries.select("query_id", "query"), "query_id").join(corpus.select("id", "text", "tier"), "id").withColumn("rerank_score", overlap)
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "fused_rank")
     return j.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).select("query_id", "id", "tier", "rerank_score", "fused_rank", "rank")
 
 
-def agreement(dense: DataFrame, sparse: DataFrame) -> DataFrame:
-    """query_id, jaccard, shared, top1, mean_rank_delta of two ranked lists."""
+def agreement(dense: DataFrame, sparse: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, jaccard, shared, top1, mean_rank_delta of two ranked lists; with queries, also of those whose lists are
+    both empty (jaccard 1)."""
+    if queries is not None:
+        found = agreement(dense, sparse)
+        out = queries.select("query_id").distinct().join(found, "query_id", "left")
+        return out.select("query_id", F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("top1", F.lit(False)).alias("top1"), "mean_rank_delta")
     a, b = dense.select("query_id", "id", F.col("rank").alias("ra")), sparse.select("query_id", "id", F.col("rank").alias("rb"))
     j = a.join(b, ["query_id", "id"], "full_outer")
     both = F.col("ra").isNotNull() & F.col("rb").isNotNull()

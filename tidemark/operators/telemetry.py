@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import histogram, nearest_rank
 
+#: The names of telemetry's stages and signals.
 STAGES = ("dense", "bm25", "fusion", "rerank")
 SIGNALS = ("ood_probability", "energy", "mahalanobis", "knn_distance")
 
@@ -33,8 +34,9 @@ def stage_latency(events: DataFrame) -> DataFrame:
 
 
 def agreement_summary(events: DataFrame) -> DataFrame:
-    a = events.filter(~F.coalesce("cache_hit", F.lit(False))).select("retrieval.agreement.*").filter("jaccard is not null")
-    return a.agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("jaccard"), 4).alias("mean_jaccard"), F.round(F.avg(F.col("top1").cast("int")), 4).alias("top1_rate"))
+    """samples, mean_top_k_jaccard, top_1_agreement_rate over requests that weren't cached."""
+    a = events.filter(~F.coalesce("cache_hit", F.lit(False))).select("retrieval.agreement.*")
+    return a.agg(F.count("top_k_jaccard").alias("samples"), F.round(F.avg("top_k_jaccard"), 4).alias("mean_top_k_jaccard"), F.round(F.avg(F.col("top_1_agrees").cast("int")), 4).alias("top_1_agreement_rate"))
 
 
 def summary(events: DataFrame) -> DataFrame:

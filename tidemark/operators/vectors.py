@@ -11,36 +11,58 @@ BLOCK = 1_024
 GUARD = 1e-9
 
 
-def _blocks(df: DataFrame, key: str, vec: str, name: str) -> DataFrame:
-    """One row a block of about BLOCK vectors: ids and rows."""
-    n = max(1, -(-df.count() // BLOCK))
-    rows = F.collect_list(F.struct(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")))
-    return df.filter(F.col(vec).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("_b")).agg(rows.alias(name)).drop("_b")
+#: Blocks of questions that are broadcast at most; more are dealt to blocks of the corpus by their number.
+BROADCAST_BLOCKS = 16
+
+
+def _good(vec: str):
+    """Vectors that have a distance: not null, not empty, without null components."""
+    return F.col(vec).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull())
+
+
+def _blocks(df: DataFrame, n: int, key: str, vec: str, name: str) -> DataFrame:
+    """_<name> (0 to n - 1) and a block of about BLOCK vectors: ids and rows."""
+    rows = F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")))
+    return df.filter(_good(vec)).groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"_{name}")).agg(rows.alias(name))
+
+
+def _matrix(block: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit rows of a block, from Arrow's buffers."""
+    ids, v = block.field("id").to_numpy(zero_copy_only=False), block.field("v")
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    return ids, x / (np.linalg.norm(x, axis=1, keepdims=True) + GUARD)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str = "query_id", key: str = "id", vec: str = "embedding") -> DataFrame:
-    """query_id, id, distance, rank (from 0): the k least cosine distances, ties by id.
+    """query_id, id, distance, rank (from 0): the k least cosine distances, ties by id. Vectors that are null, empty or
+    hold nulls have no neighbours and are none.
 
     Blocks of queries meet blocks of the corpus; each meeting gives its k best per query, so what is shuffled is
-    k rows a query and block, never all pairs."""
+    k rows a query and block, never all pairs. Up to BROADCAST_BLOCKS blocks of queries are broadcast; with more, each
+    pair of blocks is dealt to a task."""
 
     def best(batches):
         for b in batches:
-            for q, c in zip(b.column(0), b.column(1), strict=True):
-                q, c = q.as_py(), c.as_py()
-                x, y = (np.array([r["v"] for r in z]) for z in (q, c))
-                x, y = (z / (np.linalg.norm(z, axis=1, keepdims=True) + GUARD) for z in (x, y))
-                ids = np.array([r["id"] for r in c])
+            for i in range(len(b)):
+                (qid, x), (ids, y) = (_matrix(pa.array(b.column(j).slice(i, 1)).flatten()) for j in (0, 1))
                 d = np.round(1 - x @ y.T, 9)
-                qs, cs, ds = [], [], []
-                for i, r in enumerate(q):
-                    top = np.lexsort((ids, d[i]))[:k]
-                    qs += [r["id"]] * len(top)
-                    cs += ids[top].tolist()
-                    ds += d[i][top].tolist()
-                yield pa.record_batch({"query_id": pa.array(qs, pa.int64()), "id": pa.array(cs, pa.int64()), "distance": pa.array(ds, pa.float64())})
-
-    pairs = _blocks(corpus, key, vec, "c").crossJoin(F.broadcast(_blocks(queries, query_key, vec, "q")))
+                if k < len(ids):  # what is not over the k-th distance, ties included
+                    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    r, c = np.nonzero(d <= edge)
+                else:
+                    r, c = np.divmod(np.arange(d.size), len(ids))
+                order = np.lexsort((ids[c], d[r, c], r))
+                r, c = r[order], c[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                r, c = r[place < k], c[place < k]
+                yield pa.record_batch({"query_id": pa.array(qid[r], pa.int64()), "id": pa.array(ids[c], pa.int64()), "distance": pa.array(d[r, c])})
+
+    nq, nc = (max(1, -(-df.count() // BLOCK)) for df in (queries, corpus))
+    q, c = _blocks(queries, nq, query_key, vec, "q"), _blocks(corpus, nc, key, vec, "c")
+    if nq <= BROADCAST_BLOCKS:
+        pairs = c.crossJoin(F.broadcast(q))
+    else:
+        pairs = c.withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(q, F.col("_with") == F.col("_q")).repartition("_q", "_c")
     got = pairs.select("q", "c").mapInArrow(best, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return got.withColumn("rank", rank - 1).filter(F.col("rank") < k)

@@ -41,6 +41,11 @@ def ablation(queries: DataFrame, corpus: DataFrame, k: int = 5, pool: int = 20)
     return out
 
 
+def index_sanity(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, id, tier, title, distance, rank: the k nearest chunks, to see how the tiers lie."""
+    return nearest(queries, corpus, k).join(corpus.select("id", "tier", "title"), "id").select("query_id", "id", "tier", "title", "distance", "rank")
+
+
 def guarded(queries: DataFrame, corpus: DataFrame, det: D.Detector, reference: DataFrame, chitchat: DataFrame | None = None) -> DataFrame:
     """query_id, route, query_band, action, answer, citations, is_fully_grounded.
 
@@ -67,7 +72,7 @@ def guarded(queries: DataFrame, corpus: DataFrame, det: D.Detector, reference: D
     checked, _ = G.check_citations(answers, evidence)
     cites = G.citations(answers, evidence).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", "id", "title", "tier", "band", "injection_flag"))).alias("citations"))
     out = d.select("query_id", "route", "query_band", "action").join(checked, "query_id", "left").join(cites, "query_id", "left")
-    return out.select("query_id", "route", "query_band", "action", F.coalesce("corrected_answer", F.lit(G.FALLBACK)).alias("answer"), "citations", F.coalesce("is_fully_grounded", F.lit(True)).alias("is_fully_grounded"))
+    return out.select("query_id", "route", "query_band", "action", F.when(F.col("route") == "chitchat", G.SMALL_TALK).otherwise(F.coalesce("corrected_answer", F.lit(G.FALLBACK))).alias("answer"), "citations", F.coalesce("is_fully_grounded", F.lit(True)).alias("is_fully_grounded"))
 
 
 def plain(queries: DataFrame, corpus: DataFrame) -> DataFrame:

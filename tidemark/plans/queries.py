@@ -10,7 +10,7 @@ from tidemark.operators import cache, evaluation, guardrails, telemetry
 from tidemark.operators import detector as D
 from tidemark.operators.retrieval import agreement, bm25
 from tidemark.operators.vectors import centroid, cosine_distance, nearest
-from tidemark.sources.tables import ID_TIER, chunks, questions, table
+from tidemark.sources.tables import ID_TIER, chunk_ids, chunks, parse_events, questions, table
 
 from . import agent
 
@@ -44,7 +44,7 @@ fl AS (SELECT CAST(0.25 AS DOUBLE) * avg(raw) AS fl FROM raw),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN fl ELSE raw END AS idf FROM raw, fl),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda x: x <> '')) AS term FROM qs) GROUP BY ALL),
 sc AS (SELECT query_id, tf.id, round(sum(times * (idf * f * CAST(2.5 AS DOUBLE) / (f + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl)))), 6) AS score
-  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN sz ON sz.id = tf.id, av GROUP BY ALL HAVING score > 0),
+  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN sz ON sz.id = tf.id, av GROUP BY ALL),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sc) WHERE rank < 20),
 both_lists AS (SELECT query_id, id, rank, 0 AS src FROM dense UNION ALL SELECT query_id, id, rank, 1 FROM sparse),
 f0 AS (SELECT query_id, id, sum(CAST(1.0 AS DOUBLE) / (61 + rank)) AS s, min(src * 1000 + rank) AS first_seen,
@@ -270,7 +270,9 @@ def guarded_answers(spark, d) -> DataFrame:
     return agent.guarded(questions(spark, d), c, det, ref)
 
 
-@query()
+@query(WITH + r""", c AS (SELECT query_id, rank + 1 AS n, trim(replace(text, chr(10), ' ')) AS t FROM reranked JOIN ch USING (id)),
+a AS (SELECT query_id, string_agg(CASE WHEN length(t) <= 360 THEN t ELSE regexp_replace(substr(t, 1, 360), ' [^ ]*$', '') END || ' [' || n || ']', ' ' ORDER BY n) AS answer FROM c WHERE n <= 3 GROUP BY query_id)
+SELECT query_id, 'generate' AS action, coalesce(answer, 'I could not find an answer in the documents.') AS answer FROM qs LEFT JOIN a USING (query_id)""")
 def plain_answers(spark, d) -> DataFrame:
     return agent.plain(questions(spark, d), chunks(spark, d))
 
@@ -334,7 +336,7 @@ def _marked(spark, d):
     return table(spark, d, "documents").select("doc_id", t.alias("answer"))
 
 
-@query(f"WITH m AS ({MARKED}) SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INT)))), ',') AS cites FROM m")
+@query(f"WITH m AS ({MARKED}) SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT)))), ',') AS cites FROM m")
 def citation_ids(spark, d) -> DataFrame:
     return _marked(spark, d).select("doc_id", F.array_join(text.citation_ids(F.col("answer")).cast("array<string>"), ",").alias("cites"))
 
@@ -346,7 +348,7 @@ def claim_split(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(s).alias("n_claims"), F.md5(F.array_join(s, "|")).alias("claims"))
 
 
-@query(f"WITH m AS ({MARKED}), c AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(t, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INT)))) AS cite_id FROM m) SELECT doc_id, cite_id, CASE WHEN cite_id NOT IN (1, 2) THEN 'REJECTED_NONEXISTENT_CHUNK' ELSE 'KEPT' END AS status FROM c")
+@query(f"WITH m AS ({MARKED}), c AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(t, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT)))) AS cite_id FROM m) SELECT doc_id, cite_id, CASE WHEN cite_id NOT IN (1, 2) THEN 'REJECTED_NONEXISTENT_CHUNK' ELSE 'KEPT' END AS status FROM c")
 def citation_ground(spark, d) -> DataFrame:
     """Chunks 1 and 2 exist for every answer."""
     a = _marked(spark, d).withColumnRenamed("doc_id", "query_id")
@@ -422,7 +424,7 @@ SELECT query_id, round(count(*) FILTER (WHERE ra IS NOT NULL AND rb IS NOT NULL)
  coalesce(max(ia) FILTER (WHERE ra = 0) = max(ib) FILTER (WHERE rb = 0), false) AS top1, round(avg(abs(ra - rb)) FILTER (WHERE ra IS NOT NULL AND rb IS NOT NULL), 3) AS mean_rank_delta FROM j GROUP BY query_id""")
 def rank_agreement(spark, d) -> DataFrame:
     r = agent.hybrid(questions(spark, d), chunks(spark, d))
-    return agreement(r.dense, r.sparse)
+    return agreement(r.dense, r.sparse, questions(spark, d))
 
 
 @query("""WITH u AS (SELECT event_type AS model, user_id AS input_tokens, CAST(json_extract(props, '$.k') AS BIGINT) AS output_tokens, event_id FROM events),
@@ -479,3 +481,128 @@ def quality_by_action(spark, d) -> DataFrame:
     r = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
     r = r.select(F.when(F.col("quality") == 1, "generate").otherwise("abstain").alias("action"), F.col("toxic").cast("double").alias("faithfulness"), F.col("n_chars").alias("relevancy"))
     return evaluation.quality_by_action(r, abstain_is_faithful=True)
+
+
+@query(WITH + "SELECT query_id, id, tier, title, round(distance, 6) AS distance, rank FROM dense JOIN ch USING (id) WHERE rank < 5")
+def index_sanity(spark, d) -> DataFrame:
+    """The five nearest chunks of every question with tier and title."""
+    return agent.index_sanity(questions(spark, d), chunks(spark, d)).withColumn("distance", F.round("distance", 6))
+
+
+@query("""SELECT source || '__' || doc_id || '__' || (doc_id // 64 * 64 + row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id) - 1) AS id, doc_id FROM documents WHERE length(trim(text)) > 0""")
+def chunk_ordinals(spark, d) -> DataFrame:
+    """Documents as a manifest's records in the order of their ids; empty ones count as unreadable."""
+    r = table(spark, d, "documents").filter(F.length(F.trim("text")) > 0).select("doc_id", F.col("doc_id").alias("pos"), F.col("source").alias("tier"))
+    return chunk_ids(r).select("id", "doc_id")
+
+
+def _lines(spark, d):
+    """Events as telemetry lines, some of them cached, some malformed."""
+    e = table(spark, d, "events").filter("value is not null")
+    agree = F.struct((F.col("user_id") % 11 / F.lit(10.0)).alias("top_k_jaccard"), (F.col("user_id") % 11).cast("int").alias("shared_top_k"), (F.col("event_id") % 2 == 0).alias("top_1_agrees"), F.lit(1.5).alias("mean_shared_rank_delta"))
+    stages = F.create_map(F.lit("dense"), F.col("value"), F.lit("rerank"), F.col("value") * 2, F.lit("other"), F.lit(1.0))
+    line = F.to_json(F.struct((F.col("event_type") == "click").alias("cache_hit"), F.col("event_type").alias("action"), F.struct(stages.alias("stage_latency_ms"), agree.alias("agreement")).alias("retrieval"), F.struct(F.col("value").alias("energy")).alias("query_ood")))
+    return e.select(F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).when(F.col("event_id") % 7 == 1, F.lit("[1]")).otherwise(line).alias("value"))
+
+
+READ = "WITH e AS (SELECT *, coalesce(event_type = 'click', false) AS hit FROM events WHERE value IS NOT NULL AND event_id % 7 > 1)"
+
+
+@query(READ + """ SELECT count(*) AS samples, round(avg(CAST(user_id % 11 AS DOUBLE) / 10), 4) AS mean_top_k_jaccard, round(avg(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END), 4) AS top_1_agreement_rate FROM e WHERE NOT hit""")
+def telemetry_agreement(spark, d) -> DataFrame:
+    return telemetry.agreement_summary(parse_events(_lines(spark, d)))
+
+
+@query(READ + """, s AS (SELECT 'dense' AS stage, value AS ms FROM e WHERE NOT hit UNION ALL SELECT 'rerank', value * 2 FROM e WHERE NOT hit)
+SELECT stage, count(*) AS samples, round(quantile_disc(ms, 0.5), 3) AS p50, round(quantile_disc(ms, 0.95), 3) AS p95, round(quantile_disc(ms, 0.99), 3) AS p99 FROM s GROUP BY stage""")
+def telemetry_stages(spark, d) -> DataFrame:
+    return telemetry.stage_latency(parse_events(_lines(spark, d)))
+
+
+@query(READ + """ SELECT count(*) AS requests, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 4) AS cache_hit_rate, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 4) AS abstain_rate FROM e""")
+def telemetry_summary(spark, d) -> DataFrame:
+    """Errors stand for abstained requests."""
+    e = parse_events(_lines(spark, d))
+    return telemetry.summary(e.withColumn("action", F.when(F.col("action") == "error", "abstain").otherwise(F.col("action"))))
+
+
+def _answers(spark, d):
+    """Labelled documents as answers: action by their labels, contexts by their length."""
+    r = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    action = F.when(F.col("toxic") == 1, "abstain").when(F.col("quality") == 1, "generate").when(F.col("doc_id") % 5 == 0, "chitchat").otherwise("hedge")
+    return r.select("doc_id", action.alias("action"), F.when(F.col("n_chars") > 800, F.array("lang", "source")).when(F.col("n_chars") > 400, F.array().cast("array<string>")).alias("contexts"), "n_chars", F.md5("text").alias("query"))
+
+
+ANSWERS = """WITH a AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'abstain' WHEN quality = 1 THEN 'generate' WHEN doc_id % 5 = 0 THEN 'chitchat' ELSE 'hedge' END AS action, n_chars, md5(text) AS query
+ FROM labels JOIN documents USING (doc_id))"""
+
+
+@query(ANSWERS + " SELECT count(*) AS n, count(*) FILTER (WHERE action = 'abstain') AS refused, round(avg(CASE WHEN action = 'abstain' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM a")
+def refusal_rate(spark, d) -> DataFrame:
+    return evaluation.refusal_rate(_answers(spark, d))
+
+
+@query(ANSWERS + " SELECT doc_id, action, 'contexts' AS mode FROM a WHERE action IN ('generate', 'hedge') AND n_chars > 800 UNION ALL SELECT doc_id, action, 'all' FROM a WHERE action <> 'chitchat'")
+def scoreable_answers(spark, d) -> DataFrame:
+    a = _answers(spark, d)
+    both = [evaluation.scoreable(a, m).select("doc_id", "action", F.lit(n).alias("mode")) for m, n in ((True, "contexts"), (False, "all"))]
+    return both[0].unionByName(both[1])
+
+
+@query(ANSWERS + """, r AS (SELECT md5(text) AS query, min(n_chars) AS reference FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), l AS (SELECT doc_id, doc_id % 13 AS ms FROM documents)
+SELECT doc_id, action, reference, ms FROM a LEFT JOIN r USING (query) JOIN l USING (doc_id)""")
+def quality_join(spark, d) -> DataFrame:
+    """Answers with the reference of their question's text, then with latencies by row id."""
+    docs = table(spark, d, "documents")
+    refs = docs.filter("doc_id % 2 = 0").groupBy(F.md5("text").alias("query")).agg(F.min("n_chars").alias("reference"))
+    a = evaluation.with_references(_answers(spark, d), refs)
+    return evaluation.with_latency(a, docs.select("doc_id", (F.col("doc_id") % 13).alias("ms")), "doc_id").select("doc_id", "action", "reference", "ms")
+
+
+@query("""WITH x AS (SELECT event_id, value AS total_ms, CAST(user_id % 5 AS DOUBLE) AS dense, CASE WHEN event_id % 3 = 0 THEN 2.5 ELSE 0.0 END AS rerank FROM events WHERE value IS NOT NULL)
+SELECT event_id, dense AS dense_ms, CAST(rerank AS DOUBLE) AS rerank_ms, CAST(0 AS DOUBLE) AS bm25_ms, greatest(CAST(0 AS DOUBLE), round(total_ms - (dense + rerank), 3)) AS generation_ms FROM x""")
+def latency_parts(spark, d) -> DataFrame:
+    e = table(spark, d, "events").filter("value is not null")
+    dense = F.create_map(F.lit("dense"), (F.col("user_id") % 5).cast("double"))
+    stages = F.when(F.col("event_id") % 3 == 0, F.map_concat(dense, F.create_map(F.lit("rerank"), F.lit(2.5)))).otherwise(dense)
+    return evaluation.latency_parts(e.select("event_id", F.col("value").alias("total_ms"), stages.alias("stage_latency_ms"))).select("event_id", "dense_ms", "rerank_ms", "bm25_ms", "generation_ms")
+
+
+@query("""WITH u AS (SELECT event_type AS model, user_id AS i, CASE WHEN event_id % 4 > 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS o, CASE WHEN event_id % 3 = 0 THEN 1000 END AS t FROM events)
+SELECT model, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(coalesce(o, 0)) AS BIGINT) AS output_tokens, CAST(sum(coalesce(t, i + coalesce(o, 0))) AS BIGINT) AS total_tokens, CAST(0 AS BIGINT) AS cached_tokens FROM u GROUP BY model""")
+def usage_totals(spark, d) -> DataFrame:
+    out = F.when(F.col("event_id") % 4 > 0, F.get_json_object("props", "$.k").cast("long"))
+    u = table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("user_id").alias("input_tokens"), out.alias("output_tokens"), F.when(F.col("event_id") % 3 == 0, F.lit(1000).cast("long")).alias("total_tokens"), F.lit(None).cast("long").alias("cached_tokens"))
+    return evaluation.usage_totals(u, ["model"])
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, {TIER} AS tier FROM embeddings) SELECT id FROM e WHERE tier = 'id_core_text' ORDER BY md5('0-' || id), id LIMIT 30""")
+def eval_sample(spark, d) -> DataFrame:
+    """A sampling operator: 30 rows."""
+    e, _ = _vectors(spark, d)
+    return evaluation.eval_sample(e).select("id")
+
+
+@query("""WITH q AS (SELECT 0 AS "set", item_id AS pos, text AS query FROM benchmark UNION ALL SELECT 1, item_id, text FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT 2, conv_id * 1000 + turn, text FROM conversations)
+SELECT md5(query) AS query, first."set" AS "set", first.pos AS pos FROM (SELECT query, min(struct_pack("set" := "set", pos := pos)) AS first FROM q GROUP BY query)""")
+def query_set_union(spark, d) -> DataFrame:
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("query"))
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("query"))
+    return evaluation.query_set([b, b.filter("pos % 2 = 0"), c]).withColumn("query", F.md5("query"))
+
+
+@query("SELECT CASE WHEN value / 100 > 0.5 THEN 'red' WHEN value / 100 > 0.2 THEN 'amber' ELSE 'green' END AS colour, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def risk_colours(spark, d) -> DataFrame:
+    return table(spark, d, "events").filter("value is not null").groupBy(evaluation.risk_colour(F.col("value") / 100).alias("colour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def retrieval_scores(spark, d) -> DataFrame:
+    """Chunks of the hybrid plan with their own and their question's score over all components."""
+    c, q = chunks(spark, d), questions(spark, d)
+    ref = c.filter(F.col("tier") == ID_TIER)
+    det = D.fit(ref, shrinkage=D.CLI_SHRINKAGE)
+    D.fit_query_reference(det, _as_queries(ref), ref)
+    got = agent.hybrid(q, c).final.select("query_id", "id", "rank")
+    out = D.score_retrieval(det, got, q, c, ref)
+    return out.select("query_id", "id", "rank", evaluation.metric_projection("ood").alias("chunk"), evaluation.metric_projection("query_ood").alias("query"), "request_is_ood", "request_is_near_ood")
