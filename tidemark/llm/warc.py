@@ -183,8 +183,10 @@ def damaged(pages: DataFrame) -> DataFrame:
     other = F.col("page_id").bitwiseXOR(F.lit(1))
     swapped = id_hash(F.shiftright(F.col("page_id").cast("long"), 1)) % 101 == 3
     hurt = p.filter(swapped).select(other.alias("_to"), F.col("html").alias("_html"))
-    p = p.join(hurt, swapped & (F.col("page_id") == F.col("_to")), "left")
-    p = p.select("page_id", "url", F.when(F.col("_to").isNotNull(), F.col("_html")).otherwise(F.col("html")).alias("html"))
+    # only the bodies that are exchanged are shuffled
+    pair = p.filter(swapped).join(hurt, F.col("page_id") == F.col("_to"), "left")
+    pair = pair.select("page_id", "url", F.when(F.col("_to").isNotNull(), F.col("_html")).otherwise(F.col("html")).alias("html"))
+    p = p.filter(~swapped).unionByName(pair)
     h = id_hash(F.col("page_id"))
     text = F.when((h % 211 == 7) & (F.length("html") > 0), F.concat(F.lit("~"), F.substring("html", 2, 2147483647))).otherwise(F.col("html"))
     kept = p.filter(h % 223 != 11).select("page_id", "url", text.alias("html"))
