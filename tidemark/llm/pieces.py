@@ -53,3 +53,14 @@ def load_pieces(path: str) -> list[tuple[str, float, int]]:
             x = dict(_fields(value))
             out.append((x[1].decode(), struct.unpack("<f", x[2])[0] if 2 in x else 0.0, x.get(3, NORMAL)))
     return out
+
+
+@lru_cache(maxsize=4)
+def load_spaces(path: str) -> tuple[bool, bool]:
+    """Of the model's normaliser: whether a space is put in front of a text, and whether extra spaces are taken out
+    (both by default). A model that maps characters, or that keeps spaces as they are, raises an error."""
+    with open(path, "rb") as f:
+        spec = next((dict(_fields(v)) for field, v in _fields(f.read()) if field == 3), {})
+    if spec.get(2) or not spec.get(5, 1):
+        raise ValueError(f"{path}: a normaliser with a character map or without space markers isn't supported")
+    return bool(spec.get(3, 1)), bool(spec.get(4, 1))

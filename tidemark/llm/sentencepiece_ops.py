@@ -6,12 +6,14 @@ No piece has a marker behind another character, so the best path of a text is th
 with what follows up to the next marker. All distinct chunks of a batch run through the trie side by side; of paths
 with equal sums the one whose last piece begins first wins.
 
-Only pieces, scores and kinds of a model file are used (path is a parameter; trained by nobody here); the rank scores
-of a merge model serve as log scores.
+Pieces, scores, kinds and the normaliser's handling of spaces of a model file are used (path is a parameter; trained by
+nobody here); the rank scores of a merge model serve as log scores. A marker character that stands in a text itself is
+no space: it is written as byte pieces and comes back as it was (where the model has byte pieces).
 
 Edge cases: null stays null (no ids, decoded null); the empty text has no pieces; repeated rows are coded each; texts
 are coded whole; unknown characters survive the round trip through byte pieces. Ids that aren't pieces of text (control
-pieces) decode to nothing.
+pieces) decode to nothing; an empty table gives an empty result; other columns, of whatever name, are not looked at;
+round_trip is false where the model takes spaces out.
 """
 
 from __future__ import annotations
@@ -21,20 +23,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from .pieces import BYTE, CONTROL, MARK, NORMAL, UNKNOWN, USER, default_model, load_pieces
+from .pieces import BYTE, CONTROL, MARK, NORMAL, UNKNOWN, USER, default_model, load_pieces, load_spaces
 from .text_kernel import buffers, span_hash
 from .token_count import _double_array
 
 UNKNOWN_PENALTY = 10.0
+#: Bytes that no UTF-8 text holds: a piece's marker when decoded, and a marker character of a text when encoded, whose
+#: place the id LITERAL keeps.
+SPACE_BYTE, LITERAL_BYTE, LITERAL = 0xFF, 0xFE, -2
 
 
 class Unigram:
     def __init__(self, path: str):
         pieces = load_pieces(path)
+        self.prefix, self.squeeze = load_spaces(path)
         self.score = np.array([s for _, s, _ in pieces])
         usable = [(p.encode(), i) for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER) and p]
         if any(MARK in _after_marks(p) for p, _ in usable):
@@ -48,7 +55,8 @@ class Unigram:
                 self.byte_id[b] = i
                 text.append(bytes([b]))
             else:
-                text.append(b"" if k in (CONTROL, UNKNOWN) else p.encode())
+                text.append(b"" if k in (CONTROL, UNKNOWN) else p.encode().replace(MARK, bytes([SPACE_BYTE])))
+        self.byte_id[LITERAL_BYTE] = LITERAL
         self.lengths = np.array([len(t) for t in text], np.int64)
         self.begin = np.append(0, np.cumsum(self.lengths))
         self.text = np.frombuffer(b"".join(text), np.uint8)
@@ -160,7 +168,9 @@ class Unigram:
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and n + 1 places at which the texts' begin."""
-        data, offsets = marked(texts)
+        if self.squeeze:
+            texts = pc.utf8_trim(pc.replace_substring_regex(texts, " +", " "), " ")
+        data, offsets = marked(texts, self.prefix)
         cut = chunk_starts(data, offsets)
         ends = np.append(cut[1:], len(data))
         key = span_hash(data, cut, ends, fold=False)
@@ -169,7 +179,17 @@ class Unigram:
         n = np.diff(at)[inverse]
         total = np.append(0, np.cumsum(n))
         out = ids[np.repeat(at[:-1][inverse] - total[:-1], n) + np.arange(int(total[-1]))]
-        return out, total[np.searchsorted(cut, offsets)]
+        at = total[np.searchsorted(cut, offsets)]
+        literal = np.flatnonzero(out == LITERAL)
+        if not len(literal):
+            return out, at
+        width = np.ones(len(out), np.int64)
+        width[literal] = len(MARK)
+        place = np.append(0, np.cumsum(width))
+        out = np.repeat(out, width)
+        for i, b in enumerate(MARK):
+            out[place[literal] + i] = self.byte_id[b]
+        return out, place[at]
 
     def decode_batch(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         """Texts of id sequences: bytes of the pieces, markers to spaces, without the dummy prefix."""
@@ -177,7 +197,7 @@ class Unigram:
         total = np.append(0, np.cumsum(n))
         data = self.text[np.repeat(self.begin[ids] - total[:-1], n) + np.arange(int(total[-1]))]
         offsets = total[at]
-        return unmarked(data, offsets)
+        return unmarked(data, offsets, self.prefix)
 
 
 def _after_marks(p: bytes) -> bytes:
@@ -186,11 +206,20 @@ def _after_marks(p: bytes) -> bytes:
     return p
 
 
-def marked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets with a space in front of each text that isn't empty, and markers for spaces."""
+def marked(texts: pa.Array, prefix: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets with a space in front of each text that isn't empty (with prefix), markers for spaces, and
+    LITERAL_BYTE for a marker character."""
     data, offsets = buffers(texts)
+    own = np.flatnonzero(_is_mark(data))
+    if len(own):
+        data = data.copy()
+        data[own] = LITERAL_BYTE
+        stay = np.ones(len(data), bool)
+        stay[own + 1] = stay[own + 2] = False
+        offsets = np.append(0, np.cumsum(stay))[offsets]
+        data = data[stay]
     size = np.diff(offsets)
-    front = (size > 0).astype(np.int64)
+    front = ((size > 0) & prefix).astype(np.int64)
     width = np.ones(len(data), np.int64)
     width[data == 32] = 3
     total = np.append(0, np.cumsum(width))
@@ -222,16 +251,13 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def unmarked(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    m = _is_mark(data)
-    front = offsets[:-1][np.diff(offsets) > 0]
-    front = front[m[front]]
-    keep = np.ones(len(data), bool)
-    out = data.copy()
-    spot = np.flatnonzero(m)
-    out[spot] = 32
-    keep[spot + 1] = keep[spot + 2] = False
-    keep[front] = False
+def unmarked(data: np.ndarray, offsets: np.ndarray, prefix: bool = True) -> pa.Array:
+    """Texts of pieces' bytes: SPACE_BYTE is a space; the first one of a text is the one put in front."""
+    out, keep = data.copy(), np.ones(len(data), bool)
+    out[data == SPACE_BYTE] = 32
+    if prefix:
+        front = offsets[:-1][np.diff(offsets) > 0]
+        keep[front[data[front] == SPACE_BYTE]] = False
     total = np.append(0, np.cumsum(keep))
     text = out[keep].tobytes()
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(total[offsets].astype(np.int64).tobytes()), pa.py_buffer(text)])
