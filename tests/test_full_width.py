@@ -60,3 +60,35 @@ def test_band_classify_full(spark, vectors):
     got = [r["band"] for r in by_id(engine.QUERIES["band_classify_full"](spark, d))]
     assert got == want and set(want) == {"ood", "near_ood", "id"}
     assert got != [r["band"] for r in by_id(engine.QUERIES["band_classify"](spark, d))]
+
+
+def test_detector_scores(spark, vectors):
+    """Every column of the calibrated detector over all components, the calibration from unrounded energies."""
+    d, x, ref = vectors
+    mean, cov, n = x[ref].mean(0), np.cov(x[ref].T, bias=True), x.shape[1]
+    shrunk = 0.9 * cov + 0.1 * np.trace(cov) / n * np.eye(n)
+    diff = x - mean
+    maha2 = np.einsum("nd,de,ne->n", diff, np.linalg.inv(shrunk), diff)
+    e = -(np.log(1 + 1e-12) - 0.5 * (np.linalg.slogdet(shrunk)[1] + maha2))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.sort(1 - u @ u[ref].T, axis=1)
+    (eh, el), (kh, kl) = np.quantile(e[ref], [0.95, 0.80]), np.quantile(near[ref, 1], [0.95, 0.80])
+    k = near[:, 0]
+    band = np.where((e >= eh) & (k >= kh), "ood", np.where((e >= el) & (k >= kl), "near_ood", "id"))
+    y, c, s = (~ref).astype(float), e.mean(), e.std() + 1e-9
+    z = (e - c) / s
+    w, b = 0.0, np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))
+    for _ in range(2000):
+        r = 1 / (1 + np.exp(-np.clip(w * z + b, -60, 60))) - y
+        w, b = w - 0.05 * (np.mean(r * z) + 1e-4 * w), b - 0.05 * np.mean(r)
+    p = 1 / (1 + np.exp(-(w * z + b)))
+    se = abs(w) / np.sqrt(ref.sum()) * (1 + z * z) * np.maximum(1, k / (k.mean() + 2e-8))
+    low, high = (1 / (1 + np.exp(-(w * z + b + t * se))) for t in (-1.96, 1.96))
+    got = {r["id"]: r for r in engine.QUERIES["detector_scores"](spark, d).collect()}
+    col = lambda f: np.array([f(got[i]) for i in range(len(x))])
+    assert np.allclose(col(lambda r: r["energy"]), e) and np.allclose(col(lambda r: r["mahalanobis"]), np.sqrt(maha2)) and np.allclose(col(lambda r: r["knn_distance"]), k, atol=1e-8)
+    assert np.allclose(col(lambda r: r["ood_percentile"]), [(e[ref] <= v + 1e-9).mean() for v in e], atol=1e-9)
+    assert np.allclose(col(lambda r: r["ood_probability"]), p, atol=2e-3)
+    assert np.allclose(col(lambda r: r["ood_confidence_interval"]["low"]), low, atol=5e-3) and np.allclose(col(lambda r: r["ood_confidence_interval"]["high"]), high, atol=5e-3)
+    assert col(lambda r: r["ood_band"]).tolist() == band.tolist() and set(band) == {"id", "near_ood", "ood"}
+    assert all(r["probability_source"] == "label_calibrated" and r["is_ood"] == (r["ood_band"] == "ood") and r["is_near_ood"] == (r["ood_band"] == "near_ood") for r in got.values())
