@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import materialize
+
 Z = 1.96
+#: Ranges that ordered sums are cut into.
+CUTS = 200
 
 
 def nearest_rank(value: str, p: float) -> Column:
@@ -34,12 +38,18 @@ def histogram(values: DataFrame, col: str, bins: int = 10) -> DataFrame:
     return every.join(counted, "bin", "left").select("bin", low.alias("low"), high.alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def cumulative(counts: DataFrame, by: str, values: list[str], cuts: int = 200) -> DataFrame:
+def _edges(by: str) -> Column:
+    return F.percentile_approx(by, [i / CUTS for i in range(1, CUTS)], 10_000)
+
+
+def cumulative(counts: DataFrame, by: str, values: list[str], edges: list | None = None) -> DataFrame:
     """counts (distinct, non-null values of by) with upto_<v>: the sum of each v over the rows that are not greater.
 
     Values are cut at approximate quantiles into ranges; a task orders one range, and sums of whole ranges, at most
-    cuts + 1 rows, are added to it. So no task sees all rows."""
-    edges = counts.agg(F.percentile_approx(by, [i / cuts for i in range(1, cuts)], 10_000)).first()[0] or []
+    CUTS + 1 rows, are added to it. So no task sees all rows. counts is read three times, twice with edges given:
+    pass a table where its lineage is costly."""
+    if edges is None:
+        edges = counts.agg(_edges(by)).first()[0] or []
     at = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < F.col(by))) if edges else F.lit(0)
     c = counts.withColumn("_range", at)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
@@ -52,11 +62,11 @@ def cumulative(counts: DataFrame, by: str, values: list[str], cuts: int = 200) -
 
 def quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation between neighbours; None without values."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = cumulative(counts, "v", ["n"])
-    n = counts.agg(F.sum("n")).first()[0]
+    counts = materialize(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    edges, n = counts.agg(_edges("v"), F.sum("n")).first()
     if not n:
         return [None] * len(shares)
+    upto = cumulative(counts, "v", ["n"], edges)
     places = [p * (n - 1) for p in shares]
     at = sorted({i for x in places for i in (int(x), min(int(x) + 1, n - 1))})
     found = dict(zip(at, upto.agg(*[F.min(F.when(F.col("upto_n") > i, F.col("v"))) for i in at]).first(), strict=True))
@@ -72,7 +82,7 @@ def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
 
     Ranks come from counts by distinct score, summed by ranges; rows without a score are left out."""
     g = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
-    g = cumulative(g, "v", ["n"])
+    g = cumulative(materialize(g), "v", ["n"])
     before = F.col("upto_n") - F.col("n")
     r = g.select("p", "n", ((before + (F.col("n") + 1) / F.lit(2.0)) * F.col("p")).alias("r"))
     a = r.agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import Z, cumulative, quantiles, wilson
-from tidemark.sources.tables import ID_TIER
+from tidemark.sources.tables import ID_TIER, materialize
 
 from .vectors import _good, nearest
 
@@ -184,10 +184,19 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x))))
 
 
+def _distance(df: DataFrame, reference: DataFrame) -> DataFrame:
+    return nearest(df.select(F.col("id").alias("query_id"), "embedding"), reference.select("id", "embedding"), 1).select(F.col("query_id").alias("id"), F.col("distance").alias("knn_distance"))
+
+
+def bands(det: Detector, df: DataFrame, reference: DataFrame, query: bool = False) -> DataFrame:
+    """id, ood_band of rows (id, embedding): what score() calls them, without a pass over the reference's energies."""
+    both = energies(det, df).join(_distance(df, reference), "id", "left")
+    return both.select("id", band(F.col("energy"), F.col("knn_distance"), det.thresholds, "query_" if query else "").alias("ood_band"))
+
+
 def score(det: Detector, df: DataFrame, reference: DataFrame, query: bool = False) -> DataFrame:
     """id and the OOD columns of rows (id, embedding). knn_ref_mean is explicit; unset, the mean over these rows."""
-    e = energies(det, df)
-    knn = nearest(df.select(F.col("id").alias("query_id"), "embedding"), reference.select("id", "embedding"), 1).select(F.col("query_id").alias("id"), F.col("distance").alias("knn_distance"))
+    e, knn = energies(det, df), _distance(df, reference)
     # share of reference energies at or below: counts by distinct energy, summed in order
     s = e.join(knn, "id", "left").join(percentiles(e, energies(det, reference)), "energy", "left")
     if det.calibration:
@@ -218,7 +227,7 @@ def score_retrieval(det: Detector, got: DataFrame, queries: DataFrame, corpus: D
 def percentiles(scored: DataFrame, reference: DataFrame) -> DataFrame:
     """energy, ood_percentile of each distinct scored energy: share of reference energies that are not greater."""
     both = scored.select("energy", F.lit(0).alias("r")).unionByName(reference.select("energy", F.lit(1).alias("r"))).filter("energy is not null")
-    both = both.groupBy("energy").agg(F.sum("r").alias("r"))
+    both = materialize(both.groupBy("energy").agg(F.sum("r").alias("r")))
     total = both.agg(F.sum("r").alias("total"))
     return cumulative(both, "energy", ["r"]).crossJoin(F.broadcast(total)).select("energy", (F.col("upto_r") / F.col("total")).alias("ood_percentile"))
 

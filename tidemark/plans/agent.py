@@ -11,6 +11,7 @@ from tidemark.operators import detector as D
 from tidemark.operators import guardrails as G
 from tidemark.operators.retrieval import bm25, rerank, rrf
 from tidemark.operators.vectors import centroid, cosine_distance, nearest
+from tidemark.sources.tables import materialize
 
 CONFIGS = ("dense_only", "bm25_only", "hybrid_fused", "hybrid_reranked")
 
@@ -49,29 +50,33 @@ def index_sanity(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame
 def guarded(queries: DataFrame, corpus: DataFrame, det: D.Detector, reference: DataFrame, chitchat: DataFrame | None = None) -> DataFrame:
     """query_id, route, query_band, action, answer, citations, is_fully_grounded.
 
-    Small talk and questions out of distribution are filtered off before retrieval; each question is scored once."""
-    scored = D.score(det, queries.select(F.col("query_id").alias("id"), "embedding"), reference, query=True).select(F.col("id").alias("query_id"), F.col("ood_band").alias("query_band"))
-    q = queries.join(scored.persist(), "query_id")
+    Small talk and questions out of distribution are filtered off before retrieval; each question is scored once.
+    Routed questions, chosen chunks and their texts, a few rows a question, are written as tables, since several branches
+    read each: a plan over their lineage would repeat it many times over."""
+    scored = D.bands(det, queries.select(F.col("query_id").alias("id"), "embedding"), reference, query=True)
+    q = queries.join(scored.select(F.col("id").alias("query_id"), F.col("ood_band").alias("query_band")), "query_id")
     near = q.crossJoin(F.broadcast(centroid(reference)))
     if chitchat is not None:
         near = near.crossJoin(F.broadcast(centroid(chitchat).withColumnRenamed("centroid", "small")))
         near = near.withColumn("d_small", cosine_distance("embedding", "small"))
     else:
         near = near.withColumn("d_small", F.lit(None).cast("double"))
-    q = near.withColumn("route", F.coalesce(G.route(F.col("d_small"), cosine_distance("embedding", "centroid"), F.col("query_band")), F.lit("domain"))).drop("centroid", "small", "d_small").persist()
+    q = near.withColumn("route", F.coalesce(G.route(F.col("d_small"), cosine_distance("embedding", "centroid"), F.col("query_band")), F.lit("domain"))).drop("centroid", "small", "d_small")
+    q = materialize(q)
     asked = q.filter("route <> 'chitchat' and query_band <> 'ood'")
-    final = hybrid(asked, corpus).final.persist()  # a few rows a question, read by several branches below
-    ids = final.select("id").distinct()
-    bands = D.score(det, corpus.join(ids, "id", "left_semi"), reference).select("id", F.col("ood_band").alias("band"))
-    got = final.select("query_id", "id", "rank").join(corpus.select("id", "title", "text", "tier"), "id").join(bands, "id", "left").persist()
+    final = materialize(hybrid(asked, corpus).final.select("query_id", "id", "rank"))
+    chosen = materialize(corpus.join(final.select("id").distinct(), "id", "left_semi").select("id", "title", "text", "tier", "embedding"))
+    bands = D.bands(det, chosen, reference).withColumnRenamed("ood_band", "band")
+    got = materialize(final.join(chosen.drop("embedding"), "id").join(bands, "id", "left"))
     counts = got.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("band").alias("scored"), F.sum((F.col("band") == "id").cast("int")).alias("in_band"))
     d = q.join(counts, "query_id", "left").na.fill(0, ["chunks", "scored", "in_band"])
     d = d.withColumn("action", F.when(F.col("route") == "chitchat", "chitchat").otherwise(G.decide(F.col("query_band"), F.col("chunks"), F.col("scored"), F.col("in_band"))))
+    d = materialize(d.select("query_id", "route", "query_band", "action"))
     evidence = G.select_evidence(got.join(d.filter("action in ('generate', 'hedge')").select("query_id"), "query_id", "left_semi"))
-    answers = G.extractive_answers(evidence)
+    answers = materialize(G.extractive_answers(evidence))
     checked, _ = G.check_citations(answers, evidence)
     cites = G.citations(answers, evidence).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", "id", "title", "tier", "band", "injection_flag"))).alias("citations"))
-    out = d.select("query_id", "route", "query_band", "action").join(checked, "query_id", "left").join(cites, "query_id", "left")
+    out = d.join(checked, "query_id", "left").join(cites, "query_id", "left")
     return out.select("query_id", "route", "query_band", "action", F.when(F.col("route") == "chitchat", G.SMALL_TALK).otherwise(F.coalesce("corrected_answer", F.lit(G.FALLBACK))).alias("answer"), "citations", F.coalesce("is_fully_grounded", F.lit(True)).alias("is_fully_grounded"))
 
 

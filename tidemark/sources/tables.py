@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from urllib.parse import unquote
 
@@ -27,6 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set and Spark runs locally."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared folder and read back: what follows plans from the table, not from its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tier_of(label: Column) -> Column:
     """Convention of this engine for the embeddings' labels."""
     return F.when(label <= 5, ID_TIER).when(label <= 7, "near_ood_text").when(label <= 9, "far_ood_text")
