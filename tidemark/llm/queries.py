@@ -1,11 +1,11 @@
-"""Registered queries of the corpus operators: op1 to op10 over whole tables, and the pipeline's SQL where it has one."""
+"""Registered queries of the corpus operators: op1 to op13 over whole tables, and the pipeline's SQL where it has one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, ngram_join, pii, sentencepiece_ops, simhash, token_count, toxicity, vecdedup, warc
+from . import fim, linededup, mixing, ngram_join, pii, sentencepiece_ops, simhash, token_count, toxicity, vecdedup, warc
 from .common import table
 
 
@@ -54,5 +54,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_toxicity, op4_embedding_dedup, op5_fingerprints, op6_ngram_jaccard, op7_line_dedup, op8_mixing, op9_warc, op10_token_counts)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_toxicity, op4_embedding_dedup, op5_fingerprints, op6_ngram_jaccard, op7_line_dedup, op8_mixing, op9_warc, op10_token_counts, op13_fill_in_middle)}
 ORACLES = {"op4_embedding_dedup": vecdedup.SQL, "op6_ngram_jaccard": ngram_join.SQL, "op7_line_dedup": linededup.SQL, "op8_mixing": mixing.SQL, "op9_warc": warc.SQL}
