@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fim, langid, linededup, mixing, ngram_join, pii, sentencepiece_ops, simhash, token_count, toxicity, vecdedup, warc
+from . import alignment, fim, langid, linededup, mixing, ngram_join, pii, sentencepiece_ops, simhash, token_count, toxicity, vecdedup, warc
 from .common import table
 
 
@@ -58,9 +58,13 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.count_links(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_toxicity, op4_embedding_dedup, op5_fingerprints, op6_ngram_jaccard, op7_line_dedup, op8_mixing, op9_warc, op10_token_counts, op11_language_id, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_toxicity, op4_embedding_dedup, op5_fingerprints, op6_ngram_jaccard, op7_line_dedup, op8_mixing, op9_warc, op10_token_counts, op11_language_id, op12_token_alignment, op13_fill_in_middle)}
 ORACLES = {"op4_embedding_dedup": vecdedup.SQL, "op6_ngram_jaccard": ngram_join.SQL, "op7_line_dedup": linededup.SQL, "op8_mixing": mixing.SQL, "op9_warc": warc.SQL}
