@@ -132,14 +132,15 @@ def energies(det: Detector, df: DataFrame, key: str = "id", vec: str = "embeddin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in _rows([b], 1):
+            known = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            out = np.full((2, len(b)), np.nan)
+            for x in _rows([b.filter(pa.array(known))], 1):
                 lp, maha = _log_density(x, *params.value)
-                yield pa.record_batch({key: b.column(0), "energy": pa.array(-_logsumexp(lp)), "mahalanobis": pa.array(np.sqrt(np.maximum(maha.min(axis=1), 0)))})
+                out[:, known] = -_logsumexp(lp), np.sqrt(np.maximum(maha.min(axis=1), 0))
+            yield pa.record_batch({key: b.column(0), **{name: pa.array(v, mask=~known) for name, v in zip(("energy", "mahalanobis"), out, strict=True)}})
 
-    rows = df.select(F.col(key).cast("long").alias(key), vec)
-    got = rows.filter(_good(vec)).mapInArrow(run, f"{key} long, energy double, mahalanobis double")
-    none = F.lit(None).cast("double")
-    return got.unionByName(rows.filter(~F.coalesce(_good(vec), F.lit(False))).select(key, none.alias("energy"), none.alias("mahalanobis")))
+    rows = df.select(F.col(key).cast("long").alias(key), F.when(_good(vec), F.col(vec)).alias(vec))
+    return rows.mapInArrow(run, f"{key} long, energy double, mahalanobis double")
 
 
 def fit_query_reference(det: Detector, queries: DataFrame | None, reference: DataFrame) -> Detector:

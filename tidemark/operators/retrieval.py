@@ -33,11 +33,11 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, fused_score, fused_rank, dense_rank, bm25_rank: reciprocal rank fusion; ties by first sight
-    (dense list first)."""
-    ranked = [d.select("query_id", "id", "rank", F.lit(i).alias("src")) for i, d in enumerate((dense, sparse))]
-    both = ranked[0].unionByName(ranked[1])
-    only = lambda i: F.max(F.when(F.col("src") == i, F.col("rank")))
-    f = both.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + 1 + F.col("rank"))).alias("s"), F.min(F.struct("src", "rank")).alias("first"), only(0).alias("dense_rank"), only(1).alias("bm25_rank"))
+    (dense list first). A list has an id once a question."""
+    a, b = (d.select("query_id", "id", F.col("rank").alias(name)) for d, name in ((dense, "dense_rank"), (sparse, "bm25_rank")))
+    share = lambda rank: F.coalesce(1.0 / (RRF_K + 1 + F.col(rank)), F.lit(0.0))
+    seen = F.when(F.col("dense_rank").isNotNull(), F.struct(F.lit(0).alias("src"), F.col("dense_rank").alias("rank"))).otherwise(F.struct(F.lit(1).alias("src"), F.col("bm25_rank").alias("rank")))
+    f = a.join(b, ["query_id", "id"], "full_outer").withColumns({"s": share("dense_rank") + share("bm25_rank"), "first": seen})
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "first")
     f = f.withColumn("fused_rank", F.row_number().over(w) - 1).filter(F.col("fused_rank") < k)
     return f.select("query_id", "id", F.round("s", 6).alias("fused_score"), "fused_rank", "dense_rank", "bm25_rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,8 @@ GUARD = 1e-9
 
 #: Blocks of questions that are broadcast at most; more are dealt to blocks of the corpus by their number.
 BROADCAST_BLOCKS = 16
+#: Pairs of blocks from which on the corpus is put into cells first (operators/cells.py) and most pairs are passed over.
+PRUNED_FROM = 256
 
 
 def _good(vec: str):
@@ -33,15 +37,11 @@ def _matrix(block: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, x / (np.linalg.norm(x, axis=1, keepdims=True) + GUARD)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str = "query_id", key: str = "id", vec: str = "embedding") -> DataFrame:
-    """query_id, id, distance, rank (from 0): the k least cosine distances, ties by id. Vectors that are null, empty or
-    hold nulls have no neighbours and are none.
-
-    Blocks of queries meet blocks of the corpus; each meeting gives its k best per query, so what is shuffled is
-    k rows a query and block, never all pairs. Up to BROADCAST_BLOCKS blocks of queries are broadcast; with more, each
-    pair of blocks is dealt to a task."""
+def best_of(k: int):
+    """A function for mapInArrow on rows (q, c), a block of questions and one of the corpus: of each question the k least
+    distances in the block, of equal ones those of the least ids."""
 
-    def best(batches):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
                 (qid, x), (ids, y) = (_matrix(pa.array(b.column(j).slice(i, 1)).flatten()) for j in (0, 1))
@@ -57,13 +57,27 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str = "que
                 r, c = r[place < k], c[place < k]
                 yield pa.record_batch({"query_id": pa.array(qid[r], pa.int64()), "id": pa.array(ids[c], pa.int64()), "distance": pa.array(d[r, c])})
 
+    return best
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str = "query_id", key: str = "id", vec: str = "embedding") -> DataFrame:
+    """query_id, id, distance, rank (from 0): the k least cosine distances, ties by id. Vectors that are null, empty or
+    hold nulls have no neighbours and are none.
+
+    Blocks of queries meet blocks of the corpus; each meeting gives its k best per query, so what is shuffled is
+    k rows a query and block, never all pairs. Up to BROADCAST_BLOCKS blocks of queries are broadcast; with more, each
+    pair of blocks is dealt to a task. From PRUNED_FROM pairs on the same rows come from an index of cells."""
     nq, nc = (max(1, -(-df.count() // BLOCK)) for df in (queries, corpus))
+    if nq * nc >= PRUNED_FROM:
+        from .cells import build, nearest_in
+
+        return nearest_in(queries, build(corpus, key=key, vec=vec), k, query_key, vec)
     q, c = _blocks(queries, nq, query_key, vec, "q"), _blocks(corpus, nc, key, vec, "c")
     if nq <= BROADCAST_BLOCKS:
         pairs = c.crossJoin(F.broadcast(q))
     else:
         pairs = c.withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(q, F.col("_with") == F.col("_q")).repartition("_q", "_c")
-    got = pairs.select("q", "c").mapInArrow(best, "query_id long, id long, distance double")
+    got = pairs.select("q", "c").mapInArrow(best_of(k), "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return got.withColumn("rank", rank - 1).filter(F.col("rank") < k)
 

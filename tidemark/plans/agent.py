@@ -39,7 +39,7 @@ def ablation(queries: DataFrame, corpus: DataFrame, k: int = 5, pool: int = 20)
     for name, df in zip(CONFIGS, lists, strict=True):
         x = df.filter(F.col("rank") < k).select(F.lit(name).alias("config"), "query_id", "id", "rank")
         out = x if out is None else out.unionByName(x)
-    return out
+    return out.repartition("query_id", "id")  # the lists come partitioned by query_id, each adapted on its own
 
 
 def index_sanity(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats, text
-from tidemark.operators import cache, evaluation, guardrails, telemetry
+from tidemark.operators import cache, cells, evaluation, guardrails, telemetry
 from tidemark.operators import detector as D
+from tidemark.operators.cells import nearest_in
 from tidemark.operators.retrieval import agreement, bm25
 from tidemark.operators.vectors import centroid, cosine_distance, nearest
 from tidemark.sources.tables import ID_TIER, chunk_ids, chunks, parse_events, questions, table
@@ -154,6 +155,14 @@ def knn_mean(spark, d) -> DataFrame:
     return nearest(_as_queries(e), ref, 5).groupBy(F.col("query_id").alias("vec_id")).agg(F.round(F.avg("distance"), 6).alias("knn_mean"))
 
 
+@query(KNN + "SELECT vec_id, ref, CAST(rank AS INT) AS rank, round(distance, 6) AS distance FROM k WHERE rank < 3")
+def knn_cells(spark, d) -> DataFrame:
+    """The three nearest trusted vectors of every vector, by an index of cells of the trusted ones."""
+    e, ref = _vectors(spark, d)
+    got = nearest_in(_as_queries(e), cells.build(ref), 3)
+    return got.select(F.col("query_id").alias("vec_id"), F.col("id").alias("ref"), "rank", F.round("distance", 6).alias("distance"))
+
+
 @query(KNN + "SELECT round(quantile_cont(distance, 0.95), 6) AS high, round(quantile_cont(distance, 0.80), 6) AS near FROM k WHERE rank = 1 AND tier = 'id_core_text'")
 def thresholds_quantile(spark, d) -> DataFrame:
     _, ref = _vectors(spark, d)
