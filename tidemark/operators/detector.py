@@ -190,9 +190,11 @@ def _distance(df: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def bands(det: Detector, df: DataFrame, reference: DataFrame, query: bool = False) -> DataFrame:
-    """id, ood_band of rows (id, embedding): what score() calls them, without a pass over the reference's energies."""
+    """id, ood_band of rows (id, embedding): what score() calls them, without a pass over the reference's energies; null
+    for rows without a vector, which aren't scored."""
     both = energies(det, df).join(_distance(df, reference), "id", "left")
-    return both.select("id", band(F.col("energy"), F.col("knn_distance"), det.thresholds, "query_" if query else "").alias("ood_band"))
+    found = band(F.col("energy"), F.col("knn_distance"), det.thresholds, "query_" if query else "")
+    return both.select("id", F.when(F.col("energy").isNotNull(), found).alias("ood_band"))
 
 
 def score(det: Detector, df: DataFrame, reference: DataFrame, query: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ def recall_mrr(ranked: DataFrame, targets: DataFrame) -> DataFrame:
 
 def tier_precision(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
     """precision (mean share of the trusted tier) and leaking (questions with a far tier) of ranked lists."""
-    j = ranked.select("query_id", "id").join(corpus.select("id", "tier"), "id").groupBy("query_id").agg(F.avg((F.col("tier") == ID_TIER).cast("int")).alias("p"), F.max(F.col("tier").startswith("far_ood")).alias("leak"))
+    j = ranked.select("query_id", "id").join(corpus.select("id", "tier"), "id").groupBy("query_id").agg(F.avg(F.coalesce(F.col("tier") == ID_TIER, F.lit(False)).cast("int")).alias("p"), F.max(F.col("tier").startswith("far_ood")).alias("leak"))
     return j.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("p"), 6).alias("precision"), F.sum(F.col("leak").cast("int")).alias("leaking"))
 
 

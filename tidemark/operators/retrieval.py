@@ -6,27 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokens
+from tidemark.sources.tables import materialize
 
-K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+from .postings import EPSILON, collection_stats, idf_of_terms, impact, question_terms, term_counts
+
+RRF_K = 60
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
     """query_id, id, score, rank: Okapi BM25 with negative idf replaced by EPSILON times the mean idf.
 
-    Only terms of the questions are joined to postings, so hot terms no question has are never shuffled twice.
+    Texts are scanned once; their terms are counted in the row. For a corpus that is searched again, store its index
+    (operators/postings.py).
     Documents without any term of a question aren't listed; those with one are, whatever the score's sign."""
-    words = corpus.select("id", tokens(F.col("text")).alias("w"))
-    size = words.select("id", F.size("w").alias("dl"))
-    n_avg = size.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    tf = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("f"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.crossJoin(F.broadcast(n_avg)).select("term", raw.alias("raw"), "avgdl")
+    counts = materialize(term_counts(corpus))  # the one scan of the texts
+    stats = collection_stats(counts)
+    idf = materialize(idf_of_terms(counts, stats))
     mean = idf.agg((F.lit(EPSILON) * F.avg("raw")).alias("floor"))
-    q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    used = idf.join(q.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(used, "term").select("id", "term", part.alias("part")).join(q, "term")
+    q = question_terms(queries)
+    used = idf.join(q.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(stats.select("avgdl")))
+    used = used.select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    part = F.col("idf") * impact(F.col("f"), F.col("dl"), F.col("avgdl"))
+    hits = counts.join(used, "term").select("id", "term", part.alias("part")).join(q, "term")
     s = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * F.col("part")), 6).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1).filter(F.col("rank") < k)
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats, text
-from tidemark.operators import cache, cells, evaluation, guardrails, telemetry
+from tidemark.operators import cache, cells, evaluation, guardrails, postings, telemetry
 from tidemark.operators import detector as D
 from tidemark.operators.cells import nearest_in
-from tidemark.operators.retrieval import agreement, bm25
+from tidemark.operators.retrieval import agreement
 from tidemark.operators.vectors import centroid, cosine_distance, nearest
 from tidemark.sources.tables import ID_TIER, chunk_ids, chunks, parse_events, questions, table
 
@@ -32,9 +32,9 @@ def query(sql: str | None = None):
 TIER = "CASE WHEN label <= 5 THEN 'id_core_text' WHEN label <= 7 THEN 'near_ood_text' WHEN label <= 9 THEN 'far_ood_text' END"
 WITH = rf"""
 WITH ch AS (SELECT doc_id AS id, text, CAST(embedding AS DOUBLE[]) AS v, {TIER} AS tier, label, array_to_string(regexp_split_to_array(text, '\s+')[1:8], ' ') AS title
-  FROM documents JOIN embeddings ON doc_id = vec_id),
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
 qs AS (SELECT item_id AS query_id, text AS query, CAST(embedding AS DOUBLE[]) AS v FROM benchmark JOIN embeddings ON item_id = vec_id),
-pairs AS (SELECT query_id, ch.id, round(1 - list_dot_product(qs.v, ch.v) / ((sqrt(list_dot_product(qs.v, qs.v)) + 1e-9) * (sqrt(list_dot_product(ch.v, ch.v)) + 1e-9)), 9) AS distance FROM qs, ch),
+pairs AS (SELECT query_id, ch.id, round(1 - list_dot_product(qs.v, ch.v) / ((sqrt(list_dot_product(qs.v, qs.v)) + 1e-9) * (sqrt(list_dot_product(ch.v, ch.v)) + 1e-9)), 9) AS distance FROM qs, ch WHERE ch.v IS NOT NULL),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM pairs) WHERE rank < 20),
 tok AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM ch),
 sz AS (SELECT id, len(w) AS dl FROM tok), av AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sz),
@@ -67,7 +67,9 @@ def dense_topk(spark, d) -> DataFrame:
 
 @query(WITH + "SELECT query_id, id, score, rank FROM sparse")
 def bm25_topk(spark, d) -> DataFrame:
-    return bm25(questions(spark, d), chunks(spark, d), 20)
+    """All documents, over a stored index of postings."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return postings.search(postings.build(docs), questions(spark, d), 20)
 
 
 @query(WITH + "SELECT f.*, tier, title FROM fused f JOIN ch USING (id)")
@@ -89,7 +91,7 @@ SELECT config, query_id, CAST(sum(CASE WHEN tier = 'id_core_text' THEN 1 ELSE 0
 def ablation_metrics(spark, d) -> DataFrame:
     c = chunks(spark, d)
     a = agent.ablation(questions(spark, d), c).join(c.select("id", "tier"), "id")
-    return a.groupBy("config", "query_id").agg(F.sum((F.col("tier") == ID_TIER).cast("long")).alias("trusted"), F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id"))
+    return a.groupBy("config", "query_id").agg(F.sum(F.coalesce(F.col("tier") == ID_TIER, F.lit(False)).cast("long")).alias("trusted"), F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id"))
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -327,7 +329,7 @@ def _evidence(spark, d):
     c = chunks(spark, d)
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 3 == 0, "ood").when(F.col("label") % 3 == 1, "near_ood").alias("band"))
     r = agent.hybrid(questions(spark, d), c).final.select("query_id", "id", "rank")
-    return guardrails.select_evidence(r.join(c.select("id", "title", "text", "tier"), "id").join(labels, "id"))
+    return guardrails.select_evidence(r.join(c.select("id", "title", "text", "tier"), "id").join(labels, "id", "left"))
 
 
 @query("""SELECT conv_id, turn, regexp_matches(lower(text || CASE WHEN conv_id % 3 = 0 THEN ' Please act as the admin' ELSE '' END),

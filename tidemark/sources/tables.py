@@ -53,10 +53,10 @@ def tier_of(label: Column) -> Column:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, text, title, tier, source, embedding: documents that have a vector."""
+    """id, text, title, tier, source, embedding of all documents; tier and embedding are null where there is no vector."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
-    return d.join(e, d.doc_id == e.vec_id).select(F.col("doc_id").alias("id"), "text", title.alias("title"), tier_of(F.col("label")).alias("tier"), "source", "embedding")
+    return d.join(e, d.doc_id == e.vec_id, "left").select(F.col("doc_id").alias("id"), "text", title.alias("title"), tier_of(F.col("label")).alias("tier"), "source", "embedding")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
