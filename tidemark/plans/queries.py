@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tidemark.operators import detector as D
 from tidemark.operators.cells import nearest_in
 from tidemark.operators.retrieval import agreement
 from tidemark.operators.vectors import centroid, cosine_distance, nearest
-from tidemark.sources.tables import ID_TIER, chunk_ids, chunks, parse_events, questions, table
+from tidemark.sources.tables import ID_TIER, chunk_ids, chunks, materialize, parse_events, questions, read_recent, shared_dir, table
 
 from . import agent
 
@@ -274,13 +276,21 @@ def detector_scores(spark, d) -> DataFrame:
 
 @query()
 def guarded_answers(spark, d) -> DataFrame:
+    """The detector is fitted on trusted chunks; its thresholds for questions come from others that were held out."""
     c = chunks(spark, d)
-    ref = c.filter(F.col("tier") == ID_TIER)
-    det = D.fit(ref, shrinkage=D.CLI_SHRINKAGE)
-    D.fit_query_reference(det, _as_queries(ref), ref)
+    det, ref = _question_detector(c)
     return agent.guarded(questions(spark, d), c, det, ref)
 
 
+def _question_detector(c) -> tuple[D.Detector, DataFrame]:
+    """A detector and the chunks it was fitted on: four fifths of the trusted ones; the rest stand for questions."""
+    trusted = c.filter(F.col("tier") == ID_TIER).select("id", "embedding", F.lit("id").alias("grp"))
+    rows = materialize(D.holdout(trusted, 0.2))
+    ref = rows.filter("not is_eval").select("id", "embedding")
+    det = D.fit(ref, shrinkage=D.CLI_SHRINKAGE)
+    return D.fit_query_reference(det, _as_queries(rows.filter("is_eval")), ref), ref
+
+
 @query(WITH + r""", c AS (SELECT query_id, rank + 1 AS n, trim(replace(text, chr(10), ' ')) AS t FROM reranked JOIN ch USING (id)),
 a AS (SELECT query_id, string_agg(CASE WHEN length(t) <= 360 THEN t ELSE regexp_replace(substr(t, 1, 360), ' [^ ]*$', '') END || ' [' || n || ']', ' ' ORDER BY n) AS answer FROM c WHERE n <= 3 GROUP BY query_id)
 SELECT query_id, 'generate' AS action, coalesce(answer, 'I could not find an answer in the documents.') AS answer FROM qs LEFT JOIN a USING (query_id)""")
@@ -507,13 +517,23 @@ def chunk_ordinals(spark, d) -> DataFrame:
     return chunk_ids(r).select("id", "doc_id")
 
 
-def _lines(spark, d):
-    """Events as telemetry lines, some of them cached, some malformed."""
+def _lines(spark, d, *also):
+    """Events as telemetry lines, some of them cached, some malformed; their time is the event's number."""
     e = table(spark, d, "events").filter("value is not null")
     agree = F.struct((F.col("user_id") % 11 / F.lit(10.0)).alias("top_k_jaccard"), (F.col("user_id") % 11).cast("int").alias("shared_top_k"), (F.col("event_id") % 2 == 0).alias("top_1_agrees"), F.lit(1.5).alias("mean_shared_rank_delta"))
     stages = F.create_map(F.lit("dense"), F.col("value"), F.lit("rerank"), F.col("value") * 2, F.lit("other"), F.lit(1.0))
-    line = F.to_json(F.struct((F.col("event_type") == "click").alias("cache_hit"), F.col("event_type").alias("action"), F.struct(stages.alias("stage_latency_ms"), agree.alias("agreement")).alias("retrieval"), F.struct(F.col("value").alias("energy")).alias("query_ood")))
-    return e.select(F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).when(F.col("event_id") % 7 == 1, F.lit("[1]")).otherwise(line).alias("value"))
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("timestamp"), (F.col("event_type") == "click").alias("cache_hit"), F.col("event_type").alias("action"), F.struct(stages.alias("stage_latency_ms"), agree.alias("agreement")).alias("retrieval"), F.struct(F.col("value").alias("energy")).alias("query_ood")))
+    return e.select(*also, F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).when(F.col("event_id") % 7 == 1, F.lit("[1]")).otherwise(line).alias("value"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_id, event_type AS action, coalesce(event_type = 'click', false) AS cache_hit, round(value, 6) AS energy FROM l WHERE n <= 500 AND event_id % 7 > 1""")
+def log_tail(spark, d) -> DataFrame:
+    """All events as a log of many files; of its last 500 lines those that aren't malformed."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    _lines(spark, d, "event_id").repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    e = read_recent(spark, path, 500, order="name")  # files are named in the order of their ranges
+    return e.select(F.col("timestamp").cast("long").alias("event_id"), "action", F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"), F.round("query_ood.energy", 6).alias("energy"))
 
 
 READ = "WITH e AS (SELECT *, coalesce(event_type = 'click', false) AS hit FROM events WHERE value IS NOT NULL AND event_id % 7 > 1)"
@@ -611,9 +631,7 @@ def risk_colours(spark, d) -> DataFrame:
 def retrieval_scores(spark, d) -> DataFrame:
     """Chunks of the hybrid plan with their own and their question's score over all components."""
     c, q = chunks(spark, d), questions(spark, d)
-    ref = c.filter(F.col("tier") == ID_TIER)
-    det = D.fit(ref, shrinkage=D.CLI_SHRINKAGE)
-    D.fit_query_reference(det, _as_queries(ref), ref)
+    det, ref = _question_detector(c)
     got = agent.hybrid(q, c).final.select("query_id", "id", "rank")
     out = D.score_retrieval(det, got, q, c, ref)
     return out.select("query_id", "id", "rank", evaluation.metric_projection("ood").alias("chunk"), evaluation.metric_projection("query_ood").alias("query"), "request_is_ood", "request_is_near_ood")

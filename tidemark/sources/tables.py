@@ -164,16 +164,21 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
-def parse_events(lines: DataFrame) -> DataFrame:
-    """Telemetry of JSON lines (column value); malformed lines and lines that are no object are dropped."""
-    e = lines.filter(F.trim("value").startswith("{")).select(F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"), "value")
-    return e.filter(F.expr("try_parse_json(value)").isNotNull()).select("e.*")
+def parse_events(lines: DataFrame, keep_raw: bool = False) -> DataFrame:
+    """Telemetry of JSON lines (column value); malformed lines and lines that are no object are dropped. A line is parsed
+    once, to a variant that the fields are taken from; a field of another kind is null. keep_raw: with the variant as
+    raw, which has the fields that aren't known too."""
+    v = lines.filter(F.trim("value").startswith("{")).select(F.try_parse_json("value").alias("raw")).filter("raw is not null")
+    e = v.select(F.try_variant_get("raw", "$", f"struct<{EVENT}>").alias("e"), "raw")
+    return e.select("e.*", "raw") if keep_raw else e.select("e.*")
 
 
-def read_recent(spark: SparkSession, path: str, limit: int) -> DataFrame:
-    """Telemetry of the last `limit` lines of a file, malformed ones among them dropped after they were counted."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_line"))
-    return parse_events(lines.orderBy(F.desc("_line")).limit(limit))
+def read_recent(spark: SparkSession, path: str, limit: int, **options) -> DataFrame:
+    """Telemetry of the last `limit` lines of a log's files, in the order of their time (logs.log_lines has options);
+    malformed lines among them are dropped after they were counted."""
+    from .logs import log_lines
+
+    return parse_events(log_lines(spark, path, limit, **options))
 
 
 def append_answers(answers: DataFrame, path: str) -> bool:
