@@ -1,7 +1,7 @@
 """Out-of-distribution detector: shrunk Gaussian mixture energy, nearest-neighbour distance, bands, calibration.
 
-Fitting makes one pass of per-partition moments a step (one step in closed form with one component); only K x D x D
-numbers reach the driver. Scoring broadcasts these parameters."""
+Fitting makes one pass of per-partition moments a step (one step in closed form with one component); at most PARTS
+sums of K x D x D numbers reach the driver. Scoring broadcasts these parameters."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from tidemark.sources.tables import ID_TIER, materialize
 from .vectors import _good, nearest
 
 HIGH, NEAR = 0.95, 0.80
+#: Sums of moments that reach the driver; tasks are added up to so many on executors.
+PARTS = 64
 CLI_SHRINKAGE = 0.10
 
 
@@ -68,9 +71,11 @@ def _moments(df: DataFrame, vec: str, params) -> tuple[float, np.ndarray, np.nda
             part = np.concatenate([[ll, x.shape[1], r.shape[1]], r.sum(0), (r.T @ x).ravel(), np.einsum("nk,nd,ne->kde", r, x, x).ravel()])
             total = part if total is None else np.concatenate([[total[0] + ll], part[1:3], total[3:] + part[3:]])
         if total is not None:
-            yield pa.record_batch({"m": pa.array([total], pa.list_(pa.float64()))})
+            yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId() % PARTS], pa.int32()), "m": pa.array([total], pa.list_(pa.float64()))})
 
-    parts = [np.array(r[0]) for r in df.filter(_good(vec)).select(vec).mapInArrow(run, "m array<double>").collect()]  # a row a partition
+    made = df.filter(_good(vec)).select(vec).mapInArrow(run, "part int, m array<double>")
+    # the first numbers are the log likelihood, D and K; the last two are the same in each row
+    parts = [np.array(r["m"]) for r in sorted(made.groupBy("part").applyInArrow(summed(1, 3), "part int, m array<double>").collect(), key=lambda r: r["part"])]
     if not parts:
         raise ValueError("no vectors to fit on")
     d, k = int(parts[0][1]), int(parts[0][2])
@@ -78,6 +83,23 @@ def _moments(df: DataFrame, vec: str, params) -> tuple[float, np.ndarray, np.nda
     return float(sum(p[0] for p in parts)), total[:k], total[k : k + k * d].reshape(k, d), total[k + k * d :].reshape(k, d, d)
 
 
+def summed(first: int, last: int):
+    """A function for applyInArrow on rows (key, m): the sum of the arrays m, whose numbers from first up to last are
+    taken from the first row instead. A group's rows come one after the other and aren't held."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for i in range(len(b)):
+                x = b.column("m").slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+                kept = x[first:last].copy() if total is None else total[first:last].copy()
+                total = x.astype(float) if total is None else total + x
+                total[first:last] = kept
+        yield pa.record_batch({b.schema.names[0]: pa.array([key[0].as_py()], pa.int32()), "m": pa.array([total], pa.list_(pa.float64()))})
+
+    return run
+
+
 def _shrunk(cov: np.ndarray, shrinkage: float) -> tuple[np.ndarray, float]:
     """Precision and log determinant of (1 - s) C + s tr(C) / D I with floored eigenvalues."""
     d = len(cov)

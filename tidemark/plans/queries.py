@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats, text
-from tidemark.operators import cache, cells, evaluation, guardrails, postings, telemetry
+from tidemark.operators import bootstrap, cache, cells, evaluation, guardrails, postings, telemetry
 from tidemark.operators import detector as D
 from tidemark.operators.cells import nearest_in
 from tidemark.operators.retrieval import agreement
 from tidemark.operators.vectors import centroid, cosine_distance, nearest
 from tidemark.sources.tables import ID_TIER, chunk_ids, chunks, materialize, parse_events, questions, read_recent, shared_dir, table
+from tidemark.sources.store import as_chunks, complete, write_store
 
 from . import agent
 
@@ -85,6 +86,23 @@ def rerank_overlap(spark, d) -> DataFrame:
     return agent.hybrid(questions(spark, d), chunks(spark, d)).final
 
 
+def _store(spark, d) -> DataFrame:
+    return write_store(chunks(spark, d).withColumnRenamed("text", "document"), f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query(WITH + "SELECT query_id, id, tier, rerank_score, fused_rank, rank FROM reranked")
+def store_hybrid(spark, d) -> DataFrame:
+    """Hybrid retrieval over a stored index in buckets of ids."""
+    return agent.hybrid(questions(spark, d), as_chunks(_store(spark, d))).final
+
+
+@query(WITH + "SELECT query_id, id, rank, score, coalesce(tier, 'none') AS tier, title FROM sparse JOIN ch USING (id) WHERE rank < 5")
+def store_lookup(spark, d) -> DataFrame:
+    """The five best texts of every question by BM25, looked up in a stored index; a missing id is an error."""
+    best = materialize(bm25_topk(spark, d).filter("rank < 5"))
+    return complete(_store(spark, d), best).select("query_id", "id", "rank", "score", "tier", "title")
+
+
 @query(WITH + """, lists AS (
   SELECT 'dense_only' AS config, query_id, id, rank FROM dense UNION ALL SELECT 'bm25_only', query_id, id, rank FROM sparse
   UNION ALL SELECT 'hybrid_fused', query_id, id, fused_rank FROM f1
@@ -274,6 +292,13 @@ def detector_scores(spark, d) -> DataFrame:
     return D.score(det, e, ref)
 
 
+@query()
+def bootstrap_refit(spark, d) -> DataFrame:
+    """How far AUROC of near chunks against trusted ones can be trusted: 200 resamples, the detector fitted on each."""
+    e, ref = _vectors(spark, d)
+    return bootstrap.auroc_interval(ref, e.filter(F.col("tier").startswith("near_ood")), shrinkage=D.CLI_SHRINKAGE)
+
+
 @query()
 def guarded_answers(spark, d) -> DataFrame:
     """The detector is fitted on trusted chunks; its thresholds for questions come from others that were held out."""
