@@ -334,7 +334,10 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert first.startswith(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:0>\r\nWARC-Date: ")
 
 
-def test_embedding_edges_and_cells(spark):
+@pytest.mark.parametrize(("per_cell", "block_bytes"), [(1, 1 << 12), (vecdedup.PER_CELL, vecdedup.BLOCK_BYTES)])
+def test_embedding_edges_and_cells(spark, monkeypatch, per_cell, block_bytes):
+    monkeypatch.setattr(vecdedup, "PER_CELL", per_cell)  # many cells of small blocks, and the registered query's
+    monkeypatch.setattr(vecdedup, "BLOCK_BYTES", block_bytes)
     rng = np.random.default_rng(0)
     centre = rng.normal(size=(12, 8))
     x = centre[rng.integers(0, 12, 400)] + rng.normal(size=(400, 8)) * 0.25
@@ -378,6 +381,30 @@ def test_embedding_recall(spark):
     assert sum(r["n_links"] for r in vecdedup.dedup_embeddings(df, guest=None).collect()) == want
 
 
+@pytest.mark.parametrize("n", [5_000, 60_000, 250_000])
+def test_embedding_margin_at_size(n):
+    """Of pairs at the threshold in a label of n random vectors, at least 0.98 meet, at no more than 2 places a vector."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(n, 64)))
+    a, z = x[rng.choice(n, 4_000)], rng.normal(size=(4_000, 64))
+    b = 0.9302 * a + np.sqrt(1 - 0.9302**2) * unit(z - (z * a).sum(1, keepdims=True) * a)
+    k = int(np.ceil(np.sqrt(n / vecdedup.PER_CELL)))
+    c = vecdedup.spherical_kmeans(x[: vecdedup.SAMPLE], k, 6)
+    margin = vecdedup.reach(0.93, 64, vecdedup.widened(vecdedup.GUEST, k))
+    some = x[:20_000]
+    assert 1 + len(vecdedup.places(some, c, margin)[1]) / len(some) <= 2.0
+    in_cell = []
+    for v in (a, b):
+        home, row, cell = vecdedup.places(v, c, margin)
+        at = np.zeros((len(v), k), bool)
+        at[np.arange(len(v)), home] = at[row, cell] = True
+        in_cell.append((home, at))
+    (ha, ia), (hb, ib) = in_cell
+    each = np.arange(len(a))
+    assert (ib[each, ha] | ia[each, hb]).mean() >= 0.98
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

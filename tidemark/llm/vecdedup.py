@@ -1,14 +1,16 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products within cells, one kept per group.
 
 Vectors are compared only when label and dimension are equal. Equal vectors are one class. The classes of a label are
-assigned to the cell of their nearest centroid, of about as many cells as the square root of their number, so that
-assignment and products grow alike; spherical k-means is fitted on a bounded sample (by hash), the assignment covers
+assigned to the cell of their nearest centroid, of about as many cells as the square root of their number over
+PER_CELL, so that assignment and products grow alike; spherical k-means is fitted on a bounded sample (by hash), the assignment covers
 every vector. A class is also a guest in each earlier cell from which a linked vector is likely to come: if x has home
 h and a linked y has home c, then y lies beyond the hyperplane between the centroids, which x is
 x.(h - c) / |h - c| away from. No link reaches farther than sin(angle of the threshold); that margin makes the cells
 exact, whatever the centroids, but in many dimensions nearly every vector is a guest nearly everywhere. The difference
 of a linked pair has the length sqrt(2 - 2 threshold) at most, and a part of it along any one direction of about that
-over sqrt(dimension); GUEST times this is the margin used, and the recall it has is measured (README, tests). A cell's
+over sqrt(dimension); the margin used is GUEST times this, and GROWTH times it more for each doubling of the cells,
+since a class then lies near more hyperplanes. The recall it has is measured up to 250,000 classes of a label (README,
+tests). A cell's
 classes are dealt into blocks, each pair of blocks is one cosine product, and a task gives back link counts and a
 spanning forest, never the pairs. Two guests of a cell are not compared there.
 
@@ -31,12 +33,14 @@ from .graph import components
 
 THRESHOLD = 0.93
 #: Margin of guests, in standard deviations of a linked pair's difference along a direction; None: the exact one.
-GUEST = 1.25
+GUEST, GROWTH = 1.55, 0.1
+#: Classes over the square of the cells: fewer cells cut fewer links and leave larger products.
+PER_CELL = 4_000
 #: Vectors of a label that k-means is fitted on, and their bytes at most; bytes of all centroids, which are broadcast.
 SAMPLE, SAMPLE_BYTES, CENTROID_BYTES = 65_536, 1 << 26, 1 << 25
 ROUNDS = 12
-#: Classes of a block, at least and at most, and of a product within it.
-BLOCK, BLOCK_MOST, INNER = 1_024, 8_192, 512
+#: Bytes of a block of classes, and classes of a product within it.
+BLOCK_BYTES, INNER = 1 << 25, 512
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -60,12 +64,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _with_cells(classes: DataFrame) -> DataFrame:
-    """label, dim, n, k: classes and cells of every label; sqrt(n) cells, less where all centroids would pass
-    CENTROID_BYTES."""
+    """label, dim, n, k: classes and cells of every label; sqrt(n / PER_CELL) cells, less where all centroids would
+    pass CENTROID_BYTES."""
     sizes = materialize(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")))
-    asked = sizes.agg(F.sum(F.sqrt("n") * F.col("dim") * 8)).first()[0] or 0.0
+    cells = F.sqrt(F.col("n") / PER_CELL)
+    asked = sizes.agg(F.sum(cells * F.col("dim") * 8)).first()[0] or 0.0
     share = min(1.0, CENTROID_BYTES / asked) if asked else 1.0
-    return sizes.withColumn("k", F.greatest(F.lit(1), F.round(F.sqrt("n") * share)).cast("long"))
+    return sizes.withColumn("k", F.greatest(F.lit(1), F.ceil(cells * share)).cast("long"))
 
 
 def _fit(classes: DataFrame, sizes: DataFrame) -> list:
@@ -86,11 +91,16 @@ def _fit(classes: DataFrame, sizes: DataFrame) -> list:
 
 
 def reach(threshold: float, dim: int, guest: float | None) -> float:
-    """How far beyond a hyperplane a class may lie to be a guest there."""
+    """How far beyond a hyperplane a class may lie to be a guest there; guest is in deviations, None the exact margin."""
     exact = float(np.sqrt(1 - threshold * threshold))
     return exact if guest is None else min(exact, guest * float(np.sqrt((2 - 2 * threshold) / dim)))
 
 
+def widened(guest: float | None, cells: int) -> float | None:
+    """guest with its growth by the number of cells."""
+    return None if guest is None else guest + GROWTH * float(np.log2(max(cells, 1)))
+
+
 def places(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Home cells of unit rows, and rows and cells of guests."""
     dot = x @ c.T
@@ -113,7 +123,7 @@ def _assign(classes: DataFrame, centroids, threshold: float, guest: float | None
                 if c is None:
                     h, g_row, g_cell = np.zeros(len(of), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
                 else:
-                    h, g_row, g_cell = places(_matrix(b.column("vec").take(pa.array(of))), c, reach(threshold, key[1], guest))
+                    h, g_row, g_cell = places(_matrix(b.column("vec").take(pa.array(of))), c, reach(threshold, key[1], widened(guest, len(c))))
                 row += [of, of[g_row]]
                 cell += [h, g_cell]
                 home += [np.ones(len(of), bool), np.zeros(len(g_row), bool)]
@@ -127,7 +137,7 @@ def _assign(classes: DataFrame, centroids, threshold: float, guest: float | None
 def _dealt(placed: DataFrame) -> DataFrame:
     """placed with a row for each pair of blocks (i, j) that a class takes part in; side 1 is j's."""
     n = placed.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("n"))
-    size = F.greatest(F.lit(BLOCK), F.least(F.lit(BLOCK_MOST), F.sqrt("n") * 16))
+    size = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))
     n = materialize(n.select(*[F.col(c).alias(f"_{c}") for c in ("label", "dim", "cell")], F.ceil(F.col("n") / size).cast("int").alias("blocks")).filter("blocks > 1"))
     d = placed.join(small(n), (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell")), "left")
     blocks = F.coalesce("blocks", F.lit(1))
