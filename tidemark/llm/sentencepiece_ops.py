@@ -4,7 +4,8 @@ A text gets the dummy prefix, its spaces become the marker, and the path of piec
 is found; a character that no piece covers costs the least score less UNKNOWN_PENALTY and is written as byte pieces.
 No piece has a marker behind another character, so the best path of a text is that of its chunks, a run of markers
 with what follows up to the next marker. All distinct chunks of a batch run through the trie side by side; of paths
-with equal sums the one whose last piece begins first wins.
+with equal sums the one whose last piece begins first wins. A chunk over LONG bytes goes by itself, its edges found
+in parts, as a step costs the same for one chunk as for many.
 
 Pieces, scores, kinds and the normaliser's handling of spaces of a model file are used (path is a parameter; trained by
 nobody here); the rank scores of a merge model serve as log scores. A marker character that stands in a text itself is
@@ -38,6 +39,10 @@ UNKNOWN_PENALTY = 10.0
 SPACE_BYTE, LITERAL_BYTE, LITERAL = 0xFF, 0xFE, -2
 
 
+#: Bytes of a chunk from which on its best path is found by itself, and bytes whose edges are held at a time.
+LONG, PIECE = 1_024, 1 << 16
+
+
 class Unigram:
     def __init__(self, path: str):
         pieces = load_pieces(path)
@@ -75,30 +80,63 @@ class Unigram:
                 v = nxt
             ids[v] = i
         n = len(children)
+        self.longest = max((len(p) for p, _ in usable), default=1)
         self.piece = np.array(ids, np.int32)
         keys = np.array([v * 256 + c for v in range(n) for c in sorted(children[v])], np.int64)
         to = np.array([children[v][c] for v in range(n) for c in sorted(children[v])], np.int32)
         self.base, self.check, self.to = _double_array(keys, to, n)
 
     def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all spans one after the other, and n + 1 places at which the spans' begin."""
-        n = len(starts)
-        if not n:
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        length = ends - starts
-        at = np.append(0, np.cumsum(length))
-        total = int(at[-1])
-        text = data[np.repeat(starts - at[:-1], length) + np.arange(total)]
-        span_end = np.repeat(at[1:], length)
-        lead = (text & 0xC0) != 0x80
-        # edges (from, to, id): walk the trie from every character, all at once
-        here = np.flatnonzero(lead)
+        """Ids of all spans one after the other, and n + 1 places at which the spans' begin; spans over LONG one by one."""
+        long = ends - starts > LONG
+        if not long.any():
+            return self._side_by_side(data, starts, ends)
+        short = np.flatnonzero(~long)
+        ids, at = self._side_by_side(data, starts[short], ends[short])
+        alone = {int(i): self._one(data[starts[i] : ends[i]]) for i in np.flatnonzero(long)}
+        n = np.empty(len(starts), np.int64)
+        n[short] = np.diff(at)
+        n[list(alone)] = [len(x) for x in alone.values()]
+        to = np.append(0, np.cumsum(n))
+        out = np.empty(int(to[-1]), np.int32)
+        out[np.repeat(to[short] - at[:-1], n[short]) + np.arange(len(ids))] = ids
+        for i, x in alone.items():
+            out[to[i] : to[i + 1]] = x
+        return out, to
+
+    def _one(self, text: np.ndarray) -> np.ndarray:
+        """Ids of one span, its edges found a piece of the text at a time. Edges are taken in the order of their starts,
+        whose best sums are final by then; of equal sums the first stays, which begins first."""
+        n = len(text)
+        best, back, back_id = [-np.inf] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for lo in range(0, n, PIECE):
+            part = text[lo : lo + PIECE + self.longest + 4]  # with what an edge that begins in the piece can reach
+            here = np.flatnonzero((part[:PIECE] & 0xC0) != 0x80)
+            f, t, i = self._edges(part, here, np.full(len(part), len(part)))
+            order = np.lexsort((t, f))
+            s = np.where(i >= 0, self.score[i], self.unknown)
+            for a, b, x, y in zip((f[order] + lo).tolist(), (t[order] + lo).tolist(), i[order].tolist(), s[order].tolist(), strict=True):
+                value = best[a] + y
+                if value > best[b]:
+                    best[b], back[b], back_id[b] = value, a, x
+        out, to = [], n
+        while to:
+            a, x = back[to], back_id[to]
+            out.append([x] if x >= 0 else self.byte_id[text[a:to]].tolist())
+            to = a
+        return np.array([x for part in reversed(out) for x in part], np.int32)
+
+    def _edges(self, text: np.ndarray, here: np.ndarray, span_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges (from, to, id) of the pieces that begin at the characters at here, and of the characters that are no
+        piece (id -1); span_end is by byte. The trie is walked from all of them at once."""
+        total = len(text)
         v, pos, origin = np.zeros(len(here), np.int32), here.copy(), here
         e_from, e_to, e_id = [], [], []
         single = np.zeros(total, bool)
-        char_end = np.append(here[1:], total) if len(here) else here
+        leads = np.flatnonzero((text & 0xC0) != 0x80)
         next_char = np.zeros(total, np.int64)
-        next_char[here] = np.minimum(char_end, span_end[here])
+        next_char[leads] = np.minimum(np.append(leads[1:], total), span_end[leads])
         while len(pos):
             place = self.base[v] + text[pos]
             ok = self.check[place] == v
@@ -114,7 +152,18 @@ class Unigram:
         e_from.append(bare)
         e_to.append(next_char[bare])
         e_id.append(np.full(len(bare), -1, np.int32))
-        f, t, i = np.concatenate(e_from), np.concatenate(e_to), np.concatenate(e_id)
+        return np.concatenate(e_from), np.concatenate(e_to), np.concatenate(e_id)
+
+    def _side_by_side(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(starts)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        length = ends - starts
+        at = np.append(0, np.cumsum(length))
+        total = int(at[-1])
+        text = data[np.repeat(starts - at[:-1], length) + np.arange(total)]
+        span_end = np.repeat(at[1:], length)
+        f, t, i = self._edges(text, np.flatnonzero((text & 0xC0) != 0x80), span_end)
         s = np.where(i >= 0, self.score[i], self.unknown)
         # best sums: edges by their end within the span, spans side by side; of equal sums the least start wins
         rel = t - at[np.searchsorted(at, f, "right") - 1]

@@ -3,7 +3,8 @@
 A byte trie of the vocabulary has a failure link for each node: the node reached by the longest suffix that stays
 alive once the longest matching pieces at the front are popped, and the number of pieces popped on the way. A word is
 then read once, byte by byte; a missing edge follows failure links and adds their counts. Every byte is a piece of its
-own, so nothing fails and a word's count is exact. All distinct words of a batch run side by side, one byte a step.
+own, so nothing fails and a word's count is exact. All distinct words of a batch run side by side, one byte a step;
+a word over LONG bytes is read by itself, since a step costs the same for one word as for many.
 
 Vocabulary: the pieces of a SentencePiece model file (path is a parameter), of which the word marker's pieces stand at
 a word's start; byte pieces stand for all single bytes.
@@ -27,6 +28,10 @@ from .pieces import MARK, default_model, load_pieces
 from .text_kernel import buffers, span_hash, word_bounds
 
 
+#: Bytes of a word from which on it is read by itself, and bytes that are taken from it at a time.
+LONG, PIECE = 1_024, 1 << 20
+
+
 class Automaton:
     """The trie as a double array over bytes, with failure links and popped counts."""
 
@@ -67,6 +72,7 @@ class Automaton:
         keys = np.array([v * 256 + c for v in range(n) for c in sorted(children[v])], np.int64)
         to = np.array([children[v][c] for v in range(n) for c in sorted(children[v])], np.int32)
         self.base, self.check, self.to = _double_array(keys, to, n)
+        self._lists: list[list[int]] | None = None
 
     def step(self, v: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Children by byte; -1 where there is none."""
@@ -74,7 +80,36 @@ class Automaton:
         return np.where(self.check[at] == v, self.to[at], -1)
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: bytes = b"") -> np.ndarray:
-        """Pieces of each span of bytes, with the bytes of first put in front."""
+        """Pieces of each span of bytes, with the bytes of first put in front; spans over LONG one by one."""
+        long = ends - starts > LONG
+        if not long.any():
+            return self._side_by_side(data, starts, ends, first)
+        out = np.empty(len(starts), np.int64)
+        out[~long] = self._side_by_side(data, starts[~long], ends[~long], first)
+        for i in np.flatnonzero(long):
+            out[i] = self._one(data, int(starts[i]), int(ends[i]), first)
+        return out
+
+    def _one(self, data: np.ndarray, start: int, end: int, first: bytes) -> int:
+        """Pieces of one span: the same steps, a byte at a time on plain numbers."""
+        if self._lists is None:
+            self._lists = [x.tolist() for x in (self.base, self.check, self.to, self.fail, self.pops)]
+        base, check, to, fail, pops = self._lists
+        v = total = 0
+        for part in (first, *(data[lo : min(lo + PIECE, end)].tobytes() for lo in range(start, end, PIECE))):
+            for c in part:
+                at = base[v] + c
+                while check[at] != v:
+                    total += pops[v]
+                    v = fail[v]
+                    at = base[v] + c
+                v = to[at]
+        while v:
+            total += pops[v]
+            v = fail[v]
+        return total
+
+    def _side_by_side(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: bytes) -> np.ndarray:
         n = len(starts)
         state, total = np.zeros(n, np.int32), np.zeros(n, np.int64)
         order = np.argsort(-(ends - starts), kind="stable")
