@@ -109,27 +109,35 @@ def _shrunk(cov: np.ndarray, shrinkage: float) -> tuple[np.ndarray, float]:
     return (vectors / values) @ vectors.T, float(np.log(values).sum())
 
 
-def fit(reference: DataFrame, shrinkage: float = 0.60, clusters: int = 1, max_iter: int = 100, tol: float = 1e-4, key: str = "id", vec: str = "embedding", seed: int = 42) -> Detector:
-    """Fit on all rows of reference, and the chunk thresholds on it (neighbours without the row itself, by value)."""
+def mixture(reference: DataFrame, shrinkage: float = 0.60, clusters: int = 1, max_iter: int = 100, tol: float = 1e-4, key: str = "id", vec: str = "embedding", seed: int = 42) -> Detector:
+    """The mixture of all rows of reference, without thresholds. With several components the rows are written once, since
+    every step reads them."""
     if not 0 <= shrinkage <= 1:
         raise ValueError("shrinkage must lie in [0, 1]")
-    n = reference.filter(_good(vec)).count()
+    rows = reference.filter(_good(vec)).select(key, vec)
+    if clusters > 1:
+        rows = materialize(rows)
+    n = rows.count()
     if not n:
         raise ValueError("no vectors to fit on")
     if clusters == 1:
-        _, mass, sums, second = _moments(reference, vec, None)
-        params = _m_step(mass, sums, second, n, shrinkage)
-    else:
-        start = [np.array(r[0], float) for r in reference.filter(_good(vec)).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(clusters).select(vec).collect()]
-        d = len(start[0])
-        params = (np.array(start), np.stack([np.eye(d)] * clusters), np.full(clusters, 1 / clusters), np.zeros(clusters))
-        last = -np.inf
-        for _ in range(max_iter):
-            ll, mass, sums, second = _moments(reference, vec, params)
-            if abs(ll - last) < tol:
-                break
-            last, params = ll, _m_step(mass, sums, second, n, shrinkage)
-    det = Detector(*params, n=n)
+        _, mass, sums, second = _moments(rows, vec, None)
+        return Detector(*_m_step(mass, sums, second, n, shrinkage), n=n)
+    start = [np.array(r[0], float) for r in rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(clusters).select(vec).collect()]
+    d = len(start[0])
+    params = (np.array(start), np.stack([np.eye(d)] * len(start)), np.full(len(start), 1 / len(start)), np.zeros(len(start)))
+    last = -np.inf
+    for _ in range(max_iter):
+        ll, mass, sums, second = _moments(rows, vec, params)
+        if abs(ll - last) < tol:
+            break
+        last, params = ll, _m_step(mass, sums, second, n, shrinkage)
+    return Detector(*params, n=n)
+
+
+def fit(reference: DataFrame, shrinkage: float = 0.60, clusters: int = 1, max_iter: int = 100, tol: float = 1e-4, key: str = "id", vec: str = "embedding", seed: int = 42) -> Detector:
+    """Fit on all rows of reference, and the chunk thresholds on it (neighbours without the row itself, by value)."""
+    det = mixture(reference, shrinkage, clusters, max_iter, tol, key, vec, seed)
     e = energies(det, reference, key, vec)
     knn = nearest(reference.select(F.col(key).alias("query_id"), F.col(vec).alias("embedding")), reference.select(F.col(key).alias("id"), F.col(vec).alias("embedding")), 2).filter("rank = 1")
     det.thresholds |= _quantiles(e, "energy", "energy") | _quantiles(knn, "distance", "knn")
@@ -221,9 +229,13 @@ def bands(det: Detector, df: DataFrame, reference: DataFrame, query: bool = Fals
 
 def score(det: Detector, df: DataFrame, reference: DataFrame, query: bool = False) -> DataFrame:
     """id and the OOD columns of rows (id, embedding). knn_ref_mean is explicit; unset, the mean over these rows."""
-    e, knn = energies(det, df), _distance(df, reference)
+    return scored(det, energies(det, df), _distance(df, reference), energies(det, reference), query)
+
+
+def scored(det: Detector, e: DataFrame, knn: DataFrame, reference: DataFrame, query: bool = False) -> DataFrame:
+    """score() of energies e (id, energy, mahalanobis), distances knn (id, knn_distance) and the reference's energies."""
     # share of reference energies at or below: counts by distinct energy, summed in order
-    s = e.join(knn, "id", "left").join(percentiles(e, energies(det, reference)), "energy", "left")
+    s = e.join(knn, "id", "left").join(percentiles(e, reference), "energy", "left")
     if det.calibration:
         c = det.calibration
         mean = F.lit(det.knn_ref_mean) if det.knn_ref_mean is not None else F.lit(knn.agg(F.avg("knn_distance")).first()[0] + 1e-8)

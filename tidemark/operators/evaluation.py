@@ -45,9 +45,17 @@ def regression_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def gates(report: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """report with the limit of each group's rate (0 where none is given) and passed."""
+    limit = F.lit(0.0)
+    for grp, at_least in limits.items():
+        limit = F.when(F.col("grp") == grp, F.lit(float(at_least))).otherwise(limit)
+    return report.withColumn("limit", limit).withColumn("passed", F.col("rate") >= F.col("limit"))
+
+
 def gate(report: DataFrame, limits: dict[str, float]) -> None:
     """Raise if a group's rate lies below its limit."""
-    low = [f"{r['grp']}: {r['rate']}" for r in report.select("grp", "rate").collect() if r["rate"] < limits.get(r["grp"], 0)]
+    low = [f"{r['grp']}: {r['rate']}" for r in gates(report, limits).filter("not passed").select("grp", "rate").collect()]
     if low:
         raise AssertionError("below the limit: " + ", ".join(low))
 

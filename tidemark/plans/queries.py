@@ -16,7 +16,7 @@ from tidemark.operators.vectors import centroid, cosine_distance, nearest
 from tidemark.sources.tables import ID_TIER, chunk_ids, chunks, materialize, parse_events, questions, read_recent, shared_dir, table
 from tidemark.sources.store import as_chunks, complete, write_store
 
-from . import agent
+from . import agent, regression
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -660,3 +660,42 @@ def retrieval_scores(spark, d) -> DataFrame:
     got = agent.hybrid(q, c).final.select("query_id", "id", "rank")
     out = D.score_retrieval(det, got, q, c, ref)
     return out.select("query_id", "id", "rank", evaluation.metric_projection("ood").alias("chunk"), evaluation.metric_projection("query_ood").alias("query"), "request_is_ood", "request_is_near_ood")
+
+
+# with shrinkage 1 the covariance is spherical, so the energy of all components has a closed form
+SPHERE = f"""WITH e AS (SELECT vec_id AS id, {TIER} AS tier, CASE WHEN label <= 5 THEN 'id' WHEN label <= 7 THEN 'near_ood' ELSE 'far_ood' END AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {TIER} IS NOT NULL),
+h0 AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('0-' || id), id) <= greatest(0, least(count(*) OVER (PARTITION BY grp) - 1, CAST(round_even(count(*) OVER (PARTITION BY grp) * CAST(0.2 AS DOUBLE), 0) AS BIGINT))) AS asked FROM e),
+h1 AS (SELECT *, row_number() OVER (ORDER BY md5('1-' || id), id) <= greatest(0, least(count(*) OVER () - 1, CAST(round_even(count(*) OVER () * CAST(0.2 AS DOUBLE), 0) AS BIGINT))) AS lim FROM h0 WHERE NOT asked AND grp = 'id'),
+pt AS (SELECT id, grp, v, 'asked' AS part FROM h0 WHERE asked UNION ALL SELECT id, grp, v, CASE WHEN lim THEN 'limits' ELSE 'fit' END FROM h1),
+mc AS (SELECT i, avg(v[i]) AS m, var_pop(v[i]) AS s FROM pt, range(1, 65) t(i) WHERE part = 'fit' GROUP BY i),
+c AS (SELECT list(m ORDER BY i) AS m, avg(s) AS s FROM mc),
+en AS (SELECT id, grp, part, round(-(ln(1 + 1e-12) - 0.5 * (64 * ln(s) + list_sum(list_transform(list_zip(v, m), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) / s)), 9) AS energy FROM pt, c),
+pr AS (SELECT a.id, a.part, b.id AS ref, round(1 - list_dot_product(a.v, b.v) / ((sqrt(list_dot_product(a.v, a.v)) + 1e-9) * (sqrt(list_dot_product(b.v, b.v)) + 1e-9)), 9) AS distance FROM pt a, pt b WHERE b.part = 'fit' AND a.part <> 'fit'),
+k AS (SELECT id, min(distance) AS knn FROM pr GROUP BY id),
+t AS (SELECT quantile_cont(energy, 0.95) AS eh, quantile_cont(energy, 0.80) AS el, quantile_cont(knn, 0.95) AS kh, quantile_cont(knn, 0.80) AS kl FROM en JOIN k USING (id) WHERE part = 'limits'),
+sc AS (SELECT id, grp, energy, knn, (SELECT count(*) FROM en r WHERE r.part = 'fit' AND r.energy <= en.energy) / CAST((SELECT count(*) FROM en WHERE part = 'fit') AS DOUBLE) AS p,
+  CASE WHEN energy >= eh AND knn >= kh THEN 'ood' WHEN energy >= el AND knn >= kl THEN 'near_ood' ELSE 'id' END AS band FROM en JOIN k USING (id), t WHERE part = 'asked')
+"""
+
+
+@query(SPHERE + "SELECT id, grp, band, round(p, 6) AS p, round(energy, 6) AS energy, round(knn, 6) AS knn FROM sc")
+def regression_questions(spark, d) -> DataFrame:
+    """Held-out vectors of three groups as questions to a model that was saved and loaded again."""
+    from tidemark.operators.estimator import OODModel
+
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    parts = regression.split(_vectors(spark, d)[0])
+    regression.fitted(parts, shrinkage=1.0).save(path)
+    r = regression.results(OODModel.load(path), parts)
+    return r.select("id", "grp", "band", *[F.round(c, 6).alias(c) for c in ("p", "energy", "knn")])
+
+
+@query(SPHERE + """, g AS (SELECT *, (grp = 'id' AND band = 'id') OR (grp = 'near_ood' AND band <> 'id') OR (grp = 'far_ood' AND band = 'ood') AS ok,
+  band = CASE WHEN grp = 'far_ood' THEN 'ood' ELSE grp END AS same, CASE WHEN grp = 'near_ood' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS lim FROM sc),
+s AS (SELECT grp, count(*) AS n, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS caught, round(avg(CASE WHEN ok THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS rate, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) AS BIGINT) AS strict,
+  round(median(p), 6) AS median_p, round(avg(p), 4) AS mean_p, round(avg(energy), 4) AS mean_energy, round(avg(knn), 4) AS mean_knn, max(lim) AS "limit" FROM g GROUP BY grp)
+SELECT *, rate >= "limit" AS passed FROM s""")
+def regression_run(spark, d) -> DataFrame:
+    """The report of the same questions with its gates."""
+    r = regression.regression(_vectors(spark, d)[0], shrinkage=1.0)
+    return r.withColumns({c: F.round(c, 4) for c in ("mean_p", "mean_energy", "mean_knn")})
