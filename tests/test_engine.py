@@ -314,11 +314,9 @@ def test_generation_falls_back_with_its_cause(spark):
     assert got[3] == (generation.ABSTAIN, "shouting", None) and got[4][0] == ""
 
 
-def test_cache_settings():
-    assert cache.Settings.from_env({}) == cache.Settings() and cache.Settings.from_env({"TIDEMARK_CAPACITY": "3", "TIDEMARK_NAMESPACE": "n"}) == cache.Settings(3, 900, "n")
-    for bad in ("x", "0", "-2", "1.5", ""):
-        with pytest.raises(ValueError):
-            cache.Settings.from_env({"TIDEMARK_CAPACITY": bad})
+def test_cache_keeps_entries_for_their_usual_life(spark):
+    r = spark.createDataFrame([(1, "k", 0.0), (2, "k", 899.0), (3, "k", 900.0)], "id long, key string, at double")
+    assert {x["id"]: x["hit"] for x in cache.replay_ttl(r).collect()} == {1: False, 2: True, 3: False}
 
 
 def test_guarded_agent_with_small_talk(spark):

@@ -38,6 +38,19 @@ def histogram(values: DataFrame, col: str, bins: int = 10) -> DataFrame:
     return every.join(counted, "bin", "left").select("bin", low.alias("low"), high.alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histograms(values: DataFrame, by: list[str], col: str, bins: int = 10) -> DataFrame:
+    """by and the columns of histogram(), for each group at once. values is read twice: groups' spans, then counts."""
+    w = (F.col("hi") - F.col("lo")) / bins
+    one = F.col("hi") == F.col("lo")
+    known = values.filter(F.col(col).isNotNull())
+    span = known.groupBy(*by).agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
+    at = F.when(one, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(col) - F.col("lo")) / w))).cast("int")
+    counted = known.join(span, by).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = span.select("*", F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(bins - 1)))).alias("bin"))
+    high = F.when(one, F.round("hi", 4)).otherwise(F.round(F.col("lo") + (F.col("bin") + 1) * w, 4))
+    return every.join(counted, [*by, "bin"], "left").select(*by, "bin", F.round(F.col("lo") + F.col("bin") * w, 4).alias("low"), high.alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def _edges(by: str) -> Column:
     return F.percentile_approx(by, [i / CUTS for i in range(1, CUTS)], 10_000)
 

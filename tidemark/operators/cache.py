@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import re
 from collections import OrderedDict
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Settings:
-    """Of a cache: entries, their life in seconds, the namespace in every key, and turns of history kept."""
-
-    capacity: int = 256
-    ttl_seconds: int = 900
-    namespace: str = "tidemark-v1"
-    max_history_turns: int = 12
-
-    @classmethod
-    def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "TIDEMARK_") -> Settings:
-        """Settings named in an environment, such as TIDEMARK_CAPACITY; numbers must be positive integers."""
-        env = os.environ if env is None else env
-        given = {f.name: env[prefix + f.name.upper()] for f in fields(cls) if prefix + f.name.upper() in env}
-        return cls(**{k: v if k == "namespace" else positive_int(v, prefix + k.upper()) for k, v in given.items()})
-
-
-def positive_int(text: str, name: str) -> int:
-    if not re.fullmatch(r"\s*[+-]?[0-9]+\s*", text):
-        raise ValueError(f"{name} is {text!r}, which isn't an integer")
-    if int(text) < 1:
-        raise ValueError(f"{name} is {text.strip()}, which isn't over 0")
-    return int(text)
+#: Entries that a cache holds and their life in seconds, unless told otherwise.
+CAPACITY, TTL_SECONDS = 256, 900
 
 
 def cache_key(namespace: Column, query: Column, history: Column, top_k: Column) -> Column:
@@ -44,7 +19,7 @@ def cache_key(namespace: Column, query: Column, history: Column, top_k: Column)
     return F.sha2(F.to_json(doc), 256)
 
 
-def replay_ttl(requests: DataFrame, ttl: float, key: str = "key", at: str = "at", order: str = "id") -> DataFrame:
+def replay_ttl(requests: DataFrame, ttl: float = TTL_SECONDS, key: str = "key", at: str = "at", order: str = "id") -> DataFrame:
     """key, order, at, hit: an entry is written at a miss and expires ttl seconds later, reads don't extend it.
 
     Sequential by key; each key's requests are one group."""
@@ -62,7 +37,7 @@ def replay_ttl(requests: DataFrame, ttl: float, key: str = "key", at: str = "at"
     return requests.select(key, order, at).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {at} {kinds[at]}, hit boolean")
 
 
-def replay_lru(requests: DataFrame, ttl: float, capacity: int, namespace: str = "namespace", key: str = "key", at: str = "at", order: str = "id") -> DataFrame:
+def replay_lru(requests: DataFrame, ttl: float = TTL_SECONDS, capacity: int = CAPACITY, namespace: str = "namespace", key: str = "key", at: str = "at", order: str = "id") -> DataFrame:
     """Like replay_ttl with at most capacity entries a namespace; gets and sets renew an entry's turn."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at, order])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import histogram, nearest_rank
+from tidemark.functions.stats import histograms, nearest_rank
 
 #: The names of telemetry's stages and signals.
 STAGES = ("dense", "bm25", "fusion", "rerank")
@@ -49,14 +49,12 @@ def summary(events: DataFrame) -> DataFrame:
 
 
 def signal_histograms(events: DataFrame) -> DataFrame:
-    """scope (query, chunk), signal and the bins of histogram(); non-finite values are left out."""
-    scopes = {"query": events.select("query_ood.*"), "chunk": events.select(F.explode("chunk_ood").alias("c")).select("c.*")}
-    out = None
-    for scope, df in scopes.items():
-        for s in SIGNALS:
-            h = histogram(df.filter(F.col(s).isNotNull() & ~F.isnan(s) & (F.abs(s) != float("inf"))), s).select(F.lit(scope).alias("scope"), F.lit(s).alias("signal"), "*")
-            out = h if out is None else out.unionByName(h)
-    return out
+    """scope (query, chunk), signal and the bins of histogram(); non-finite values are left out. All signals are counted
+    in one plan over the events' values."""
+    of = lambda scope, x: F.array(*[F.struct(F.lit(scope).alias("scope"), F.lit(s).alias("signal"), x[s].alias("value")) for s in SIGNALS])
+    chunks = F.flatten(F.transform(F.coalesce("chunk_ood", F.array()), lambda c: of("chunk", c)))
+    values = events.select(F.inline(F.concat(of("query", F.col("query_ood")), chunks)))
+    return histograms(values.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))), ["scope", "signal"], "value")
 
 
 def request_events(results: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from tidemark.operators import detector as D
 from tidemark.operators.cells import nearest_in
 from tidemark.operators.retrieval import agreement
 from tidemark.operators.vectors import centroid, cosine_distance, nearest
-from tidemark.sources.tables import ID_TIER, chunk_ids, chunks, materialize, parse_events, questions, read_recent, shared_dir, table
+from tidemark.sources.tables import ID_TIER, append_events, chunk_ids, chunks, materialize, parse_events, questions, read_recent, shared_dir, table
+from tidemark.sources.logs import log_lines
 from tidemark.sources.store import as_chunks, complete, write_store
 
 from . import agent, regression
@@ -404,6 +405,42 @@ def citation_ground(spark, d) -> DataFrame:
     return kept.select(F.col("query_id").alias("doc_id"), "cite_id", F.coalesce("status", F.lit("KEPT")).alias("status"))
 
 
+JUDGED = rf"""WITH m AS ({MARKED}), s0 AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(t, ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM m),
+s AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS pos FROM s0),
+c AS (SELECT doc_id, pos, trim(regexp_replace(s, '\[\d+\]', '', 'g'), ' ') AS claim, list_sort(list_distinct(list_transform(regexp_extract_all(s, '\[(\d+)\]', 1), lambda x: CAST(x AS BIGINT)))) AS cites FROM s),
+w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(claim), '\s+'), lambda x: x <> '')) AS w FROM c),
+ev AS (SELECT doc_id, 1 AS cite_id, list_distinct(regexp_split_to_array(lower(substr(text, 201)), '\s+')) AS e FROM documents UNION ALL SELECT doc_id, 2, list_distinct(regexp_split_to_array(lower(substr(text, 1, 40)), '\s+')) FROM documents),
+cited AS (SELECT w.doc_id, pos, u.cite_id, ev.e IS NULL AS gone, len(list_intersect(w, coalesce(e, []))) * 2 >= len(w) AS ok FROM (SELECT doc_id, pos, w, unnest(cites) AS cite_id FROM w) u JOIN w USING (doc_id, pos, w) LEFT JOIN ev ON ev.doc_id = u.doc_id AND ev.cite_id = u.cite_id),
+bare AS (SELECT w.doc_id, pos, max(len(list_intersect(w, e)) * 2 >= len(w)) AS backed FROM w JOIN ev USING (doc_id) WHERE len(cites) = 0 GROUP BY ALL),
+log AS (SELECT doc_id, pos, CASE WHEN gone THEN 'REJECTED_NONEXISTENT_CHUNK' WHEN ok THEN 'VERIFIED_SUPPORTED' ELSE 'REJECTED_UNSUPPORTED_CLAIM' END AS status, cite_id FROM cited),
+full_log AS (SELECT false AS strict, * FROM log UNION ALL SELECT true, * FROM log UNION ALL SELECT true, doc_id, pos, 'REJECTED_UNGROUNDED_CLAIM', NULL FROM bare WHERE NOT backed),
+good AS (SELECT doc_id, pos, string_agg('[' || cite_id || ']', ' ' ORDER BY cite_id) AS marks FROM log WHERE status = 'VERIFIED_SUPPORTED' GROUP BY ALL),
+kept AS (SELECT strict, w.doc_id, w.pos, CASE WHEN marks IS NULL THEN claim ELSE trim(claim || ' ' || marks, ' ') END AS t FROM w CROSS JOIN (VALUES (false), (true)) x(strict) LEFT JOIN good USING (doc_id, pos) LEFT JOIN bare USING (doc_id, pos)
+  WHERE NOT strict OR CASE WHEN len(cites) = 0 THEN backed ELSE marks IS NOT NULL END),
+txt AS (SELECT strict, doc_id, string_agg(t, ' ' ORDER BY pos) AS t FROM kept GROUP BY ALL),
+n AS (SELECT strict, doc_id, count(*) FILTER (WHERE status = 'VERIFIED_SUPPORTED') AS verified, count(*) FILTER (WHERE status = 'REJECTED_UNSUPPORTED_CLAIM') AS unsupported,
+  count(*) FILTER (WHERE status = 'REJECTED_NONEXISTENT_CHUNK') AS nonexistent, count(*) FILTER (WHERE status = 'REJECTED_UNGROUNDED_CLAIM') AS ungrounded FROM full_log GROUP BY ALL)
+"""
+
+
+@query(JUDGED + """SELECT x.strict, d.doc_id, md5(coalesce(t, '')) AS answer, coalesce(unsupported + nonexistent + ungrounded, 0) = 0 AS grounded, coalesce(verified, 0) AS verified, coalesce(unsupported, 0) AS unsupported,
+ coalesce(nonexistent, 0) AS nonexistent, coalesce(ungrounded, 0) AS ungrounded FROM documents d CROSS JOIN (VALUES (false), (true)) x(strict) LEFT JOIN txt ON txt.doc_id = d.doc_id AND txt.strict = x.strict LEFT JOIN n ON n.doc_id = d.doc_id AND n.strict = x.strict""")
+def citation_judge(spark, d) -> DataFrame:
+    """Every sentence of every text against its cited chunks by the judge's stand-in, and where strict the sentences without
+    a citation against any chunk. Chunk 1 is the text after 200 characters, chunk 2 its first 40; 0 and 3 don't exist."""
+    docs = table(spark, d, "documents")
+    a = _marked(spark, d).withColumnRenamed("doc_id", "query_id")
+    ev = docs.select(F.col("doc_id").alias("query_id"), F.inline(F.array(*[F.struct(F.lit(i).alias("cite_id"), t.alias("text")) for i, t in ((1, F.substring("text", 201, 2**31 - 1)), (2, F.substring("text", 1, 40)))])))
+    out = None
+    for strict in (False, True):
+        checked, log = guardrails.check_citations(a, ev, guardrails.lexical_support, strict)
+        status = {"verified": "VERIFIED_SUPPORTED", "unsupported": "REJECTED_UNSUPPORTED_CLAIM", "nonexistent": "REJECTED_NONEXISTENT_CHUNK", "ungrounded": "REJECTED_UNGROUNDED_CLAIM"}
+        n = log.groupBy("query_id").agg(*[F.count(F.when(F.col("status") == v, 1)).alias(k) for k, v in status.items()])
+        x = checked.join(n, "query_id", "left").select(F.lit(strict).alias("strict"), F.col("query_id").alias("doc_id"), F.md5("corrected_answer").alias("answer"), F.col("is_fully_grounded").alias("grounded"), *[F.coalesce(k, F.lit(0)).alias(k) for k in status])
+        out = x if out is None else out.unionByName(x)
+    return out.repartition("doc_id")
+
+
 @query(WITH + r""", ev AS (SELECT r.query_id, r.rank, text, CASE WHEN label % 3 = 0 THEN 'ood' END AS band FROM reranked r JOIN ch USING (id)),
 c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, trim(replace(text, chr(10), ' ')) AS t FROM ev WHERE band IS NULL)
 SELECT query_id, string_agg(CASE WHEN length(t) <= 360 THEN t ELSE regexp_replace(substr(t, 1, 360), ' [^ ]*$', '') END || ' [' || n || ']', ' ' ORDER BY n) AS answer FROM c WHERE n <= 3 GROUP BY query_id""")
@@ -542,12 +579,19 @@ def chunk_ordinals(spark, d) -> DataFrame:
     return chunk_ids(r).select("id", "doc_id")
 
 
+def _chunk_scores():
+    """None to two scored chunks a request."""
+    one = lambda x, y: F.struct(x.alias("energy"), y.alias("knn_distance"))
+    two = F.array(one(F.col("value") * 0.5, F.col("event_id") % 5 / F.lit(4.0)), one(F.col("value") * 0.25, F.lit(None).cast("double")))
+    return F.slice(two, F.lit(1), (F.col("event_id") % 3).cast("int"))
+
+
 def _lines(spark, d, *also):
     """Events as telemetry lines, some of them cached, some malformed; their time is the event's number."""
     e = table(spark, d, "events").filter("value is not null")
     agree = F.struct((F.col("user_id") % 11 / F.lit(10.0)).alias("top_k_jaccard"), (F.col("user_id") % 11).cast("int").alias("shared_top_k"), (F.col("event_id") % 2 == 0).alias("top_1_agrees"), F.lit(1.5).alias("mean_shared_rank_delta"))
     stages = F.create_map(F.lit("dense"), F.col("value"), F.lit("rerank"), F.col("value") * 2, F.lit("other"), F.lit(1.0))
-    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("timestamp"), (F.col("event_type") == "click").alias("cache_hit"), F.col("event_type").alias("action"), F.struct(stages.alias("stage_latency_ms"), agree.alias("agreement")).alias("retrieval"), F.struct(F.col("value").alias("energy")).alias("query_ood")))
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("timestamp"), (F.col("event_type") == "click").alias("cache_hit"), F.col("event_type").alias("action"), F.struct(stages.alias("stage_latency_ms"), agree.alias("agreement")).alias("retrieval"), F.struct(F.col("value").alias("energy"), (F.col("user_id") % 11 / F.lit(10.0)).alias("ood_probability")).alias("query_ood"), _chunk_scores().alias("chunk_ood")))
     return e.select(*also, F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).when(F.col("event_id") % 7 == 1, F.lit("[1]")).otherwise(line).alias("value"))
 
 
@@ -582,6 +626,18 @@ def telemetry_summary(spark, d) -> DataFrame:
     return telemetry.summary(e.withColumn("action", F.when(F.col("action") == "error", "abstain").otherwise(F.col("action"))))
 
 
+@query(READ + """, v AS (SELECT 'query' AS scope, 'energy' AS signal, value AS x FROM e UNION ALL SELECT 'query', 'ood_probability', CAST(user_id % 11 AS DOUBLE) / 10 FROM e
+ UNION ALL SELECT 'chunk', 'energy', value * 0.5 FROM e WHERE event_id % 3 > 0 UNION ALL SELECT 'chunk', 'energy', value * 0.25 FROM e WHERE event_id % 3 = 2
+ UNION ALL SELECT 'chunk', 'knn_distance', CAST(event_id % 5 AS DOUBLE) / 4 FROM e WHERE event_id % 3 > 0),
+m AS (SELECT scope, signal, min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 10 AS w FROM v GROUP BY ALL),
+c AS (SELECT scope, signal, CAST(least(9, floor((x - lo) / w)) AS BIGINT) AS bin, count(*) AS n FROM v JOIN m USING (scope, signal) GROUP BY ALL)
+SELECT m.scope, m.signal, CAST(b.range AS INT) AS bin, round(lo + b.range * w, 4) AS low, round(lo + (b.range + 1) * w, 4) AS high, coalesce(n, 0) AS n
+FROM m CROSS JOIN range(10) b LEFT JOIN c ON c.scope = m.scope AND c.signal = m.signal AND c.bin = b.range""")
+def signal_histograms(spark, d) -> DataFrame:
+    """Of requests and of their chunks."""
+    return telemetry.signal_histograms(parse_events(_lines(spark, d)))
+
+
 def _answers(spark, d):
     """Labelled documents as answers: action by their labels, contexts by their length."""
     r = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
@@ -593,6 +649,25 @@ ANSWERS = """WITH a AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'abstain' WHEN q
  FROM labels JOIN documents USING (doc_id))"""
 
 
+@query(ANSWERS + """ SELECT action, CASE WHEN n_chars % 3 = 0 THEN 'unknown' ELSE 'domain' END AS route, doc_id % 4 = 0 AS cache_hit, count(*) AS n, round(sum(CAST(n_chars AS DOUBLE)), 3) AS latency_ms,
+ count(*) AS stamped, CAST(sum(CASE WHEN n_chars > 800 THEN 1 ELSE 0 END) AS BIGINT) AS chunks, 0 AS texts FROM a GROUP BY ALL""")
+def request_events(spark, d) -> DataFrame:
+    """Answers as telemetry, appended to a log in two parts and read again; no question's text reaches it."""
+    a = _answers(spark, d).withColumn("contexts", F.size("contexts"))
+    score = F.struct(F.lit(0.5).alias("ood_probability"))
+    retrieval = F.struct(F.create_map(F.lit("dense"), F.lit(1.0)).alias("stage_latency_ms"))
+    r = a.select("query", "doc_id", "action", F.when(F.col("n_chars") % 3 > 0, "domain").alias("route"), (F.col("n_chars") / 1000).alias("latency_seconds"), (F.col("doc_id") % 4 == 0).alias("cache_hit"),
+                 retrieval.alias("retrieval"), score.alias("query_ood"), F.when(F.col("n_chars") > 800, F.array(score)).alias("chunk_ood"))
+    path = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        append_events(telemetry.request_events(r.filter(F.col("doc_id") % 2 == part)), path)
+    e = parse_events(log_lines(spark, path), keep_raw=True)
+    return e.groupBy("action", "route", "cache_hit").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"), F.count(F.try_to_timestamp("timestamp")).alias("stamped"),
+        F.sum(F.size("chunk_ood").cast("long")).alias("chunks"), F.count(F.try_variant_get("raw", "$.query", "string")).cast("int").alias("texts"),
+    )
+
+
 @query(ANSWERS + " SELECT count(*) AS n, count(*) FILTER (WHERE action = 'abstain') AS refused, round(avg(CASE WHEN action = 'abstain' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM a")
 def refusal_rate(spark, d) -> DataFrame:
     return evaluation.refusal_rate(_answers(spark, d))
