@@ -92,3 +92,17 @@ def test_detector_scores(spark, vectors):
     assert np.allclose(col(lambda r: r["ood_confidence_interval"]["low"]), low, atol=5e-3) and np.allclose(col(lambda r: r["ood_confidence_interval"]["high"]), high, atol=5e-3)
     assert col(lambda r: r["ood_band"]).tolist() == band.tolist() and set(band) == {"id", "near_ood", "ood"}
     assert all(r["probability_source"] == "label_calibrated" and r["is_ood"] == (r["ood_band"] == "ood") and r["is_near_ood"] == (r["ood_band"] == "near_ood") for r in got.values())
+
+
+def test_wilson_of_many_trials(spark):
+    """Counts whose square leaves the range of int, as int and as long."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import stats
+
+    n, p = 60_000, 0.5
+    mid, half, scale = p + 1.96**2 / (2 * n), 1.96 * np.sqrt(p * (1 - p) / n + 1.96**2 / (4 * n * n)), 1 + 1.96**2 / n
+    for count in (F.lit(n), F.col("n")):
+        low, high = stats.wilson(F.col("s"), count)
+        got = spark.createDataFrame([(n // 2, n)], "s long, n int").select(low, high).first()
+        assert np.allclose(got, [(mid - half) / scale, (mid + half) / scale])

@@ -19,7 +19,8 @@ def nearest_rank(value: str, p: float) -> Column:
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     """Wilson interval at 95 %; (0, 1) without trials."""
-    p = F.try_divide(successes.cast("double"), n.cast("double"))
+    n = n.cast("double")  # the square of a count leaves the range of int
+    p = F.try_divide(successes.cast("double"), n)
     d = 1 + Z * Z / n
     mid, half = (p + Z * Z / (2 * n)) / d, Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n)) / d
     return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(1.0)
