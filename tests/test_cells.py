@@ -78,3 +78,20 @@ def test_nearest_takes_the_index_when_large(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PRUNED_FROM", 1)
     got = vectors.nearest(q, e, 3).select("query_id", "id", "distance", "rank")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_random_directions_are_sent_a_fixed_number_of_times(spark, monkeypatch):
+    """No cell can be passed over; parts and groups, and with them what is shuffled of a row, don't follow the tables."""
+    x = np.random.default_rng(6).normal(size=(300, 16))
+    e = frame(spark, list(enumerate(x)))
+    want = vectors.nearest(e.withColumnRenamed("id", "query_id"), e, 3)
+    monkeypatch.setattr(cells, "SMALL_GROUP", 60)
+    monkeypatch.setattr(cells, "SMALL_PART", 90)
+    monkeypatch.setattr(cells, "BLOCK", 8)
+    index = cells.build(e)
+    assert cells._grid(index, 300) == (4, 5)
+    got = cells.nearest_in(e.withColumnRenamed("id", "query_id"), index, 3)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    for n in (100_000, 1_000_000):
+        big = cells.CellIndex("", None, index.number[:1], index.centres[:1], index.angles[:1], np.array([n]), np.array([1]))
+        assert cells._grid(big, n) == (16, 8)

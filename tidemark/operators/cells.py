@@ -6,10 +6,11 @@ about BLOCK vectors of one cell. A cell may hold any share of the corpus: its bl
 task has to hold together.
 
 A question can't be nearer to a vector of a cell than the angle to the centre less the cell's widest angle (triangle
-inequality on the sphere). Search takes two rounds. In the first, a question meets the nearest cells that hold k
-vectors together, which bounds its k-th distance. In the second it meets the cells that can hold a vector within this
-bound and that it hasn't met; cells in the order of their least possible distance stop there. Questions are gathered
-by cell before they are shuffled, so a meeting of blocks is one matrix product.
+inequality on the sphere). Search deals the blocks to a few groups and the questions to a few parts; every part meets
+every group in a task of its own, so a row is sent a fixed number of times, however many cells it meets: the shuffle
+grows like the tables, also where directions are random and no cell can be passed over. In its task a question meets
+the nearest cells that hold k vectors together, which bounds its k-th distance, and then those that can hold a vector
+within this bound, which goes on falling.
 
 Vectors whose norm is below SHORT have no reliable direction; they are the cell -1, which every question meets.
 Distances are those of `vectors.nearest`, to the digit and in the order of ties; vectors that are null, empty or hold
@@ -28,16 +29,19 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import materialize, shared_dir
 
-from .vectors import BLOCK, GUARD, _good, best_of
+from .vectors import BLOCK, GUARD, _good, _matrix
 
 #: Vectors that the centres are fitted on, and cells, at most: both reach the driver.
 SAMPLE, MAX_CELLS, ROUNDS = 16_384, 4_096, 8
 SHORT = 1e-2
 #: What rounding and GUARD can take from a distance of vectors that aren't short.
 SLACK = 1e-6
-#: Questions that a task gathers by cell before it passes them on.
-HELD = 16_384
-ASKED = "cell int, blocks int, q array<struct<id: long, v: array<double>>>"
+#: Groups of blocks and parts of questions: at most so many, of at least SMALL_* rows, until one holds more than MOST_*.
+GROUPS, SMALL_GROUP, MOST_GROUP = 8, 8_192, 131_072
+PARTS, SMALL_PART, MOST_PART = 16, 4_096, 65_536
+#: Questions that are compared at once.
+ASKED_AT_ONCE = 2_048
+FOUND = "query_id long, id long, distance double"
 
 
 @dataclass
@@ -70,7 +74,7 @@ def _centres(x: np.ndarray, n: int) -> np.ndarray:
 
 def _unit(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Norms and unit rows of a list array without nulls."""
-    x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
     norm = np.linalg.norm(x, axis=1)
     return norm, x / np.maximum(norm, 1e-300)[:, None]
 
@@ -80,7 +84,8 @@ def build(corpus: DataFrame, path: str | None = None, key: str = "id", vec: str
     the root of the number of vectors."""
     spark = corpus.sparkSession
     path = path or f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
-    rows = corpus.filter(_good(vec)).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    rows = corpus.filter(_good(vec)).select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"))
+    kind = rows.schema["v"].dataType.simpleString()
     n = rows.count()
     cells = max(1, min(cells or round(n**0.5), MAX_CELLS, n))
     found = rows.orderBy(F.xxhash64("id", "v")).limit(max(SAMPLE, cells)).select("v").toArrow().column(0)  # bounded
@@ -105,7 +110,7 @@ def build(corpus: DataFrame, path: str | None = None, key: str = "id", vec: str
             yield pa.record_batch({"id": b.column(0), "v": b.column(1), "cell": pa.array(cell), "angle": pa.array(angle), "at": pa.array(np.arange(at, at + len(b)))})
             at += len(b)
 
-    placed = materialize(rows.mapInArrow(assign, "id long, v array<double>, cell int, angle double, at long"))
+    placed = materialize(rows.mapInArrow(assign, f"id long, v {kind}, cell int, angle double, at long"))
     stats = placed.groupBy("cell").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     stats = spark.createDataFrame([(r["cell"], fit[r["cell"]].tolist() if r["cell"] >= 0 else [0.0] * fit.shape[1], r["angle"], r["size"], r["blocks"]) for r in stats.collect()], "cell int, centre array<double>, angle double, size long, blocks int")
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
@@ -131,55 +136,10 @@ def least_distance(index: CellIndex, x: np.ndarray) -> tuple[np.ndarray, np.ndar
     return low, angle
 
 
-def _gathered(index: CellIndex, spark: SparkSession, chosen):
-    """A function for mapInArrow on rows (id, v, limit): questions by cell in blocks, for the cells that chosen picks (a
-    mask by question and cell, from the least distances and the limits)."""
-    # without the tables: executors get arrays only
-    parts = spark.sparkContext.broadcast((index.number, index.centres, index.angles, index.sizes, index.blocks))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, centres, angles, sizes, blocks = parts.value
-        local = CellIndex("", None, number, centres, angles, sizes, blocks)
-        ids: list[list] = [[] for _ in number]
-        rows: list[list] = [[] for _ in number]
-        held = 0
-
-        def block(c: int) -> pa.RecordBatch:
-            id_ = np.concatenate(ids[c])
-            x = np.concatenate(rows[c])
-            v = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            q = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.StructArray.from_arrays([pa.array(id_, pa.int64()), v], ["id", "v"]))
-            ids[c], rows[c] = [], []
-            return pa.record_batch({"cell": pa.array([number[c]], pa.int32()), "blocks": pa.array([blocks[c]], pa.int32()), "q": q})
-
-        for b in batches:
-            for s in range(0, len(b), BLOCK):
-                part = b.slice(s, BLOCK)
-                raw = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
-                norm = np.linalg.norm(raw, axis=1, keepdims=True)
-                low, angle = least_distance(local, raw / np.maximum(norm, 1e-300))
-                low[~(norm[:, 0] >= SHORT)] = -np.inf  # no direction: every cell
-                limit = part.column(2).to_numpy(zero_copy_only=False)
-                mask, id_ = chosen(low, angle, limit, sizes), part.column(0).to_numpy(zero_copy_only=False)
-                for c in np.flatnonzero(mask.any(0)):
-                    ids[c].append(id_[mask[:, c]])
-                    rows[c].append(raw[mask[:, c]])
-                    held += len(ids[c][-1])
-                    if sum(map(len, ids[c])) >= BLOCK:
-                        held -= sum(map(len, ids[c]))
-                        yield block(c)
-                if held >= HELD:
-                    yield from (block(c) for c in range(len(number)) if ids[c])
-                    held = 0
-        yield from (block(c) for c in range(len(number)) if ids[c])
-
-    return run
-
-
 def _first(k: int):
     """The cells whose centres are nearest, up to k vectors together."""
 
-    def chosen(low: np.ndarray, angle: np.ndarray, limit: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def chosen(angle: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         order = np.argsort(angle, axis=1, kind="stable")
         size = sizes[order]
         take = np.cumsum(size, axis=1) - size < k
@@ -190,36 +150,116 @@ def _first(k: int):
     return chosen
 
 
-def _rest(k: int):
-    """The cells that can hold a vector within the limit, without the first ones."""
-    first = _first(k)
-    return lambda low, angle, limit, sizes: (low <= limit[:, None]) & ~first(low, angle, limit, sizes)
+class Best:
+    """The k least distances, of equal ones those of the least ids, of each question of a block."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.x, self.k = x, k
+        self.row, self.id, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.limit, self.last = np.full(len(x), np.inf), np.full(len(x), np.iinfo(np.int64).max)
+
+    def meet(self, rows: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        """Compare the questions of these rows with the unit rows y."""
+        near = self.x[rows] @ y.T
+        limit, k = self.limit[rows], self.k
+        bare = np.isinf(limit)
+        if k < len(ids) and bare.any():
+            limit[bare] = np.round(1 - np.partition(near[bare], len(ids) - k, axis=1)[:, len(ids) - k], 9)
+        r, c = np.nonzero(near >= (1 - limit - 2e-9)[:, None])
+        d, i, r = np.round(1 - near[r, c], 9), ids[c], rows[r]
+        better = (d < self.limit[r]) | ((d == self.limit[r]) & (i < self.last[r]))
+        if not better.any():
+            return
+        d, i, r = d[better], i[better], r[better]
+        hit = np.zeros(len(self.x), bool)
+        hit[r] = True
+        old = hit[self.row]
+        d, i, r = np.append(self.d[old], d), np.append(self.id[old], i), np.append(self.row[old], r)
+        order = np.lexsort((i, d, r))
+        d, i, r = d[order], i[order], r[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        full = place == k - 1
+        self.limit[r[full]], self.last[r[full]] = d[full], i[full]
+        top = place < k
+        self.d, self.id, self.row = np.append(self.d[~old], d[top]), np.append(self.id[~old], i[top]), np.append(self.row[~old], r[top])
+
+
+def _met(index: CellIndex, spark: SparkSession, k: int, counted: bool):
+    """A function for applyInArrow on a part of questions (id, v) and a group of blocks (cell, c): FOUND of each
+    question's k nearest in the group; counted: one row instead, the number of distances computed as its id."""
+    # without the tables: executors get arrays only
+    shared = spark.sparkContext.broadcast((index.number, index.centres, index.angles, index.sizes, index.blocks))
+
+    def run(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+        if not len(asked) or not len(blocks):
+            return schema.empty_table()
+        number, centres, angles, sizes, _ = shared.value
+        of = blocks.column("cell").to_numpy()
+        held = blocks.column("c").combine_chunks()
+        own = np.unique(of)
+        at = np.searchsorted(number, own)
+        members = []
+        for cell in own:
+            ids, y = _matrix(held.take(pa.array(np.flatnonzero(of == cell))).flatten())
+            order = np.argsort(ids, kind="stable")
+            members.append((ids[order], y[order]))
+        local = CellIndex("", None, number[at], centres[at], angles[at], np.array([len(i) for i, _ in members]), np.ones(len(own), int))
+        out, work = [], 0
+        for s in range(0, len(asked), ASKED_AT_ONCE):
+            part = asked.slice(s, ASKED_AT_ONCE)
+            v = part.column("v").combine_chunks()
+            raw = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+            norm = np.linalg.norm(raw, axis=1, keepdims=True)
+            low, angle = least_distance(local, raw / np.maximum(norm, 1e-300))
+            low[~(norm[:, 0] >= SHORT)] = -np.inf  # no direction: every cell
+            best, first = Best(raw / (norm + GUARD), k), _first(k)(angle, local.sizes)
+            for c in np.flatnonzero(first.any(0)):
+                rows = np.flatnonzero(first[:, c])
+                work += len(rows) * local.sizes[c]
+                best.meet(rows, *members[c])
+            for c in np.argsort(low.mean(0), kind="stable"):
+                rows = np.flatnonzero(~first[:, c] & (low[:, c] <= best.limit))
+                if len(rows):
+                    work += len(rows) * local.sizes[c]
+                    best.meet(rows, *members[c])
+            if not counted:
+                ids = part.column("id").to_numpy()
+                out.append(pa.table([pa.array(ids[best.row], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.d)], schema=schema))
+        return pa.table([[0], [int(work)], [0.0]], schema=schema) if counted else pa.concat_tables(out)
+
+    return run
+
 
+def _grid(index: CellIndex, asked: int) -> tuple[int, int]:
+    """Parts of so many questions and groups of the index's blocks."""
+    n = int(index.sizes.sum())
+    cut = lambda rows, most, small, limit: max(1, min(most, -(-rows // small)), -(-rows // limit))
+    return cut(asked, PARTS, SMALL_PART, MOST_PART), cut(n, GROUPS, SMALL_GROUP, MOST_GROUP)
 
-def meetings(index: CellIndex, queries: DataFrame, chosen) -> DataFrame:
-    """Rows (q, c) of a block of questions and a block of members; queries has id, v, limit."""
-    asked = queries.mapInArrow(_gathered(index, queries.sparkSession, chosen), ASKED)
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return asked.join(index.members, ["cell", "block"]).select("q", "c")
+
+def meetings(index: CellIndex, q: DataFrame, parts: int, groups: int):
+    """Questions (id, v) and the index's blocks, grouped by part and group so that each of one meets each of the other."""
+    spark = q.sparkSession
+    # blocks are dealt to groups in turn, so those of a hot cell lie in all of them
+    base = np.cumsum(index.blocks) - index.blocks
+    deal = spark.createDataFrame([(int(c), int(b)) for c, b in zip(index.number, base, strict=True)], "cell int, _base long")
+    m = index.members.join(F.broadcast(deal), "cell").withColumn("_group", F.pmod(F.col("_base") + F.col("block"), F.lit(groups)).cast("int"))
+    m = m.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("_part", "_group", "cell", "c")
+    a = q.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    a, m = (x.repartition(parts * groups, "_part", "_group") for x in (a, m))
+    return a.groupBy("_part", "_group").cogroup(m.groupBy("_part", "_group"))
 
 
 def nearest_in(queries: DataFrame, index: CellIndex, k: int, query_key: str = "query_id", vec: str = "embedding", count: list | None = None) -> DataFrame:
     """query_id, id, distance, rank (from 0) as by `vectors.nearest` over the index's corpus. A list given as count gets
-    the numbers of distances computed in both rounds, for which these run once more."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")) - 1
-    none = F.lit(None).cast("double")
-    q = queries.filter(_good(vec)).select(F.col(query_key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    schema = "query_id long, id long, distance double"
-    if not len(index.number):
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    one = meetings(index, q.withColumn("limit", none), _first(k))
-    # a few rows a question; read twice, by the second round and by its end
-    found = materialize(one.mapInArrow(best_of(k), schema).withColumn("rank", rank).filter(F.col("rank") < k).drop("rank"))
-    limits = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("limit"))
-    two = meetings(index, q.join(limits, q["id"] == limits["query_id"], "left").select("id", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit")), _rest(k))
+    the number of distances computed, for which the search runs once more."""
+    q = queries.filter(_good(vec)).select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"))
+    asked = q.count() if len(index.number) else 0
+    if not asked:
+        return queries.sparkSession.createDataFrame([], FOUND + ", rank int")
+    met = meetings(index, q, *_grid(index, asked))
     if count is not None:
-        count += [x.agg(F.coalesce(F.sum(F.size("q").cast("long") * F.size("c")), F.lit(0))).first()[0] for x in (one, two)]
-    rest = two.mapInArrow(best_of(k), schema)
-    # both are dealt anew by the window, whatever partitioning the union takes over
-    both = found.unionByName(rest).repartition("query_id")
-    return both.withColumn("rank", rank).filter(F.col("rank") < k)
+        count.append(met.applyInArrow(_met(index, q.sparkSession, k, True), FOUND).agg(F.sum("id")).first()[0])
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")) - 1
+    return met.applyInArrow(_met(index, q.sparkSession, k, False), FOUND).withColumn("rank", rank).filter(F.col("rank") < k)

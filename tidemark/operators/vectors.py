@@ -33,7 +33,7 @@ def _blocks(df: DataFrame, n: int, key: str, vec: str, name: str) -> DataFrame:
 def _matrix(block: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids and unit rows of a block, from Arrow's buffers."""
     ids, v = block.field("id").to_numpy(zero_copy_only=False), block.field("v")
-    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
     return ids, x / (np.linalg.norm(x, axis=1, keepdims=True) + GUARD)
 
 
