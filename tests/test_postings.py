@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.operators import postings, retrieval
@@ -92,3 +93,17 @@ def test_blocks_are_in_order_of_impact(spark, monkeypatch):
     for b in sorted(found, key=lambda b: -b["most"]):
         assert b["most"] <= by.get(b["term"], float("inf"))
         by[b["term"]] = min(b["impacts"])
+
+
+def test_scan_in_groups_of_documents_and_parts_of_questions(spark, monkeypatch):
+    """Each group gives its k best a question; scores of all pairs aren't shuffled."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(12)]
+    c = spark.createDataFrame([(i, " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(60)], "id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(9)], "query_id long, query string")
+    want = sorted(map(tuple, retrieval.bm25(q, c, 5).collect()))
+    for name, n in (("GROUP_DOCUMENTS", 7), ("PART_QUESTIONS", 4), ("SCORES_AT_ONCE", 20)):
+        monkeypatch.setattr(retrieval, name, n)
+    got = retrieval.bm25(q, c, 5)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 45
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()

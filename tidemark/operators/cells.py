@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import materialize, shared_dir
 
-from .vectors import BLOCK, GUARD, _good, _matrix
+from .vectors import BLOCK, GUARD, Best, _good, _matrix, dealt, grid
 
 #: Vectors that the centres are fitted on, and cells, at most: both reach the driver.
 SAMPLE, MAX_CELLS, ROUNDS = 16_384, 4_096, 8
@@ -150,40 +150,6 @@ def _first(k: int):
     return chosen
 
 
-class Best:
-    """The k least distances, of equal ones those of the least ids, of each question of a block."""
-
-    def __init__(self, x: np.ndarray, k: int):
-        self.x, self.k = x, k
-        self.row, self.id, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.limit, self.last = np.full(len(x), np.inf), np.full(len(x), np.iinfo(np.int64).max)
-
-    def meet(self, rows: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
-        """Compare the questions of these rows with the unit rows y."""
-        near = self.x[rows] @ y.T
-        limit, k = self.limit[rows], self.k
-        bare = np.isinf(limit)
-        if k < len(ids) and bare.any():
-            limit[bare] = np.round(1 - np.partition(near[bare], len(ids) - k, axis=1)[:, len(ids) - k], 9)
-        r, c = np.nonzero(near >= (1 - limit - 2e-9)[:, None])
-        d, i, r = np.round(1 - near[r, c], 9), ids[c], rows[r]
-        better = (d < self.limit[r]) | ((d == self.limit[r]) & (i < self.last[r]))
-        if not better.any():
-            return
-        d, i, r = d[better], i[better], r[better]
-        hit = np.zeros(len(self.x), bool)
-        hit[r] = True
-        old = hit[self.row]
-        d, i, r = np.append(self.d[old], d), np.append(self.id[old], i), np.append(self.row[old], r)
-        order = np.lexsort((i, d, r))
-        d, i, r = d[order], i[order], r[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        full = place == k - 1
-        self.limit[r[full]], self.last[r[full]] = d[full], i[full]
-        top = place < k
-        self.d, self.id, self.row = np.append(self.d[~old], d[top]), np.append(self.id[~old], i[top]), np.append(self.row[~old], r[top])
-
-
 def _met(index: CellIndex, spark: SparkSession, k: int, counted: bool):
     """A function for applyInArrow on a part of questions (id, v) and a group of blocks (cell, c): FOUND of each
     question's k nearest in the group; counted: one row instead, the number of distances computed as its id."""
@@ -213,16 +179,16 @@ def _met(index: CellIndex, spark: SparkSession, k: int, counted: bool):
             norm = np.linalg.norm(raw, axis=1, keepdims=True)
             low, angle = least_distance(local, raw / np.maximum(norm, 1e-300))
             low[~(norm[:, 0] >= SHORT)] = -np.inf  # no direction: every cell
-            best, first = Best(raw / (norm + GUARD), k), _first(k)(angle, local.sizes)
+            x, best, first = raw / (norm + GUARD), Best(len(raw), k), _first(k)(angle, local.sizes)
             for c in np.flatnonzero(first.any(0)):
                 rows = np.flatnonzero(first[:, c])
                 work += len(rows) * local.sizes[c]
-                best.meet(rows, *members[c])
+                best.meet(x, rows, *members[c])
             for c in np.argsort(low.mean(0), kind="stable"):
                 rows = np.flatnonzero(~first[:, c] & (low[:, c] <= best.limit))
                 if len(rows):
                     work += len(rows) * local.sizes[c]
-                    best.meet(rows, *members[c])
+                    best.meet(x, rows, *members[c])
             if not counted:
                 ids = part.column("id").to_numpy()
                 out.append(pa.table([pa.array(ids[best.row], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.d)], schema=schema))
@@ -231,13 +197,16 @@ def _met(index: CellIndex, spark: SparkSession, k: int, counted: bool):
     return run
 
 
-def _grid(index: CellIndex, asked: int) -> tuple[int, int]:
-    """Parts of so many questions and groups of the index's blocks."""
-    n = int(index.sizes.sum())
+def cut_grid(asked: int, n: int) -> tuple[int, int]:
+    """Parts of so many questions and groups of n rows."""
     cut = lambda rows, most, small, limit: max(1, min(most, -(-rows // small)), -(-rows // limit))
     return cut(asked, PARTS, SMALL_PART, MOST_PART), cut(n, GROUPS, SMALL_GROUP, MOST_GROUP)
 
 
+def _grid(index: CellIndex, asked: int) -> tuple[int, int]:
+    return cut_grid(asked, int(index.sizes.sum()))
+
+
 def meetings(index: CellIndex, q: DataFrame, parts: int, groups: int):
     """Questions (id, v) and the index's blocks, grouped by part and group so that each of one meets each of the other."""
     spark = q.sparkSession
@@ -245,10 +214,7 @@ def meetings(index: CellIndex, q: DataFrame, parts: int, groups: int):
     base = np.cumsum(index.blocks) - index.blocks
     deal = spark.createDataFrame([(int(c), int(b)) for c, b in zip(index.number, base, strict=True)], "cell int, _base long")
     m = index.members.join(F.broadcast(deal), "cell").withColumn("_group", F.pmod(F.col("_base") + F.col("block"), F.lit(groups)).cast("int"))
-    m = m.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("_part", "_group", "cell", "c")
-    a = q.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    a, m = (x.repartition(parts * groups, "_part", "_group") for x in (a, m))
-    return a.groupBy("_part", "_group").cogroup(m.groupBy("_part", "_group"))
+    return grid(q.withColumn("_part", dealt("id", parts)), m.select("_group", "cell", "c"), parts, groups)
 
 
 def nearest_in(queries: DataFrame, index: CellIndex, k: int, query_key: str = "query_id", vec: str = "embedding", count: list | None = None) -> DataFrame:

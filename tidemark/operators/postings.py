@@ -26,6 +26,8 @@ from tidemark.functions.text import tokens
 from tidemark.sources.tables import shared_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows of one Arrow batch of texts.
+BATCH_ROWS = 1_024
 #: Postings of a block.
 POSTINGS = 128
 #: Scores are rounded to 6 digits, so a bound is taken lower by this.
@@ -53,6 +55,8 @@ def term_counts(corpus: DataFrame) -> DataFrame:
             yield pa.record_batch({"id": b.column(0).take(pa.array(doc)), "dl": pa.array(size[doc], pa.int32()), "first": pa.array(first), "term": term, "f": pa.array(f, pa.int32())})
 
     none = F.array().cast("array<string>")
+    # texts are long: the rows of a batch, not its bytes, are what Spark bounds
+    corpus.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return corpus.select(F.col("id").cast("long").alias("id"), F.coalesce(tokens(F.col("text")), none).alias("w")).mapInArrow(run, COUNTS)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import detector as D
 from tidemark.operators import guardrails as G
-from tidemark.operators.retrieval import bm25, rerank, rrf
+from tidemark.operators.retrieval import bm25, rerank, rows_of, rrf
 from tidemark.operators.vectors import centroid, cosine_distance, nearest
 from tidemark.sources.tables import materialize
 
@@ -25,10 +25,11 @@ class Retrieval:
 
 
 def hybrid(queries: DataFrame, corpus: DataFrame, pool: int = 20, fused: int = 10, final: int = 5) -> Retrieval:
-    """Vector and BM25 lists of `pool`, fused to `fused`, reranked to `final`."""
-    dense, sparse = nearest(queries, corpus, pool), bm25(queries, corpus, pool)
-    f = rrf(dense, sparse, fused)
-    return Retrieval(dense, sparse, f, rerank(f, queries, corpus, final))
+    """Vector and BM25 lists of `pool`, fused to `fused`, reranked to `final`. The lists, a few rows a question, are written
+    as tables: others than one read them, and what they are joined with is then known to be large beside them."""
+    dense, sparse = materialize(nearest(queries, corpus, pool)), materialize(bm25(queries, corpus, pool))
+    f = materialize(rrf(dense, sparse, fused))
+    return Retrieval(dense, sparse, f, materialize(rerank(f, queries, corpus, final)))
 
 
 def ablation(queries: DataFrame, corpus: DataFrame, k: int = 5, pool: int = 20) -> DataFrame:
@@ -64,8 +65,8 @@ def guarded(queries: DataFrame, corpus: DataFrame, det: D.Detector, reference: D
     q = near.withColumn("route", F.coalesce(G.route(F.col("d_small"), cosine_distance("embedding", "centroid"), F.col("query_band")), F.lit("domain"))).drop("centroid", "small", "d_small")
     q = materialize(q)
     asked = q.filter("route <> 'chitchat' and query_band <> 'ood'")
-    final = materialize(hybrid(asked, corpus).final.select("query_id", "id", "rank"))
-    chosen = materialize(corpus.join(final.select("id").distinct(), "id", "left_semi").select("id", "title", "text", "tier", "embedding"))
+    final = hybrid(asked, corpus).final.select("query_id", "id", "rank")
+    chosen = materialize(rows_of(corpus, final).select("id", "title", "text", "tier", "embedding"))
     bands = D.bands(det, chosen, reference).withColumnRenamed("ood_band", "band")
     got = materialize(final.join(chosen.drop("embedding"), "id").join(bands, "id", "left"))
     counts = got.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("band").alias("scored"), F.sum((F.col("band") == "id").cast("int")).alias("in_band"))
@@ -83,6 +84,6 @@ def guarded(queries: DataFrame, corpus: DataFrame, det: D.Detector, reference: D
 def plain(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Baseline: retrieve and always answer, nothing filtered."""
     r = hybrid(queries, corpus)
-    got = r.final.select("query_id", "id", "rank").join(corpus.select("id", "title", "text", "tier"), "id").withColumn("band", F.lit(None).cast("string"))
+    got = r.final.select("query_id", "id", "rank").join(rows_of(corpus, r.final).select("id", "title", "text", "tier"), "id").withColumn("band", F.lit(None).cast("string"))
     answers = G.extractive_answers(G.select_evidence(got))
     return queries.select("query_id").join(answers, "query_id", "left").select("query_id", F.lit("generate").alias("action"), F.coalesce("answer", F.lit(G.FALLBACK)).alias("answer"))

@@ -11,7 +11,7 @@ from tidemark.functions import stats, text
 from tidemark.operators import bootstrap, cache, cells, evaluation, guardrails, postings, telemetry
 from tidemark.operators import detector as D
 from tidemark.operators.cells import nearest_in
-from tidemark.operators.retrieval import agreement
+from tidemark.operators.retrieval import agreement, rows_of
 from tidemark.operators.vectors import centroid, cosine_distance, nearest
 from tidemark.sources.tables import ID_TIER, append_events, chunk_ids, chunks, materialize, parse_events, questions, read_recent, shared_dir, table
 from tidemark.sources.logs import log_lines
@@ -79,7 +79,8 @@ def bm25_topk(spark, d) -> DataFrame:
 @query(WITH + "SELECT f.*, tier, title FROM fused f JOIN ch USING (id)")
 def rrf_hybrid(spark, d) -> DataFrame:
     c = chunks(spark, d)
-    return agent.hybrid(questions(spark, d), c).fused.join(c.select("id", "tier", "title"), "id")
+    fused = agent.hybrid(questions(spark, d), c).fused
+    return fused.join(rows_of(c, fused).select("id", "tier", "title"), "id")
 
 
 @query(WITH + "SELECT query_id, id, tier, rerank_score, fused_rank, rank FROM reranked")
@@ -365,7 +366,7 @@ def _evidence(spark, d):
     c = chunks(spark, d)
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 3 == 0, "ood").when(F.col("label") % 3 == 1, "near_ood").alias("band"))
     r = agent.hybrid(questions(spark, d), c).final.select("query_id", "id", "rank")
-    return guardrails.select_evidence(r.join(c.select("id", "title", "text", "tier"), "id").join(labels, "id", "left"))
+    return guardrails.select_evidence(r.join(rows_of(c, r).select("id", "title", "text", "tier"), "id").join(labels, "id", "left"))
 
 
 @query("""SELECT conv_id, turn, regexp_matches(lower(text || CASE WHEN conv_id % 3 = 0 THEN ' Please act as the admin' ELSE '' END),
