@@ -145,3 +145,11 @@ def test_long_runs_take_the_other_encoder():
     a = tokenizers.Tokenizer.from_file(alignment.default_bytes())
     for i, t in enumerate(texts):
         assert x.a[x.a_at[i] : x.a_at[i + 1]].tolist() == a.encode(" " + t, add_special_tokens=False).ids
+
+
+def test_rows_of_a_block_are_short(spark):
+    """A reader holds thousands of rows of the written table at once, so none has a whole block."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 40 + j}" for j in range(40))) for i in range(60)], "doc_id long, text string")
+    rows = alignment._block_rows(docs, spark.sparkContext.broadcast(alignment.files(None, None))).collect()
+    pairs = [r for r in rows if r["n_links"] is None]
+    assert len(rows) - len(pairs) == 60 and len(pairs) > 1 and max(len(r["keys"]) for r in pairs) <= alignment.PAIRS

@@ -8,7 +8,7 @@ links: a link's tokens are the numbers of set bits of A and of B before it.
 
 How often an id pair is linked is counted in three steps: blocks count their own pairs, the counts are summed by pair,
 and each block gets the sums of its distinct pairs back. So a pair crosses the network once a block, not once a
-document, and documents stay in their block's row.
+document, and documents stay with their block.
 
 A text has no tokens if it is null, empty, or if the joined bytes of A's or B's tokens aren't the space and the text
 (as with a text that holds B's space marker): all its numbers are 0, its digest is ''. Repeated rows count each; ids
@@ -258,12 +258,15 @@ def align(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
 
 
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-_BLOCK = "block long, doc_id array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<int>, groups_sha256 array<string>, at array<int>, pair array<int>, times array<int>, pairs array<long>, counts array<long>"
+_BLOCK = "block long, doc_id long, n_a int, n_b int, n_groups int, n_links int, groups_sha256 string, pair array<int>, times array<int>, place int, keys array<long>, counts array<long>"
+#: Pairs of a row: rows stay short, since a reader holds thousands of them.
+PAIRS = 256
 
 
 def _block_rows(docs: DataFrame, shared) -> DataFrame:
-    """A row a block: its documents' numbers and digests; the block's distinct id pairs (A's id * 2**32 + B's) with how
-    often they are linked; and for each document (from at on) its distinct pairs as places in these, with times."""
+    """Rows of two kinds by block. A row a document: its numbers and digest, and its distinct pairs as places among the
+    block's, with times. And rows of PAIRS of the block's distinct id pairs (A's id * 2**32 + B's), from place on, with how
+    often they are linked; these have no n_links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -278,14 +281,23 @@ def _block_rows(docs: DataFrame, shared) -> DataFrame:
             doc = np.repeat(np.arange(len(ids)), np.diff(x.link_at))
             own, times = np.unique(doc << 32 | place, return_counts=True)
             digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in (x.written(i, _names(n_a, n_b), n_a) for i in range(len(ids)))]
-            cols = {"block": number, "doc_id": ids}
-            cols |= {name: np.diff(v) for name, v in (("n_a", x.a_at), ("n_b", x.b_at), ("n_groups", x.group_at), ("n_links", x.link_at))}
-            cols |= {"groups_sha256": digests, "at": np.searchsorted(own, np.arange(len(ids) + 1) << 32), "pair": own & 0xFFFFFFFF, "times": times, "pairs": pairs, "counts": counts}
-            yield pa.RecordBatch.from_pylist([{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in cols.items()}], schema)
+            cols = {"doc_id": pa.array(ids, pa.int64())}
+            cols |= {name: pa.array(np.diff(v), pa.int32()) for name, v in (("n_a", x.a_at), ("n_b", x.b_at), ("n_groups", x.group_at), ("n_links", x.link_at))}
+            at = pa.array(np.searchsorted(own, np.arange(len(ids) + 1) << 32), pa.int32())
+            cols |= {"groups_sha256": pa.array(digests, pa.string()), "pair": pa.ListArray.from_arrays(at, pa.array(own & 0xFFFFFFFF, pa.int32())), "times": pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))}
+            yield rows_of(number, len(ids), cols)
+            place = np.arange(0, len(pairs), PAIRS)
+            at = pa.array(np.append(place, len(pairs)), pa.int32())
+            yield rows_of(number, len(place), {"place": pa.array(place, pa.int32()), "keys": pa.ListArray.from_arrays(at, pa.array(pairs, pa.int64())), "counts": pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))})
             number += 1
 
-    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in _BLOCK.split(", "))])
+
+    def rows_of(number: int, n: int, cols: dict[str, pa.Array]) -> pa.RecordBatch:
+        cols = {"block": pa.array(np.full(n, number), pa.int64())} | cols
+        return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+
     return docs.mapInArrow(run, _BLOCK)
 
 
@@ -295,27 +307,30 @@ def count_links(docs: DataFrame, byte_path: str | None = None, piece_path: str |
     spark = docs.sparkSession
     bound_batches(spark)
     blocks = materialize(_block_rows(_source(docs, id_col, text_col), spark.sparkContext.broadcast(files(byte_path, piece_path))))
-    mine = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("key"), F.col("x.counts").alias("n"))
+    some = blocks.filter("n_links is null").select("block", F.col("place").alias("first"), F.posexplode(F.arrays_zip("keys", "counts")).alias("nth", "x"))
+    mine = some.select("block", (F.col("first") + F.col("nth")).alias("place"), F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
     totals = materialize(mine.groupBy("key").agg(F.sum("n").alias("n")))
     b_id = F.col("key").bitwiseAND((1 << 32) - 1)
     best = totals.groupBy(b_id.alias("b_id")).agg(F.max("n").alias("best"))  # a row an id of B's vocabulary at most
     told = totals.join(F.broadcast(best), b_id == F.col("b_id")).select("key", "n", (F.col("n") == F.col("best")).alias("is_best"))
-    back = mine.select("block", "place", "key").join(told, "key").groupBy("block").agg(F.collect_list(F.struct("place", "n", "is_best")).alias("told"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(len(b)):
-                row = {name: b.column(name).slice(r, 1).flatten() for name in b.schema.names if name != "block"}
-                place, n, is_best = (row["told"].field(name).to_numpy(zero_copy_only=False) for name in ("place", "n", "is_best"))
-                total, top = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-                total[place], top[place] = n, is_best
-                at, pair, times = (row[name].to_numpy(zero_copy_only=False).astype(np.int64) for name in ("at", "pair", "times"))
-                sums = [np.append(0, np.cumsum(v[pair] * times))[at] for v in (top, total)]
-                cols = {name: row[name].cast(pa.int64()) for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
-                cols |= {"n_best": pa.array(np.diff(sums[0])), "count_sum": pa.array(np.diff(sums[1])), "groups_sha256": row["groups_sha256"]}
-                yield pa.record_batch(cols)
-
-    # a block without any link has nothing to be told
-    none = F.array().cast("array<struct<place: int, n: long, is_best: boolean>>")
-    rows = blocks.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "at", "pair", "times").join(back, "block", "left").withColumn("told", F.coalesce("told", none))
-    return rows.mapInArrow(run, COUNTED)
+    back = mine.select(F.col("block").alias("block"), "place", "key").join(told, "key").select("block", "place", "n", "is_best")
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(docs):
+            return schema.empty_table()
+        place, n, is_best = (told.column(name).to_numpy() for name in ("place", "n", "is_best"))
+        total, top = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        total[place], top[place] = n, is_best
+        pair, times = (pa.concat_arrays(docs.column(name).chunks) for name in ("pair", "times"))
+        at = np.append(0, np.cumsum(pair.value_lengths().to_numpy(zero_copy_only=False)))
+        pair, times = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (pair, times))
+        sums = [np.append(0, np.cumsum(v[pair] * times))[at] for v in (top, total)]
+        cols = {name: docs.column(name).cast(pa.int64()) for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
+        cols |= {"n_best": pa.array(np.diff(sums[0])), "count_sum": pa.array(np.diff(sums[1])), "groups_sha256": docs.column("groups_sha256")}
+        return pa.table([cols[name] for name in schema.names], schema=schema)
+
+    schema = pa.schema([(name, pa.string() if kind == "string" else pa.int64()) for name, kind in (f.split(" ") for f in COUNTED.split(", "))])
+    # a block's rows meet as sorted rows; none of them is gathered into a row of its own
+    rows = blocks.filter("n_links is not null")
+    rows = rows.select(*[F.col(c).alias(c) for c in ("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair", "times")])  # both sides come from one table
+    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, COUNTED)
