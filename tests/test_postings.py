@@ -107,3 +107,19 @@ def test_scan_in_groups_of_documents_and_parts_of_questions(spark, monkeypatch):
     got = retrieval.bm25(q, c, 5)
     assert sorted(map(tuple, got.collect())) == want and len(want) == 45
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("most", [0, 40, 10**6])
+def test_search_by_blocks_and_by_groups(spark, monkeypatch, most):
+    """Questions whose blocks hold many postings meet groups of documents; both ways give the rows of the loops."""
+    monkeypatch.setattr(postings, "POSTINGS", 8)
+    monkeypatch.setattr(postings, "FEW_POSTINGS", most)
+    rows, c = corpus(spark, 240, 4)
+    rows += [(900, None), (901, "\tw0  w1\n"), (902, " \n ")]
+    c = c.unionByName(spark.createDataFrame(rows[-3:], "id long, text string"))
+    asked = [(1, "w250 w1"), (2, "w0 w1 w2 w3 w120"), (3, "absent"), (4, "W7 w7 w200 absent"), (5, "w0"), (6, "w290 w291")]
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    got = postings.search(postings.build(c), q, 5)
+    same(got.collect(), brute(rows, asked, 5))
+    plan = got._jdf.queryExecution().toString()
+    assert ("FlatMapCoGroupsInArrow" in plan) == (most < 10**6) and ("arrays_zip" in plan) == (most > 0)

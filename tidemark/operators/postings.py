@@ -9,7 +9,11 @@ Search reads few blocks and is exact. The first block of each term of a question
 them a bound that a hit has to reach. Terms whose greatest parts together stay below half the bound can't make a hit
 alone; one of the others has to give at least an equal share of the rest. So only blocks that reach this share hold
 possible hits; their whole scores come from the counts. Where the floor of idf is negative a part can lower a score, the
-bound doesn't hold, and all blocks of the question's terms are read."""
+bound doesn't hold, and all blocks of the question's terms are read.
+
+A question whose blocks hold more than a small share of the documents spares nothing that way: its hits would be joined
+with all their counts, a row for each term of any question. Such questions meet groups of documents in tasks instead,
+with the counts of their terms, and each meeting gives k rows a question (`retrieval.top_scores`); the rows are the same."""
 
 from __future__ import annotations
 
@@ -19,17 +23,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokens
-from tidemark.sources.tables import shared_dir
+from tidemark.sources.tables import materialize, shared_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of one Arrow batch of texts.
 BATCH_ROWS = 1_024
-#: Postings of a block.
-POSTINGS = 128
+#: Postings of a block; those of one Arrow batch while blocks are cut.
+POSTINGS, BATCH_POSTINGS = 128, 16_384
+#: A question is searched through its blocks while they hold at most this share of the documents, or so many postings.
+SHARE, FEW_POSTINGS = 1 / 256, 1_024
 #: Scores are rounded to 6 digits, so a bound is taken lower by this.
 SLACK = 1e-5
 COUNTS = "id long, dl int, first boolean, term string, f int"
@@ -41,11 +48,14 @@ def term_counts(corpus: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b.column(1)
-            offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-            size = np.diff(offsets)
+            words = pc.ascii_split_whitespace(b.column(1))  # white space as in functions.text.tokens
             coded = words.flatten().dictionary_encode()
-            pair, f = np.unique(np.repeat(np.arange(len(b)), size) * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            of = np.repeat(np.arange(len(b)), np.diff(words.offsets.to_numpy()))
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            kept = code != pc.index(coded.dictionary, "").as_py()  # beside white space at an end
+            of, code = of[kept], code[kept]
+            size = np.bincount(of, minlength=len(b))
+            pair, f = np.unique(of * (len(coded.dictionary) + 1) + code, return_counts=True)
             doc, code = np.divmod(pair, len(coded.dictionary) + 1)
             bare = np.flatnonzero(size == 0)
             doc, f = np.append(doc, bare), np.append(f, np.zeros(len(bare), np.int64))
@@ -54,10 +64,9 @@ def term_counts(corpus: DataFrame) -> DataFrame:
             first[np.unique(doc, return_index=True)[1]] = True
             yield pa.record_batch({"id": b.column(0).take(pa.array(doc)), "dl": pa.array(size[doc], pa.int32()), "first": pa.array(first), "term": term, "f": pa.array(f, pa.int32())})
 
-    none = F.array().cast("array<string>")
     # texts are long: the rows of a batch, not its bytes, are what Spark bounds
     corpus.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return corpus.select(F.col("id").cast("long").alias("id"), F.coalesce(tokens(F.col("text")), none).alias("w")).mapInArrow(run, COUNTS)
+    return corpus.select(F.col("id").cast("long").alias("id"), F.coalesce(F.lower("text"), F.lit("")).alias("t")).mapInArrow(run, COUNTS)
 
 
 def collection_stats(counts: DataFrame) -> DataFrame:
@@ -143,7 +152,13 @@ def build(corpus: DataFrame, path: str | None = None) -> PostingIndex:
 
     p = counts.filter("term is not null").select("term", "id", impact(F.col("f"), F.col("dl"), F.lit(avgdl)).alias("impact"))
     order = ("term", F.desc("impact"), "id")
-    p.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, "term string, most double, n int, ids array<long>, impacts array<double>").write.mode("overwrite").parquet(f"{path}/blocks")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(BATCH_POSTINGS))  # rows are short here
+    try:
+        p.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, "term string, most double, n int, ids array<long>, impacts array<double>").write.mode("overwrite").parquet(f"{path}/blocks")
+    finally:
+        spark.conf.set(size, before)
     return load(spark, path)
 
 
@@ -159,10 +174,13 @@ def _weighted(index: PostingIndex, queries: DataFrame) -> DataFrame:
     return question_terms(queries).join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
 
 
-def needed_blocks(index: PostingIndex, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, term, least: of the terms that a hit needs one of, the least impact that a hit can have in one."""
-    q = _weighted(index, queries)
-    head = index.blocks.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("most")))).filter("_n = 1").select("term", "most", "ids", "impacts")
+def needed_blocks(index: PostingIndex, queries: DataFrame, k: int, weighted: DataFrame | None = None) -> DataFrame:
+    """query_id, term, least: of the terms that a hit needs one of, the least impact that a hit can have in one.
+    weighted: what _weighted gives, where it is known already."""
+    q = _weighted(index, queries) if weighted is None else weighted
+    own = index.blocks.join(q.select("term").distinct(), "term", "left_semi")
+    # a task keeps one block a term, so blocks aren't shuffled
+    head = own.groupBy("term").agg(F.max_by(F.struct("most", "ids", "impacts"), "most").alias("b")).select("term", "b.*")
     lists = q.join(head, "term")
     seen = lists.select("query_id", "w", F.explode(F.arrays_zip("ids", "impacts")).alias("p")).groupBy("query_id", F.col("p.ids").alias("id")).agg(F.sum(F.col("w") * F.col("p.impacts")).alias("s"))
     kth = seen.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))).filter(F.col("_n") == k).select("query_id", (F.col("s") - SLACK).alias("bound"))
@@ -180,12 +198,35 @@ def needed_blocks(index: PostingIndex, queries: DataFrame, k: int) -> DataFrame:
 
 def search(index: PostingIndex, queries: DataFrame, k: int = 20, count: list | None = None) -> DataFrame:
     """query_id, id, score, rank (from 0): what `retrieval.bm25` gives over the index's corpus. A list given as count gets
-    the blocks read and all blocks of the questions' terms, each counted once a question."""
-    q = _weighted(index, queries)
-    needed = needed_blocks(index, queries, k)
-    read = needed.join(index.blocks, "term").filter(F.col("most") >= F.col("least"))
+    the blocks that can hold a hit and all blocks of the questions' terms, each counted once a question."""
+    from .retrieval import top_scores
+
+    q = materialize(_weighted(index, queries))  # a few rows a question, as are the next
+    needed = materialize(needed_blocks(index, queries, k, q))
     if count is not None:
+        read = needed.join(index.blocks.select("term", "most"), "term").filter(F.col("most") >= F.col("least"))
         count += [read.count(), q.join(index.blocks.select("term"), "term").count()]
+    documents = index.counts.filter("first").count()
+    held = needed.join(index.blocks.select("term", "most", "n"), "term").filter(F.col("most") >= F.col("least")).groupBy("query_id").agg(F.sum("n").alias("held"))
+    held = materialize(held.select("query_id", (F.col("held") <= max(FEW_POSTINGS, int(SHARE * documents))).alias("few")))
+    few, many = held.filter("few"), held.filter("not few")
+    found = []
+    if few.limit(1).count():
+        found.append(_by_blocks(index, q.join(few, "query_id", "left_semi"), needed.join(few, "query_id", "left_semi"), k))
+    if many.limit(1).count():
+        w = q.join(many, "query_id", "left_semi")
+        used = materialize(w.select("term").distinct().withColumn("code", F.monotonically_increasing_id()))  # numbers of terms stay as they are
+        parts = index.counts.join(used, "term").select("id", "code", impact(F.col("f"), F.col("dl"), F.lit(index.avgdl)).alias("part"))
+        found.append(top_scores(parts, w.join(used, "term").select("query_id", "code", "w"), k, documents))
+    if not found:
+        return index.counts.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    # each way's rows come partitioned by query_id, each adapted on its own
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1]).repartition("query_id", "id")
+
+
+def _by_blocks(index: PostingIndex, q: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """search() of weighted questions whose needed blocks hold few postings."""
+    read = needed.join(index.blocks, "term").filter(F.col("most") >= F.col("least"))
     hits = read.select("query_id", "least", F.explode(F.arrays_zip("ids", "impacts")).alias("p")).filter(F.col("p.impacts") >= F.col("least"))
     hits = hits.select("query_id", F.col("p.ids").alias("id")).distinct()
     c = index.counts.filter("term is not null").select("id", "term", impact(F.col("f"), F.col("dl"), F.lit(index.avgdl)).alias("impact"))
