@@ -24,3 +24,13 @@ def test_question_thresholds_are_of_other_rows(spark):
     det, ref = engine._question_detector(engine.chunks(spark, SF))
     t = det.thresholds
     assert t["query_knn_high"] > t["query_knn_near"] > 0.1 and t["query_energy_high"] > t["query_energy_near"]
+
+
+def test_plan_of_nested_holdouts_stays_small(spark):
+    """The driver keeps a plan's description with each of its updates; a hold-out of a hold-out
+    repeated its lineage in each of its parts."""
+    e = spark.createDataFrame([(i, "id") for i in range(40)], "id long, grp string")
+    once = engine.D.holdout(e, 0.2)
+    twice = engine.D.holdout(once.filter("not is_eval").drop("is_eval"), 0.25, 1)
+    assert (once.filter("is_eval").count(), twice.filter("is_eval").count(), twice.count()) == (8, 8, 32)
+    assert twice._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
