@@ -432,14 +432,12 @@ def citation_judge(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     a = _marked(spark, d).withColumnRenamed("doc_id", "query_id")
     ev = docs.select(F.col("doc_id").alias("query_id"), F.inline(F.array(*[F.struct(F.lit(i).alias("cite_id"), t.alias("text")) for i, t in ((1, F.substring("text", 201, 2**31 - 1)), (2, F.substring("text", 1, 40)))])))
-    out = None
-    for strict in (False, True):
-        checked, log = guardrails.check_citations(a, ev, guardrails.lexical_support, strict)
-        status = {"verified": "VERIFIED_SUPPORTED", "unsupported": "REJECTED_UNSUPPORTED_CLAIM", "nonexistent": "REJECTED_NONEXISTENT_CHUNK", "ungrounded": "REJECTED_UNGROUNDED_CLAIM"}
-        n = log.groupBy("query_id").agg(*[F.count(F.when(F.col("status") == v, 1)).alias(k) for k, v in status.items()])
-        x = checked.join(n, "query_id", "left").select(F.lit(strict).alias("strict"), F.col("query_id").alias("doc_id"), F.md5("corrected_answer").alias("answer"), F.col("is_fully_grounded").alias("grounded"), *[F.coalesce(k, F.lit(0)).alias(k) for k in status])
-        out = x if out is None else out.unionByName(x)
-    return out.repartition("doc_id")
+    status = {"verified": "VERIFIED_SUPPORTED", "unsupported": "REJECTED_UNSUPPORTED_CLAIM", "nonexistent": "REJECTED_NONEXISTENT_CHUNK", "ungrounded": "REJECTED_UNGROUNDED_CLAIM"}
+    of = lambda log, v: F.size(F.filter(log, lambda x: x == v)).cast("long")
+    j = guardrails.judged(a, ev)
+    mode = lambda strict: F.struct(F.lit(strict).alias("strict"), F.md5(guardrails.corrected_answer("claims", strict)).alias("answer"), guardrails.verdict_log("claims", strict)["status"].alias("log"))
+    x = j.select(F.col("query_id").alias("doc_id"), F.inline(F.array(mode(False), mode(True))))
+    return x.select("strict", "doc_id", "answer", F.forall("log", lambda x: x == status["verified"]).alias("grounded"), *[of("log", v).alias(k) for k, v in status.items()])
 
 
 @query(WITH + r""", ev AS (SELECT r.query_id, r.rank, text, CASE WHEN label % 3 = 0 THEN 'ood' END AS band FROM reranked r JOIN ch USING (id)),
